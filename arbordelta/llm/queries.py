@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import mixing, packing, token_files
+from . import language, media, mixing, packing, token_files
 from .common import read_table
 
 
+def op3_media(spark, sf_dir):
+    return media.media_columns(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     return token_files.token_output(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -16,9 +20,13 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_mixing, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_media, op4_token_files, op5_mixing, op8_language, op9_packing)}
 SQL: dict[str, str] = {}
