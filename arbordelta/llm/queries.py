@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language, media, mixing, packing, token_files
+from . import language, media, mixing, packing, secrets, token_files, warc
 from .common import read_table
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark, sf_dir):
     return media.media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op9_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op4_token_files, op5_mixing, op8_language, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op8_language, op9_packing)}
 SQL: dict[str, str] = {}
