@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import language, media, mixing, packing, secrets, token_files, warc
+from . import ann, language, media, mixing, packing, secrets, token_files, warc
 from .common import read_table
 
 
@@ -36,5 +37,9 @@ def op9_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op8_language, op9_packing)}
+def op10_neighbours(spark, sf_dir):
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op8_language, op9_packing, op10_neighbours)}
 SQL: dict[str, str] = {}
