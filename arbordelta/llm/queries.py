@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, language, media, mixing, packing, secrets, token_files, warc
+from . import ann, bagminhash, language, media, mixing, packing, secrets, token_files, warc
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op6_warc(spark, sf_dir):
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op7_bagminhash(spark, sf_dir):
+    return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_neighbours(spark, sf_dir):
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op8_language, op9_packing, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op7_bagminhash, op8_language, op9_packing, op10_neighbours)}
 SQL: dict[str, str] = {}
