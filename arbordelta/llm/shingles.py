@@ -26,7 +26,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, BLOCK + 4096)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _INVERSE)]
+        for b in (_BASE, _INVERSE):
+            factors = np.full(size, b, np.uint64)
+            factors[0] = 1
+            _POWERS.append(np.cumprod(factors, dtype=np.uint64))
+        del _POWERS[:-2]
     return _POWERS[0], _POWERS[1]
 
 
