@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bagminhash, language, media, mixing, packing, secrets, token_files, warc
+from . import ann, bagminhash, language, media, mixing, packing, secrets, substrings, token_files, warc
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_secrets(spark, sf_dir):
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark, sf_dir):
     return media.media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_neighbours(spark, sf_dir):
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_media, op4_token_files, op5_mixing, op6_warc, op7_bagminhash, op8_language, op9_packing, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_suffix_dedup, op3_media, op4_token_files, op5_mixing, op6_warc, op7_bagminhash, op8_language, op9_packing, op10_neighbours)}
 SQL: dict[str, str] = {}
