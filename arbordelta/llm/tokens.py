@@ -7,14 +7,18 @@ bytes; a text whose white space is not the plain kind is given to the library wh
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
-import numpy as np
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
-#: Pieces kept by one Python worker (about 200 bytes each), and the longest piece that is kept.
-MAX_PIECES, MAX_PIECE_CHARS = 700_000, 64
+#: Pieces that one Python worker keeps for good and for a while (about 200 bytes each), and the longest piece kept.
+MAX_PIECES, MAX_RECENT, MAX_PIECE_CHARS = 600_000, 100_000, 64
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: White space to str.split(), but not to the tokenizers.
+_ODD = "\x1c\x1d\x1e\x1f"
+_CLEAN = re.compile(r"\n?[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
 
 
 class PieceEncoder:
@@ -27,27 +31,48 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.spaced, self.kept = spaced, {}
+        self.spaced, self.kept, self.recent = spaced, {}, {}
+        self.marks = dict(zip(".,", self._library([".", ","])))
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _clean(self, piece: str) -> bool:
-        if not self.spaced:
-            return not _ODD.search(piece)
-        body = piece[1:] if piece[:1] == "\n" else piece
-        return bool(body) and not _SPACE.match(body[0]) and not _SPACE.match(body[-1])
+        return not self.spaced or bool(_CLEAN.fullmatch(piece))
 
     def _pieces(self, text: str) -> list[str]:
-        return text.replace("\n", " \n").split(" ") if self.spaced else text.split()
+        if self.spaced:
+            return text.replace("\n", " \n").split(" ")
+        return [None] if any(c in text for c in _ODD) else text.split()
+
+    def _keep(self, pieces: dict[str, bytes]) -> None:
+        for p, ids in pieces.items():
+            if len(p) <= MAX_PIECE_CHARS:
+                (self.kept if len(self.kept) < MAX_PIECES else self.recent)[p] = ids
+        if len(self.recent) > MAX_RECENT:
+            self.recent.clear()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        clean = [p for p in pieces if self._clean(p)]
-        ids = self._library([p if not self.spaced or p[0] == "\n" else " " + p for p in clean])
-        if len(self.kept) + len(clean) > MAX_PIECES:
-            self.kept.clear()
-        self.kept.update((p, i) for p, i in zip(clean, ids) if len(p) <= MAX_PIECE_CHARS)
-        return dict(zip(clean, ids))
+        """Ids of the pieces that are clean. Letters before one full stop or comma are merged without it."""
+        out, ends, wanted = {}, {}, []
+        for p in pieces:
+            if p in self.recent:
+                out[p] = self.recent[p]
+            elif p[-1:] in self.marks and p[:-1].lower().isalpha():
+                ends[p] = p[:-1]
+            elif self._clean(p):
+                wanted.append(p)
+        for base in set(ends.values()).difference(wanted):
+            if base in self.kept:
+                out[base] = self.kept[base]
+            else:
+                wanted.append(base)
+        learned = dict(zip(wanted, self._library([p if not self.spaced or p[0] == "\n" else " " + p for p in wanted])))
+        out.update(learned)
+        learned.update((p, out[base] + self.marks[p[-1]]) for p, base in ends.items())
+        self._keep(learned)
+        out.update(learned)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -67,7 +92,7 @@ class PieceEncoder:
             head = pieces.pop(0) if self.spaced else ""
             ids = list(map(get, pieces))
             if None in ids:
-                missing.update(p for p, v in zip(pieces, ids) if v is None)
+                missing.update(p for p, v in zip(pieces, ids) if v is None and p is not None)
             else:
                 pieces = None
             rows.append([head, pieces, ids])
