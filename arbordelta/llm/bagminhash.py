@@ -6,10 +6,12 @@ ascending order and carry a component and a place in the interval. A text uses t
 and stops when the next point is past the largest value in its signature. A component's value is its least point, so
 two texts agree in it with the probability of their weighted Jaccard similarity.
 
-Classes: equal word sequences are one node. Texts that agree in a band meet in a bucket. A bucket's texts are compared
-with its least one and with one neighbour; those not linked to it elect new leaders (twice as many each round)
-until none is left. So a bucket of copies costs a comparison or two for each text, not all pairs. Links (similarity of at
-least `least`, computed exactly) join nodes into classes by label propagation.
+Classes: equal word sequences are one node. Texts that agree in a band meet in a bucket. From a bucket come only the edges
+of a spanning forest of greatest estimated similarity (one less than its texts at most), so a bucket of copies never
+makes all pairs; a pair of texts in one class meets in many buckets, each with another forest. A bucket of more than
+`block` texts is cut into blocks; one text of each tree of a block goes on to the bucket's next level, until a
+level fits in a block. Each edge is then verified exactly on the multisets, and links (similarity of at least
+`least`) join nodes into classes by label propagation.
 
 Defined cases: texts without a word (null, empty, blank) have no shingles and are classes of their own; texts of fewer
 than five words have one shingle, all their words; repeated rows have the same class, and rows that share a doc_id
@@ -24,7 +26,6 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, text_or_empty
@@ -49,11 +50,11 @@ def signatures(code: np.ndarray, own: np.ndarray, weight: np.ndarray, texts: int
     rate = np.maximum(low, 1.0)
     seed = mix(code[of] + level.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     doc, w, x = own[of], weight[of].astype(np.float64), np.zeros(len(of))
-    step = np.uint64(0)
+    step = 0
     unit = lambda h: ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
     while len(doc):
-        step += np.uint64(1)
-        h = mix(seed + step * np.uint64(0x9E3779B97F4A7C15))
+        step += 1
+        h = mix(seed + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         x = x - np.log(unit(h)) / rate
         h = mix(h ^ np.uint64(0xE7037ED1A0B428DB))
         part = doc * m + (h % np.uint64(m)).astype(np.int64)
@@ -75,7 +76,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a digest of the word sequence, null without words), bands."""
+    """doc_id, copy (a digest of the word sequence, null without words), bands, marks (a byte of each signature value)."""
 
     def run(batches):
         for batch in batches:
@@ -91,11 +92,99 @@ def sketch(docs: DataFrame) -> DataFrame:
                 view = memoryview(words).cast("B")
                 copies = [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (stop - at + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), pa.array(copies, pa.binary()), bands], ["doc_id", "copy", "bands"])
+                marks = (mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), pa.array(copies, pa.binary()), bands, pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "copy", "bands", "marks"])
                 at = stop
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    return arrow_map(rows, run, "doc_id long, copy binary, bands array<long>")
+    return arrow_map(rows, run, "doc_id long, copy binary, bands array<long>, marks binary")
+
+
+#: Estimated similarity below which an edge isn't tried: four standard errors under 0.8.
+LOWEST = 0.64
+
+
+def spanning_forest(marks: np.ndarray, lowest: float = LOWEST) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges (positions) of a forest of greatest estimated similarity over the rows of marks, and a row of each tree (its first)."""
+    g, m = marks.shape
+    need = max(1, int(lowest * m))
+    if g == 2:
+        return ([(0, 1)], [0]) if (marks[0] == marks[1]).sum() >= need else ([], [0, 1])
+    best, up, left = np.full(g, -1, np.int64), np.zeros(g, np.int64), np.ones(g, bool)
+    edges, roots, at = [], [], 0
+    for _ in range(g):
+        left[at] = False
+        alike = (marks == marks[at]).sum(1)
+        closer = left & (alike > best)
+        best[closer], up[closer] = alike[closer], at
+        if not edges and not roots:
+            roots.append(at)
+        reach = np.where(left, best, -2)
+        at = int(reach.argmax())
+        if reach[at] == -2:
+            break
+        if reach[at] >= need:
+            edges.append((int(up[at]), at))
+        else:
+            at = int(left.argmax())
+            roots.append(at)
+    return edges, roots
+
+
+def _forests(batches):
+    """Rows (key, salt, node, marks) ordered by key and salt -> (key, a, b) with b null for a tree's row that goes on."""
+
+    def solve(keys, salts, nodes, marks, out):
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]), [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = nodes[a:b]
+            edges, roots = spanning_forest(marks[a:b])
+            for x, y in edges:
+                p, q = int(own[x]), int(own[y])
+                out.append((int(keys[a]), min(p, q), max(p, q)))
+            if salts[a] >= 0:  # a block of a larger bucket
+                out += [(int(keys[a]), int(own[r]), None) for r in roots]
+
+    held = None
+    for batch in _and_end(batches):
+        out: list[tuple] = []
+        if batch is not None:
+            keys, salts, nodes = (batch.column(n).to_numpy() for n in ("key", "salt", "node"))
+            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            now = (keys, salts, nodes, marks)
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            ready = int(last[-1]) + 1 if len(last) else 0
+        else:
+            ready = len(held[0]) if held is not None else 0
+        if ready:
+            solve(*(x[:ready] for x in held), out)
+            held = tuple(x[ready:] for x in held)
+        columns = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
+
+def _and_end(batches):
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def candidates(members: DataFrame, block: int) -> DataFrame:
+    """Distinct pairs (a, b) to verify. members: key, node, marks, n (the bucket's size)."""
+    pairs = None
+    while True:
+        salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") * 1.25 / block)).cast("int")).otherwise(F.lit(-1))
+        dealt = members.select("key", salt.alias("salt"), "node", "marks").repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
+        found = materialize(arrow_map(dealt, _forests, "key long, a long, b long"), "forests")
+        edges = found.where("b is not null").select("a", "b")
+        pairs = edges if pairs is None else pairs.union(edges)
+        on = found.where("b is null").select("key", F.col("a").alias("node"))
+        if on.isEmpty():
+            return pairs.distinct()
+        sizes = on.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # A level that is no smaller than the one before would go on for ever: its blocks grow instead.
+        members = materialize(members.select("key", "node", "marks").join(on, ["key", "node"], "left_semi").join(sizes, "key"), "level")
+        block *= 2
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -138,38 +227,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:
     """A row for each row of docs with a doc_id: doc_id, class_id (least doc_id of its class), n_links (verified, of its node), kept."""
     sketches = materialize(sketch(docs), "sketches")
-    nodes = materialize(sketches.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(sketches.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    open_rows = materialize(rows.join(shared.select("key"), "key"), "buckets")
-    members = open_rows.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "bucket-texts")
-
-    links, leaders, salted = None, 1, W.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(SALTS))).orderBy("node")
-    tested = None
-    while True:
-        heads = open_rows.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("r") <= leaders).select("key", F.col("node").alias("a"))
-        asked = open_rows.withColumnRenamed("node", "b").join(heads, "key").where("a < b")
-        pairs = asked.select("a", "b")
-        if leaders == 1:
-            pairs = pairs.union(open_rows.withColumn("a", F.lag("node").over(salted)).where("a is not null").select("a", F.col("node").alias("b")))
-        pairs = pairs.distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(verify(pairs, texts, least), "verified")
-        links = found if links is None else links.union(found)
-        # Leaders have met everyone in their bucket; who is linked to one of them needs no other there.
-        settled = asked.join(links, ["a", "b"], "left_semi").select("key", F.col("b").alias("node")).union(heads.select("key", "a")).distinct()
-        left = open_rows.join(settled, ["key", "node"], "left_anti")
-        left = left.join(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
-        open_rows = materialize(left, "buckets")
-        if open_rows.isEmpty():
-            break
-        leaders *= 2
+    members = rows.select("key", "node").join(shared, "key")
+    members = members.join(nodes.select("node", "marks"), "node")
+    pairs = materialize(candidates(members, block), "pairs")
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked, "doc_id", "left_semi")
+    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+    links = materialize(verify(pairs, texts, least), "verified")
     labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     table = nodes.select("copy", "node").join(labels, "node", "left").join(degree, "node", "left")
