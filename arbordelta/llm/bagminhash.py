@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 2048) -> D
     members = members.join(nodes.select("node", "marks"), "node")
     pairs = materialize(candidates(members, block), "pairs")
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
     texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
     links = materialize(verify(pairs, texts, least), "verified")
     labels = components(links)
