@@ -119,7 +119,7 @@ def redact(docs: DataFrame, scope: int = 256, mask: str = "[REDACTED]") -> DataF
             F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["end"]).alias("b")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))),
     )
-    rows = numbered.join(spans.withColumn("_m", merged), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left")
+    rows = numbered.join(spans.withColumn("_m", merged).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left")
     text = F.col("text")
     head = F.transform("_m", lambda x, i: text.substr((F.when(i > 0, F.try_element_at("_m", i)["b"]).otherwise(0) + 1).cast("int"), (x["a"] - F.when(i > 0, F.try_element_at("_m", i)["b"]).otherwise(0)).cast("int")))
     tail = text.substr((F.try_element_at("_m", F.lit(-1))["b"] + 1).cast("int"), F.length(text))

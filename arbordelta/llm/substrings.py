@@ -398,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
         dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
         replies = materialize(arrow_map(dealt, judge, BACK), tag)
         grouped = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "payload")).alias("replies"))
-        return chunks.join(grouped, "chunk", "left")
+        return chunks.join(grouped.hint("merge"), "chunk", "left")
 
     found = answered(arrow_map(rows, _send_anchors(length, gram, buckets, chunk_bytes), SENT), _judge_anchors(hot), "anchors")
     found = answered(arrow_map(found, _send_super_windows(length, gram, buckets), SENT), _judge_super_windows(length), "windows")

@@ -44,7 +44,7 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = 100, archive_bytes: int = 32 << 20, date: str = "2000-01-01T00:00:00Z") -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    rows = rows.join(revisits(rows, least), ["page_id", "digest"], "left")
+    rows = rows.join(revisits(rows, least).hint("merge"), ["page_id", "digest"], "left")
 
     def run(batches):
         shard, number, filled = TaskContext.get().partitionId(), 0, 0
