@@ -34,17 +34,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the start of each word."""
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, the start and the end of each word."""
     if not data:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], ~_SPACE[b], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     up, down = _powers(len(b))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of each word."""
+    return word_spans(data)[:2]
 
 
 def _blocks(data: bytes):

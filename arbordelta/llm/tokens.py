@@ -1,8 +1,9 @@
 """Exact, cached encoding with the tokenizers library.
 
-Both vocabularies split a text at white space before merging, so the ids of a text are those of its
-white-space-bounded pieces in a row. Each distinct piece is encoded by the library once and its ids are kept as
-bytes; a text whose white space is not the plain kind is given to the library whole.
+Both vocabularies split a text at white space before merging, so the ids of a text are those of its words in a row (a
+byte-level word with the one space or line break before it). The words of many texts are found and hashed at once; each
+distinct one is encoded by the library once and its ids are kept. A text whose white space is not the plain kind
+is given to the library whole. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ import os
 import re
 from array import array
 
+import numpy as np
+
+from .shingles import mix, word_spans
+
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
-#: Pieces that one Python worker keeps for good and for a while (about 200 bytes each), and the longest piece kept.
-MAX_PIECES, MAX_RECENT, MAX_PIECE_CHARS = 600_000, 100_000, 64
-_SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
-#: White space to str.split(), but not to the tokenizers.
-_ODD = "\x1c\x1d\x1e\x1f"
-_CLEAN = re.compile(r"\n?[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
+#: Words that one Python worker keeps for good and for a while (about 200 bytes each), and the longest word kept.
+MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES = 700_000, 100_000, 64
+#: Texts are handled together up to so many characters, and longer ones are cut at single spaces.
+TOGETHER, LONGEST = 1_000_000, 8_000_000
+_EDGES = re.compile(r"[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
+_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
 
 
 class PieceEncoder:
@@ -37,41 +42,21 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _clean(self, piece: str) -> bool:
-        return not self.spaced or bool(_CLEAN.fullmatch(piece))
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.spaced:
-            return text.replace("\n", " \n").split(" ")
-        return [None] if any(c in text for c in _ODD) else text.split()
-
-    def _keep(self, pieces: dict[str, bytes]) -> None:
-        for p, ids in pieces.items():
-            if len(p) <= MAX_PIECE_CHARS:
-                (self.kept if len(self.kept) < MAX_PIECES else self.recent)[p] = ids
+    def _learn(self, keys: list[int], pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces (a word with what stands before it); None for one whose ids depend on what is around it.
+
+        Letters before one full stop or comma are merged without it, as the tokenizers do.
+        """
+        bases = [p[:-1] if p[-1] in self.marks and p[:-1].lstrip(" \n").lower().isalpha() else p for p in pieces]
+        clean = [not self.spaced or bool(_EDGES.fullmatch(p[p[0] in " \n" :])) for p in pieces]
+        distinct = dict.fromkeys(b for b, ok in zip(bases, clean) if ok)
+        ids = dict(zip(distinct, self._library(list(distinct))))
+        out = [None if not ok else ids[b] if b is p else ids[b] + self.marks[p[-1]] for p, b, ok in zip(pieces, bases, clean)]
+        for key, p, v in zip(keys, pieces, out):
+            if v is not None and len(p) <= MAX_WORD_BYTES:
+                (self.kept if len(self.kept) < MAX_WORDS else self.recent)[key] = v
         if len(self.recent) > MAX_RECENT:
             self.recent.clear()
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces that are clean. Letters before one full stop or comma are merged without it."""
-        out, ends, wanted = {}, {}, []
-        for p in pieces:
-            if p in self.recent:
-                out[p] = self.recent[p]
-            elif p[-1:] in self.marks and p[:-1].lower().isalpha():
-                ends[p] = p[:-1]
-            elif self._clean(p):
-                wanted.append(p)
-        for base in set(ends.values()).difference(wanted):
-            if base in self.kept:
-                out[base] = self.kept[base]
-            else:
-                wanted.append(base)
-        learned = dict(zip(wanted, self._library([p if not self.spaced or p[0] == "\n" else " " + p for p in wanted])))
-        out.update(learned)
-        learned.update((p, out[base] + self.marks[p[-1]]) for p, base in ends.items())
-        self._keep(learned)
-        out.update(learned)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -80,34 +65,69 @@ class PieceEncoder:
         at, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text)
-            if size > 1_000_000 or i + 1 == len(texts):
-                out += self._some(texts[at : i + 1])
+            if size > TOGETHER or i + 1 == len(texts):
+                out += self._some(texts[at : i + 1]) if size <= LONGEST + TOGETHER else [b"".join(self._some([p])[0] for p in self._cuts(t)) for t in texts[at : i + 1]]
                 at, size = i + 1, 0
         return out
 
+    @staticmethod
+    def _cuts(text: str):
+        at = 0
+        while len(text) - at > LONGEST and (m := _CUT.search(text, at + LONGEST)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        get, rows, missing = self.kept.get, [], set()
-        for text in texts:
-            pieces = self._pieces(text)
-            head = pieces.pop(0) if self.spaced else ""
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing.update(p for p, v in zip(pieces, ids) if v is None and p is not None)
-            else:
-                pieces = None
-            rows.append([head, pieces, ids])
-        learned = self._learn(missing) if missing else {}
-        out: list[bytes | None] = []
-        for head, pieces, ids in rows:
-            if pieces is not None:
-                ids = [learned.get(p) if v is None else v for p, v in zip(pieces, ids)]
-            out.append(None if None in ids or (head and _SPACE.match(head[-1])) else b"".join(ids))
-        heads = [i for i, row in enumerate(rows) if row[0] and out[i] is not None]
-        for i, ids in zip(heads, self._library([rows[i][0] for i in heads])):
-            out[i] = ids + out[i]
-        whole = [i for i, v in enumerate(out) if v is None]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
+        data = [t.encode() for t in texts]
+        joined = b"\n".join(data)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        text_ends = np.cumsum(sizes + 1) - 1
+        key, starts, ends = word_spans(joined)
+        owner = np.searchsorted(text_ends, starts, "right")
+        slow = np.zeros(len(texts), bool)
+        lead = np.zeros(len(key), np.int64)  # bytes before the word that are merged with it
+        if self.spaced and len(key):
+            b = np.frombuffer(joined, np.uint8)
+            begins = (text_ends - sizes)[owner]
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            gap = starts - np.where(first, begins, np.concatenate([[0], ends[:-1]]))
+            before = b[np.maximum(starts - 1, 0)]
+            lead = (gap > 0).astype(np.int64)
+            plain = (gap == 0) & first | (gap == 1) & ((before == 32) | (before == 10))
+            slow[owner[~plain]] = True
+            last = np.concatenate([first[1:], [True]])
+            slow[owner[last & (ends < text_ends[owner])]] = True
+            key = mix(key + lead.astype(np.uint64) * before.astype(np.uint64))
+        if self.spaced:
+            slow[(sizes > 0) & (np.bincount(owner, minlength=len(texts)) == 0)] = True
+        distinct, at, of = np.unique(key, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        ids = list(map(self.kept.get, names))
+        if missing := [i for i, v in enumerate(ids) if v is None]:
+            recent = self.recent
+            for i in missing:
+                ids[i] = recent.get(names[i])
+            missing = [i for i in missing if ids[i] is None]
+            a, z = (starts - lead)[at].tolist(), ends[at].tolist()
+            for i, v in zip(missing, self._learn([names[i] for i in missing], [joined[a[i] : z[i]].decode() for i in missing])):
+                ids[i] = v
+            unclear = np.fromiter((v is None for v in ids), bool, len(ids))
+            if unclear.any():
+                slow[owner[unclear[of]]] = True
+                ids = [v or b"" for v in ids]
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = (np.cumsum(size) - size)[of]
+        size = size[of]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        stream = flat[np.repeat(begin - upto[:-1], size) + np.arange(int(upto[-1]))]
+        cuts = upto[np.searchsorted(owner, np.arange(len(texts) + 1))].tolist()
+        view = stream.tobytes()
+        out = [view[4 * a : 4 * z] for a, z in zip(cuts[:-1], cuts[1:])]
+        whole = np.flatnonzero(slow).tolist()
+        for i, v in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = v
         return out
 
 
@@ -115,7 +135,7 @@ _ENCODERS: dict[tuple[int, bool], PieceEncoder] = {}
 
 
 def encoder_for(tokenizer_json: str, spaced: bool) -> PieceEncoder:
-    """One encoder for each Python worker; tasks that reuse the worker find its pieces."""
+    """One encoder for each Python worker; tasks that reuse the worker find its words."""
     key = (hash(tokenizer_json), spaced)
     if key not in _ENCODERS:
         _ENCODERS.clear()
