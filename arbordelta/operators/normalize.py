@@ -86,7 +86,7 @@ def comparison(found: DataFrame, names: DataFrame) -> DataFrame:
         year = F.coalesce(T.first_year(txt(f"gdp_{kind_}")), T.first_year(get(f"gdp_{kind_}")["raw_label"]))
         leaf(f"economy.gdp_{kind_}_year", year, has(f"gdp_{kind_}"))
         for part, said in (("total", "Total"), ("per_capita", "Per capita")):
-            other = named(lambda x, mark=mark, said=said: x["raw_label"].contains(mark) & x["raw_label"].contains(said))["text"]
+            other = named(lambda x: x["raw_label"].contains(mark) & x["raw_label"].contains(said))["text"]  # noqa: B023
             leaf(f"economy.gdp_{kind_}_{part}", T.strip_rank(F.coalesce(txt(f"gdp_{kind_}_{part}"), other)))
     index = F.concat(F.filter("all", lambda x: x["key"] == "hdi"), F.array_sort(F.filter("all", lambda x: x["key"].startswith("hdi_"))))
     said = F.array_join(F.filter(F.transform(index, lambda x: x["text"]), lambda x: x != ""), " ")
