@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import diff, features, ranking, ted
+from .operators import diff, features, normalize, patch, ranking, render, ted
 from .plans.datasets import CUSTOMER_SQL, PART_SQL, customer_trees, neighbours, part_trees, read
 from .plans.trees import nodes, validate
+from .sources import store
 
 QUERY_PART = "part_000000007"
 FEATURES = ["fields.name", "fields.orders.orders_item.status"]
@@ -204,6 +205,102 @@ def diff_categories(spark, sf_dir):
 CATEGORIES_SQL = _sql(*_DIFF, then="SELECT 'Others' AS category, count(*) AS n FROM ops")
 
 
+# ---- patches and renderings ----
+_AS_TEXT = "array_to_string(list_transform({s}, lambda x: x.depth || ':' || x.label || '=' || coalesce(x.value, '')), '|')"
+
+
+def _round_trip(spark, sf_dir, algorithm):
+    """Sources patched by their scripts; they must become their targets."""
+    pairs = neighbours(customer_trees(spark, sf_dir))
+    done = patch.apply_script(pairs, ted.scripts(pairs, algorithm), algorithm)
+    seq = F.transform("patched", lambda x: F.concat_ws("=", F.concat(x["depth"].cast("string"), F.lit(":"), x["label"]), F.coalesce(x["value"], F.lit(""))))
+    return done.select("source_id", "target_id", F.array_join(seq, "|").alias("tree"), "error")
+
+
+def patch_round_trip_chawathe(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "chawathe")
+
+
+def patch_round_trip_nj(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "nj")
+
+
+def patch_zhang_shasha(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "zhang_shasha")
+
+
+ROUND_TRIP_SQL = _sql(*_CUSTOMER_PAIRS, then=f"SELECT source_id, target_id, {_AS_TEXT.format(s='b')} AS tree, NULL::VARCHAR AS error FROM pairs")
+
+
+def feature_patch(spark, sf_dir):
+    pairs = neighbours(part_trees(spark, sf_dir))
+    made = patch.patch_from_features(pairs, ["name", "fields.size", "brand"], ["brand"]).join(pairs, ["source_id", "target_id"])
+    return _as_text(patch.apply_paths(made.select(F.col("source_id").alias("tree_id"), F.col("a").alias("seq"), "patch")))
+
+
+FEATURE_PATCH_SQL = _sql(
+    PART_SQL, _PAIRS.format(t="parts"),
+    then="SELECT source_id AS tree_id, array_to_string(list_transform(a, lambda x, i: x.depth || ':' || x.label || '=' || coalesce(CASE WHEN x.label IN ('name', 'size') THEN b[i].value ELSE x.value END, '')), '|') AS tree FROM pairs",
+)
+
+
+def script_summary_nj(spark, sf_dir):
+    return patch.summarize_script(ted.scripts(neighbours(customer_trees(spark, sf_dir)), "nj"))
+
+
+def script_summary_chawathe(spark, sf_dir):
+    return patch.summarize_script(ted.scripts(neighbours(customer_trees(spark, sf_dir))))
+
+
+def script_normalized(spark, sf_dir):
+    pairs = neighbours(part_trees(spark, sf_dir))
+    return patch.normalized_scripts(pairs, ted.scripts(pairs))
+
+
+def infobox_text(spark, sf_dir):
+    return render.infobox_text(customer_trees(spark, sf_dir))
+
+
+INFOBOX_SQL = _sql(
+    *_CUSTOMER_NODES,
+    then="""SELECT tree_id, '{{Infobox country' || chr(10) || '| name = ' || tree_id || chr(10) || string_agg('| ' || regexp_replace(array_to_string(path[2:], '.'), '^fields\\.', '') || ' = ' || value, chr(10) ORDER BY pre) || chr(10) || '}}' AS text
+  FROM nodes WHERE size = 1 GROUP BY tree_id""",
+)
+
+
+def indented_text(spark, sf_dir):
+    return render.indented(customer_trees(spark, sf_dir))
+
+
+INDENTED_SQL = _sql(CUSTOMER_SQL, then="SELECT tree_id, array_to_string(list_transform(seq, lambda x: repeat('  ', x.depth) || x.label || CASE WHEN x.value IS NULL THEN '' ELSE ' = ' || x.value END), chr(10)) AS text FROM customers")
+
+
+def drawn_text(spark, sf_dir):
+    return render.drawn(customer_trees(spark, sf_dir))
+
+
+def json_xml(spark, sf_dir):
+    return render.documents(part_trees(spark, sf_dir))
+
+
+def upsert_entities(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("slug"), F.col("c_name").alias("name"), "c_custkey")
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("slug"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("c_custkey"))
+    return store.upsert(n, c.where(F.col("c_custkey") % 3 == 0), order="c_custkey")
+
+
+UPSERT_SQL = """WITH new AS (SELECT 'c' || c_nationkey AS slug, c_name AS name, c_custkey FROM customer WHERE c_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1),
+old AS (SELECT 'c' || n_nationkey AS slug, n_name AS name, n_nationkey::BIGINT AS c_custkey FROM nation) SELECT * FROM new UNION ALL SELECT * FROM old WHERE slug NOT IN (SELECT slug FROM new)"""
+
+
+def fields_last_wins(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return normalize.fields(c.select(F.col("conv_id").alias("entity"), F.col("turn").alias("pos"), F.col("role").alias("label"), F.length("text").cast("string").alias("value_text"))).withColumnRenamed("pos", "first_pos")
+
+
+FIELDS_SQL = "SELECT conv_id AS entity, role AS key, min(turn) AS first_pos, role AS raw_label, arg_max(length(text)::VARCHAR, turn) AS text FROM conversations GROUP BY conv_id, role"
+
+
 # ---- text functions over documents ----
 def text_functions(spark, sf_dir):
     d, t = read(spark, sf_dir, "documents"), F.col("text")
@@ -242,10 +339,14 @@ QUERIES = {
     for f in (
         rank_chawathe, rank_both, ted_chawathe_pairs, ted_nj_pairs, ted_zhang_shasha_pairs, ted_scripts_chawathe, tree_nodes, keyroots, validate_trees, leaf_paths, feature_union,
         prune_include, prune_exclude, path_lookup, tree_similarity, semantic_diff, semantic_summary, diff_categories, text_functions, merge_tokens, json_shred,
+        patch_round_trip_chawathe, patch_round_trip_nj, patch_zhang_shasha, feature_patch, script_summary_nj, script_summary_chawathe, script_normalized, infobox_text, indented_text, drawn_text, json_xml,
+        upsert_entities, fields_last_wins,
     )
 }
 SQL = {
     "rank_chawathe": RANK_SQL, "ted_chawathe_pairs": TED_SQL, "tree_nodes": NODES_SQL, "keyroots": KEYROOTS_SQL, "validate_trees": VALIDATE_SQL, "leaf_paths": LEAF_PATHS_SQL,
     "feature_union": FEATURE_UNION_SQL, "prune_include": _prune_sql(""), "prune_exclude": _prune_sql("NOT"), "path_lookup": LOOKUP_SQL, "tree_similarity": SIMILARITY_SQL,
     "semantic_diff": DIFF_SQL, "semantic_summary": SUMMARY_SQL, "diff_categories": CATEGORIES_SQL, "text_functions": TEXT_SQL, "json_shred": JSON_SQL,
+    "patch_round_trip_chawathe": ROUND_TRIP_SQL, "patch_round_trip_nj": ROUND_TRIP_SQL, "feature_patch": FEATURE_PATCH_SQL, "infobox_text": INFOBOX_SQL, "indented_text": INDENTED_SQL,
+    "upsert_entities": UPSERT_SQL, "fields_last_wins": FIELDS_SQL,
 }

@@ -236,7 +236,7 @@ def test_queries_match_their_sql(spark):
     from arbordelta import queries
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("customer", "orders", "part", "events", "documents"):
+    for t in ("customer", "orders", "part", "events", "documents", "nation", "conversations"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         got, want = queries.QUERIES[name](spark, d).toPandas(), con.sql(sql).df()
