@@ -36,9 +36,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     before, everywhere = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     # With the sources before this one at their caps, the level that the others would share.
     level = (F.sum("source_size").over(everywhere) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everywhere) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    levels = ranked.withColumn("level", level)
+    levels = ranked.withColumns({"level": level, "place": F.row_number().over(order)})
     # The first source that the level does not fill up to its cap fixes it for all after it.
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everywhere)["level"]
+    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everywhere)["level"]
     return levels.withColumn("water", water).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("water") * F.col("w")), F.col("cap")).alias("target"))
 
 
