@@ -108,33 +108,37 @@ LOWEST = 0.72
 NEAREST = 8
 
 
-def spanning_forest(marks: np.ndarray, lowest: float = LOWEST) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (positions) of a forest of greatest estimated similarity over the rows of marks and to each row's nearest, and a row of each tree (its first)."""
+def spanning_forest(marks: np.ndarray, lowest: float = LOWEST, sure: float = 0.8) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges (positions) to try of the rows of marks, and the rows that stand for the rest elsewhere.
+
+    The edges: a forest of greatest estimated similarity, and each row to its nearest. The rows: of each part joined by
+    estimates of `sure` and more, the one with the most of them.
+    """
     g, m = marks.shape
-    need = max(1, int(lowest * m))
+    need, strict = max(1, int(lowest * m)), max(1, int(sure * m))
     if g == 2:
-        return ([(0, 1)], [0]) if (marks[0] == marks[1]).sum() >= need else ([], [0, 1])
+        alike = int((marks[0] == marks[1]).sum())
+        return [(0, 1)] if alike >= need else [], [0] if alike >= strict else [0, 1]
     best, up, left = np.full(g, -1, np.int64), np.zeros(g, np.int64), np.ones(g, bool)
-    edges, roots, at = [], [], 0
+    part, degree, edges, at = np.arange(g), np.zeros(g, np.int64), [], 0
     for _ in range(g):
         left[at] = False
         alike = (marks == marks[at]).sum(1)
+        degree[at] = (alike >= strict).sum()
         near = np.argpartition(-alike, NEAREST)[: NEAREST + 1] if g > NEAREST + 1 else np.arange(g)
         edges += [(at, k) for k in near.tolist() if k != at and alike[k] >= need]
         closer = left & (alike > best)
         best[closer], up[closer] = alike[closer], at
-        if not roots:
-            roots.append(at)
         reach = np.where(left, best, -2)
         at = int(reach.argmax())
         if reach[at] == -2:
             break
         if reach[at] >= need:
             edges.append((int(up[at]), at))
-        else:
-            at = int(left.argmax())
-            roots.append(at)
-    return edges, roots
+        if reach[at] >= strict:  # rows come in order of nearness, so the one it is nearest to has its part already
+            part[at] = part[up[at]]
+    order = np.lexsort((-degree, part))
+    return edges, order[np.concatenate([[True], part[order][1:] != part[order][:-1]])].tolist()
 
 
 def _forests(batches):

@@ -369,8 +369,14 @@ def test_a_hot_group_of_near_copies_in_small_blocks(spark):
     # With the text that all were copied from among them, every copy is linked to it.
     rows += [(1000 + i, " ".join(f"z{i}-{k}" for k in range(50))) for i in range(20)] + [(500, " ".join(base))]
     want, df = brute_classes(rows), spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (64, 2048):
-        assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df, block=block).collect()} == want
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df).collect()} == want
+
+
+def test_a_bucket_cut_into_blocks(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[: i % 120], f"e{i}", *base[i % 120 + 1 :]])) for i in range(200)]  # 0.92 to the base, 0.83 to each other
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.class_id for r in bagminhash.near_duplicates(df, block=32).collect()} == {0}
 
 
 def test_signatures_estimate_weighted_jaccard():
