@@ -60,7 +60,10 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     rows = light.join(by_source, F.col("source").eqNullSafe(F.col("ps")) & (F.col("salt") == F.col("psalt"))).drop("ps", "psalt")
     expected = F.least(F.lit(float(most)), F.coalesce(F.col("target") * F.col("dw") / F.when(F.col("tilted") > 0, F.col("tilted")), F.lit(0.0)))
     rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    # The same factor for a whole source keeps the order and spreads its keys evenly over the bins.
+    even = F.col("target") / F.col("source_size")
+    even = F.least(F.greatest(even - F.floor(even), F.lit(1e-9)), F.lit(1 - 1e-9))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))) * (even / (1 - even))
     # q orders as the odds do; documents without a fraction left are last.
     rows = rows.withColumn("q", F.when((F.col("p") > 0) & (F.col("whole") < most), odds / (1 + odds)).otherwise(F.when(F.col("whole") < most, 1.0)))
     rows = rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("q") * bins)).cast("int"))
