@@ -37,11 +37,12 @@ def nodes(trees: DataFrame) -> DataFrame:
     ordinal: place among the siblings. occ_path names a node by label#k, the k-th sibling of that label; keyed_path by
     label, or label[k] if a sibling has the same. Both leave the root out.
     """
-    rows = trees.selectExpr("tree_id", "seq", "cast(size(seq) as int) as n", "posexplode(seq) as (pre, x)").selectExpr(
+    # A node's line, itself and its ancestors, is what is less deep in the line of the node before it, and the node.
+    lines = """aggregate(seq, cast(array() as array<array<int>>), (acc, x) -> array_append(acc,
+      array_append(coalesce(filter(try_element_at(acc, -1), k -> seq[k].depth < x.depth), cast(array() as array<int>)), size(acc))))"""
+    rows = trees.selectExpr("tree_id", "seq", f"{lines} as lines").selectExpr("tree_id", "seq", "lines", "cast(size(seq) as int) as n", "posexplode(seq) as (pre, x)").selectExpr(
         "tree_id", "n", "pre", "x.label as label", "x.value as value", "x.depth as depth",
-        "cast(array_min(filter(sequence(pre + 1, n), k -> k = n or seq[k].depth <= x.depth)) - pre as int) as size",
-        # the node and its ancestors, root first: the last earlier node of each lesser depth
-        "if(x.depth = 0, array(pre), array_append(transform(sequence(0, x.depth - 1), d -> array_max(filter(sequence(0, pre - 1), k -> seq[k].depth = d))), pre)) as line",
+        "cast(array_min(filter(sequence(pre + 1, n), k -> k = n or seq[k].depth <= x.depth)) - pre as int) as size", "lines[pre] as line",
     )
     rows = rows.selectExpr("*", "if(pre = 0, -1, line[size(line) - 2]) as parent_pre")
     alike, siblings = W.partitionBy("tree_id", "parent_pre", "label"), W.partitionBy("tree_id", "parent_pre")
