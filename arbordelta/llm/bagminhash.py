@@ -13,6 +13,10 @@ makes all pairs; texts of one class meet in many buckets, each with another fore
 level fits in a block. Each edge is then verified exactly on the multisets, and links (similarity of at least
 `least`) join nodes into classes by label propagation.
 
+Then all pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds: of
+each text its nearest 64, then 512, and so on until no text has more. A bucket that is one class costs nothing; one
+of g texts that are likely but not similar costs up to g^2 / 2 exact comparisons. n_links counts the links that were tried.
+
 Defined cases: texts without a word (null, empty, blank) have no shingles and are classes of their own; texts of fewer
 than five words have one shingle, all their words; repeated rows have the same class, and rows that share a doc_id
 count as one document; rows without doc_id have no class; an empty table gives no rows; other columns are not read.
@@ -141,37 +145,68 @@ def spanning_forest(marks: np.ndarray, lowest: float = LOWEST, sure: float = 0.8
     return edges, order[np.concatenate([[True], part[order][1:] != part[order][:-1]])].tolist()
 
 
-def _forests(batches):
-    """Rows (key, salt, node, marks) ordered by key and salt -> (key, a, b) with b null for a tree's row that goes on."""
-
-    def solve(keys, salts, nodes, marks, out):
-        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]), [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            own = nodes[a:b]
-            edges, roots = spanning_forest(marks[a:b])
-            for x, y in edges:
-                p, q = int(own[x]), int(own[y])
-                out.append((int(keys[a]), min(p, q), max(p, q)))
-            if salts[a] >= 0:  # a block of a larger bucket
-                out += [(int(keys[a]), int(own[r]), None) for r in roots]
-
+def _groups(batches, by: tuple[str, ...], more: tuple[str, ...]):
+    """Rows (by, more, marks) ordered by `by` -> a tuple of arrays (by, more, marks) for each group."""
     held = None
     for batch in _and_end(batches):
-        out: list[tuple] = []
         if batch is not None:
-            keys, salts, nodes = (batch.column(n).to_numpy() for n in ("key", "salt", "node"))
             marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            now = (keys, salts, nodes, marks)
+            now = (*(batch.column(n).to_numpy(zero_copy_only=False) for n in (*by, *more)), marks)
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            last = np.flatnonzero(np.any([x != x[-1] for x in held[: len(by)]], 0))
             ready = int(last[-1]) + 1 if len(last) else 0
         else:
             ready = len(held[0]) if held is not None else 0
         if ready:
-            solve(*(x[:ready] for x in held), out)
+            new = np.any([x[1:ready] != x[: ready - 1] for x in held[: len(by)]], 0)
+            cuts = np.flatnonzero(np.concatenate([[True], new, [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield tuple(x[a:b] for x in held)
             held = tuple(x[ready:] for x in held)
-        columns = list(zip(*out)) if out else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
+
+
+def _forests(batches):
+    """Rows (key, salt, node, marks) ordered by key and salt -> (key, a, b) with b null for a tree's row that goes on."""
+    out: list[tuple] = []
+    for keys, salts, own, marks in _groups(batches, ("key", "salt"), ("node",)):
+        edges, roots = spanning_forest(marks)
+        for x, y in edges:
+            p, q = int(own[x]), int(own[y])
+            out.append((int(keys[0]), min(p, q), max(p, q)))
+        if salts[0] >= 0:  # a block of a larger bucket
+            out += [(int(keys[0]), int(own[r]), None) for r in roots]
+        if len(out) > 10_000:
+            yield _longs(out, ["key", "a", "b"])
+            out = []
+    yield _longs(out, ["key", "a", "b"])
+
+
+def _across(most: int):
+    """Rows (key, probe, node, label, marks) ordered by key -> (a, b): each probe with its likely ones of other labels, the nearest `most`; b is null for a probe that has more."""
+
+    def run(batches):
+        out: list[tuple] = []
+        for _, probe, node, label, marks in _groups(batches, ("key",), ("probe", "node", "label")):
+            need, others = max(1, int(LOWEST * marks.shape[1])), np.flatnonzero(~probe)
+            for i in np.flatnonzero(probe).tolist():
+                apart = others[label[others] != label[i]]
+                alike = (marks[apart] == marks[i]).sum(1)
+                near = np.flatnonzero(alike >= need)
+                if len(near) > most:
+                    near = near[np.argpartition(-alike[near], most)[:most]]
+                    out.append((int(node[i]), None))
+                own = int(node[i])
+                out += [(min(own, k), max(own, k)) for k in node[apart[near]].tolist()]
+                if len(out) > 10_000:
+                    yield _longs(out, ["a", "b"])
+                    out = []
+        yield _longs(out, ["a", "b"])
+
+    return run
 
 
 def _and_end(batches):
@@ -197,6 +232,19 @@ def candidates(members: DataFrame, block: int) -> DataFrame:
         block *= 2
 
 
+def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket but not a class, up to `most` nearest of each text; b is null for texts with more.
+
+    buckets: key, node. A text of a bucket's largest class needs no pairs of its own: those of the others reach it.
+    """
+    now = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    now = now.join(sizes.where("all > top.n").select("key", F.col("top.label").alias("top")), "key")
+    sides = F.when(F.col("label") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    dealt = now.join(nodes.select("node", "marks"), "node").select("key", F.explode(sides).alias("probe"), "node", "label", "marks")
+    return arrow_map(dealt.repartition("key").sortWithinPartitions("key"), _across(most), "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is at least `least`. texts: doc_id, text."""
 
@@ -245,12 +293,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 2048) -> D
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = rows.select("key", "node").join(shared, "key")
     members = members.join(nodes.select("node", "marks"), "node")
-    pairs = materialize(candidates(members, block), "pairs")
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
-    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
-    links = materialize(verify(pairs, texts, least), "verified")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
+        texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+        return materialize(verify(pairs, texts, least), "verified")
+
+    tried = materialize(candidates(members, block), "pairs")
+    links = verified(tried)
     labels = components(links)
+    # Of a bucket of up to NEAREST + 1 texts all likely pairs are tried by now. A larger one may have rejected some that hid others.
+    large = materialize(rows.join(shared.where((F.col("n") > min(NEAREST + 1, block)) & (F.col("n") <= block)).select("key"), "key"), "large-buckets")
+    most, more = 64, True
+    while more:
+        found = materialize(untried(large, nodes, labels, most), "untried")
+        more = not found.where("b is null").isEmpty()
+        pairs = materialize(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried, links = tried.union(pairs), links.union(verified(pairs))
+            labels = components(links)
+        most *= 8
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     table = nodes.select("copy", "node").join(labels, "node", "left").join(degree, "node", "left")
     table = table.select("copy", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

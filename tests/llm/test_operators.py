@@ -379,6 +379,24 @@ def test_a_bucket_cut_into_blocks(spark):
     assert {r.class_id for r in bagminhash.near_duplicates(df, block=32).collect()} == {0}
 
 
+def rare_links(n=140):
+    """Texts that are mostly at 0.75 to 0.79 to each other: 7 of 100 places changed in each, 0.802 and more where two have 3 or more of them in common."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(n):
+        w = [f"w{k}" for k in range(504)]
+        for k in rng.choice(100, 7, replace=False).tolist():
+            w[5 * k + 2] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_rare_links_among_many_likely_pairs(spark):
+    rows = rare_links()
+    want, df = brute_classes(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    assert 1 < len(set(want.values())) < len(want)
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df).collect()} == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 9, 300)
