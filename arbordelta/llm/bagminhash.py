@@ -14,7 +14,7 @@ level fits in a block. Each edge is then verified exactly on the multisets, and
 `least`) join nodes into classes by label propagation.
 
 Then all pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds: of
-each text its nearest 64, then 512, and so on until no text has more. A bucket that is one class costs nothing; one
+each text its nearest 64, then 512, and so on until no text has more; the blocks of a larger bucket meet two by two. A bucket that is one class costs nothing; one
 of g texts that are likely but not similar costs up to g^2 / 2 exact comparisons. n_links counts the links that were tried.
 
 Defined cases: texts without a word (null, empty, blank) have no shingles and are classes of their own; texts of fewer
@@ -186,11 +186,11 @@ def _forests(batches):
 
 
 def _across(most: int):
-    """Rows (key, probe, node, label, marks) ordered by key -> (a, b): each probe with its likely ones of other labels, the nearest `most`; b is null for a probe that has more."""
+    """Rows (key, row, column, probe, node, label, marks) ordered by the first three -> (a, b): each probe with its likely ones of other labels, the nearest `most`; b is null for a probe that has more."""
 
     def run(batches):
         out: list[tuple] = []
-        for _, probe, node, label, marks in _groups(batches, ("key",), ("probe", "node", "label")):
+        for *_, probe, node, label, marks in _groups(batches, ("key", "row", "column"), ("probe", "node", "label")):
             need, others = max(1, int(LOWEST * marks.shape[1])), np.flatnonzero(~probe)
             for i in np.flatnonzero(probe).tolist():
                 apart = others[label[others] != label[i]]
@@ -218,7 +218,7 @@ def candidates(members: DataFrame, block: int) -> DataFrame:
     """Distinct pairs (a, b) to verify. members: key, node, marks, n (the bucket's size)."""
     pairs = None
     while True:
-        salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") * 1.25 / block)).cast("int")).otherwise(F.lit(-1))
+        salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "key", "n"), F.ceil(F.col("n") * 1.25 / block)).cast("int")).otherwise(F.lit(-1))
         dealt = members.select("key", salt.alias("salt"), "node", "marks").repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
         found = materialize(arrow_map(dealt, _forests, "key long, a long, b long"), "forests")
         edges = found.where("b is not null").select("a", "b")
@@ -232,17 +232,21 @@ def candidates(members: DataFrame, block: int) -> DataFrame:
         block *= 2
 
 
-def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int, block: int) -> DataFrame:
     """Pairs (a, b) of texts that share a bucket but not a class, up to `most` nearest of each text; b is null for texts with more.
 
     buckets: key, node. A text of a bucket's largest class needs no pairs of its own: those of the others reach it.
+    The others are cut into rows of blocks, all texts into columns, and every row meets every column.
     """
     now = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    now = now.join(sizes.where("all > top.n").select("key", F.col("top.label").alias("top")), "key")
-    sides = F.when(F.col("label") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    dealt = now.join(nodes.select("node", "marks"), "node").select("key", F.explode(sides).alias("probe"), "node", "label", "marks")
-    return arrow_map(dealt.repartition("key").sortWithinPartitions("key"), _across(most), "a long, b long")
+    now = now.join(sizes.where("all > top.n").select("key", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("rows"), F.ceil(F.col("all") / block).alias("columns")), "key")
+    place = F.xxhash64("node", "key")
+    others = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(F.lit(False).alias("probe"), r.alias("row"), F.pmod(place, F.col("columns")).alias("column")))
+    probes = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.lit(True).alias("probe"), F.pmod(place, F.col("rows")).alias("row"), c.alias("column")))
+    sides = F.when(F.col("label") == F.col("top"), others).otherwise(F.concat(others, probes))
+    dealt = now.join(nodes.select("node", "marks"), "node").select("key", F.explode(sides).alias("at"), "node", "label", "marks").select("key", "at.*", "node", "label", "marks")
+    return arrow_map(dealt.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), _across(most), "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -304,10 +308,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 2048) -> D
     links = verified(tried)
     labels = components(links)
     # Of a bucket of up to NEAREST + 1 texts all likely pairs are tried by now. A larger one may have rejected some that hid others.
-    large = materialize(rows.join(shared.where((F.col("n") > min(NEAREST + 1, block)) & (F.col("n") <= block)).select("key"), "key"), "large-buckets")
+    large = materialize(rows.join(shared.where(F.col("n") > min(NEAREST + 1, block)).select("key"), "key"), "large-buckets")
     most, more = 64, True
     while more:
-        found = materialize(untried(large, nodes, labels, most), "untried")
+        found = materialize(untried(large, nodes, labels, most, block), "untried")
         more = not found.where("b is null").isEmpty()
         pairs = materialize(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():

@@ -397,6 +397,12 @@ def test_rare_links_among_many_likely_pairs(spark):
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df).collect()} == want
 
 
+def test_rare_links_between_blocks(spark):
+    rows = rare_links()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(df, block=32).collect()} == brute_classes(rows)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 9, 300)
