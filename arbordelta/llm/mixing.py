@@ -42,16 +42,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return levels.withColumn("water", water).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("water") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20, document_weight: Column | None = None, bins: int = 1024) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies. document_weight (positive) tilts the inclusion odds within a source."""
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20, document_weight: Column | None = None, bins: int = 1024, key: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies. document_weight (positive) tilts the inclusion odds within a source.
+
+    key: a column that tells rows apart; it is returned too, and documents without doc_id are drawn by it.
+    """
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
+    drawn_by = F.col("doc_id").cast("long") if key is None else F.coalesce(F.col("doc_id").cast("long"), F.col(key))
+    own = [] if key is None else [key]
+    hashed = F.xxhash64(drawn_by, F.lit(seed))
     unit = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     light = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"),
         unit.alias("u"), (F.lit(1.0) if document_weight is None else document_weight.cast("double")).alias("dw"),
+        F.pmod(F.xxhash64(drawn_by, F.lit(seed + 1)), F.lit(SALTS)).cast("int").alias("salt"), *own,
     )
-    light = materialize(light.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SALTS)).cast("int")), "mix")
+    light = materialize(light, "mix")
     sums = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("dw") * F.col("size")).alias("tilted"))
     plan = targets(sums.select("source", "source_size"), weights, share, most)
     plan = materialize(plan.join(sums.select(F.col("source").alias("s"), "tilted"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-plan")
@@ -80,6 +86,6 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     # Rows off the border range are ordered among themselves only by salt and range: their running sum is not used.
     at_border = F.col("bin") == F.col("border")
     group = W.partitionBy("source", F.when(at_border, F.lit(-1)).otherwise(F.col("salt")), F.when(at_border, F.lit(-1)).otherwise(F.col("bin")))
-    ahead = F.coalesce(F.sum("size").over(group.orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(F.sum("size").over(group.orderBy("q", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     more = F.when(F.col("bin") < F.col("border"), F.col("size")).when(at_border, F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - ahead))).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"), F.col("whole").cast("int").alias("whole_copies"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"), F.col("whole").cast("int").alias("whole_copies"), *own)

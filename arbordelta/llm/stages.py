@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, language, mixing, packing, secrets
-from .common import WORD
+from .common import WORD, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,13 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a part of a copy is the document's first words. Documents not taken go."""
-    taken = mixing.mix(docs.where("doc_id is not null")).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
-    rows = docs.join(taken.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"))
+    """Documents as often as the mix takes them; a part of a copy is the document's first words. Documents not taken go.
+
+    Rows are told apart by a number of their own, written with them, so documents without doc_id and repeated rows are mixed like all others.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(numbered, key="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = numbered.join(taken.hint("merge"), "_row")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
     text = F.when(words < F.col("_size"), _first_words(F.col("text"), words)).otherwise(F.col("text"))

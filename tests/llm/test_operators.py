@@ -450,6 +450,20 @@ def test_neighbours(spark):
 
 
 # ---- pipeline ----
+def test_mixing_stage_takes_documents_without_an_id_and_each_repeated_row_once(spark):
+    from arbordelta.llm import stages
+
+    rows = [(None, f"n{i} " * 10, "a") for i in range(20)] + [(i // 2, "w " * 11, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = stages.mix_sources(spark, df, D).collect()
+    words = Counter()
+    for r in got:
+        words[r.source] += len(r.text.split())
+    # 640 words * 1.5 = 960: source a is held at twice its 200, b gets the rest.
+    assert words == {"a": 400, "b": 560}
+    assert Counter(r.text.split()[0] for r in got if r.doc_id is None) == {f"n{i}": 2 for i in range(20)}
+
+
 def test_pipeline(spark, docs, texts):
     import corpus_pipeline
     from arbordelta.llm.common import materialize
