@@ -27,7 +27,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 WEAK_ID = r"""(?<![A-Za-z0-9_])(?i:client_?id|user_?name|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-WEAK_KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_key", "endpoint")
 STRONG = 3

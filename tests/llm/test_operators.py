@@ -79,6 +79,12 @@ def test_secrets_link_weak_parts_only_when_they_co_occur(spark):
     assert got == {1: ["weak_id", "weak_key", "endpoint"], 2: [], 3: [], 4: [], 5: ["access", "weak_key"]}
 
 
+def test_secrets_link_keys_of_any_length(spark):
+    rows = [(n, "login=alice " + ("aB3" + "xY7zQ9wK" * (n // 8 + 1))[:n]) for n in (32, 124, 128, 129, 132, 5000)]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: f"weak_id:0:11,weak_key:12:{12 + n}" for n, _ in rows}
+
+
 def test_redaction(spark):
     rows = [(1, "a token = \"" + "0f" * 12 + "\" b", "x"), (2, "plain", "y"), (None, None, "z")]
     got = [r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, keep string")).orderBy("keep").collect()]
