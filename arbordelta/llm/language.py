@@ -5,8 +5,9 @@ best of one-versus-rest machines over families; inside a family of k languages,
 and summed margins break ties. All machines are fitted on the driver from a bounded sample by dual coordinate descent;
 prediction reads the text alone.
 
-Bounds: `per_language` labelled documents of each language and `at_most` in all are drawn by hash for fitting (so the sample
-does not grow with the table); the model has dims x (families + pairs) numbers and is broadcast.
+Bounds: `per_language` distinct labelled texts of each language and `at_most` in all are drawn by hash for fitting, but
+FEWEST of each language in any case, so every language is learned and the sample grows with languages x FEWEST, not with
+the table; the model has dims x (families + pairs) numbers and is broadcast.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; rows without a language are not learned
 from; with no labelled row everything is `und`; repeated rows are predicted alike; an empty table gives no rows; other
@@ -127,20 +128,24 @@ class Model:
         return [self.langs[i] for i in best], score
 
 
+#: Of each language at least so many texts are drawn (or all that it has).
+FEWEST = 20
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
 def fit(labelled: DataFrame, per_language: int = 600, at_most: int = 6000, seed: int = 8) -> Model | None:
-    """Learn from text and lang of `labelled`. A document is drawn if its text's hash is under its language's share."""
+    """Learn from text and lang of `labelled`. A distinct text is drawn if its hash is under its language's share."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(at_most // 20).collect()  # at most 300 languages are learned
+    counts = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
-    each = max(10, min(per_language, at_most // len(counts)))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
+    each = max(FEWEST, min(per_language, at_most // len(counts)))
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
     chance = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    drawn = rows.where(chance < F.try_element_at(share, F.col("lang")))
+    drawn = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("text", "lang").distinct()
 
     def run(batches):
         for batch in batches:
@@ -151,7 +156,7 @@ def fit(labelled: DataFrame, per_language: int = 600, at_most: int = 6000, seed:
                 digest = [zlib.crc32(t.encode("utf-8", "replace")) for t, _ in part]
                 yield pa.RecordBatch.from_arrays([pa.array([v for _, v in part], pa.string()), pa.array(digest, pa.int64()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "digest", "x"])
 
-    got = arrow_map(drawn, run, "lang string, digest long, x binary").collect()  # bounded by at_most rows of 8 KB, give or take chance
+    got = arrow_map(drawn, run, "lang string, digest long, x binary").collect()  # bounded by at_most rows of 8 KB, or FEWEST for each language, give or take chance
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["digest"], r["x"]))

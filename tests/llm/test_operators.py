@@ -433,6 +433,12 @@ def test_language(docs, edge, empty):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_every_language_is_learned_from_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "Model", lambda x, langs: Counter(langs))
+    rows = [(f"text {lang} {k}", lang) for lang in ("aa", "bb", "cc", "dd") for k in range(5)] + [("text aa 0", "aa")] * 300
+    assert language.fit(spark.createDataFrame(rows, "text string, lang string"), at_most=40) == {"aa": 5, "bb": 5, "cc": 5, "dd": 5}
+
+
 # ---- 10 ----
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
