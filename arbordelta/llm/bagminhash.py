@@ -6,20 +6,21 @@ ascending order and carry a component and a place in the interval. A text uses t
 and stops when the next point is past the largest value in its signature. A component's value is its least point, so
 two texts agree in it with the probability of their weighted Jaccard similarity.
 
-Classes: equal word sequences are one node. Texts that agree in a band meet in a bucket. From a bucket come only the edges
-of a spanning forest of greatest estimated similarity and those to each text's nearest eight, so a bucket of copies never
-makes all pairs; texts of one class meet in many buckets, each with another forest. A bucket of more than
-`block` texts is cut into blocks; one text of each tree of a block goes on to the bucket's next level, until a
-level fits in a block. Each edge is then verified exactly on the multisets, and links (similarity of at least
-`least`) join nodes into classes by label propagation.
+Classes: equal word sequences are one node. Nodes that agree in a band meet in a bucket.
 
-Then all pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds: of
-each text its nearest 64, then 512, and so on until no text has more; the blocks of a larger bucket meet two by two. A bucket that is one class costs nothing; one
-of g texts that are likely but not similar costs up to g^2 / 2 exact comparisons. n_links counts the links that were tried.
+1. A bucket's first node leads: those that are 0.8 or more alike by estimate make a pair with it. The first of the rest
+   leads next, and makes a pair with the earlier leader it is most like. A bucket of more than `block` nodes is cut into
+   blocks, whose leaders meet again. Every node has few pairs, and mostly the same ones in all its buckets.
+2. Pairs are verified exactly on the multisets; links (similarity of at least `least`) join nodes into classes.
+3. All pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds:
+   of each node its nearest 64, then 512, and so on until no node has more; the blocks of a larger bucket meet two by two.
+
+So no likely pair between classes is left untried. A bucket that is one class costs nothing in step 3; one of g nodes that
+are likely but not similar costs up to g^2 / 2 exact comparisons. Links inside a class are not counted: most are never tried.
 
 Defined cases: texts without a word (null, empty, blank) have no shingles and are classes of their own; texts of fewer
-than five words have one shingle, all their words; repeated rows have the same class, and rows that share a doc_id
-count as one document; rows without doc_id have no class; an empty table gives no rows; other columns are not read.
+than five words have one shingle, all their words; repeated rows have the same class; rows that share a doc_id are judged
+by their own texts; without `key` rows without doc_id are left out; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, text_or_empty
@@ -41,6 +43,7 @@ BANDS, ROWS = 24, 4
 #: Signature values; the bands use the first of them, estimates all: one standard error is 0.02 at 0.8.
 VALUES = 384
 SALTS = 16
+NO_ID = np.iinfo(np.int64).max
 
 
 def signatures(code: np.ndarray, own: np.ndarray, weight: np.ndarray, texts: int, m: int = VALUES) -> np.ndarray:
@@ -81,68 +84,71 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a digest of the word sequence, null without words), bands, marks (a byte of each signature value)."""
+def _digests(words: np.ndarray, owners: np.ndarray, texts: int) -> list[bytes | None]:
+    """A digest of each text's word sequence, None without words."""
+    cuts = np.searchsorted(owners, np.arange(texts + 1))
+    view = memoryview(words).cast("B")
+    return [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _together(texts: list[str], most: int = 1_500_000):
+    """(from, to) of texts in a row that are `most` characters long, or one longer text."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) < most):
+            size += len(texts[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
+def _texts(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, row (what tells rows apart), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).cast("long").alias("row"), text_or_empty().alias("text")).where("row is not null")
+
+
+def sketch(texts: DataFrame) -> DataFrame:
+    """doc_id, row, copy (a digest of the word sequence, null without words), bands, marks (a byte of each signature value)."""
 
     def run(batches):
         for batch in batches:
-            ids, texts, at = batch.column("doc_id"), batch.column("text").to_pylist(), 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) < 1_500_000):
-                    size += len(texts[stop])
-                    stop += 1
-                words, owners = words_of(texts[at:stop])
+            ids, rows, own = batch.column("doc_id"), batch.column("row"), batch.column("text").to_pylist()
+            for at, stop in _together(own):
+                words, owners = words_of(own[at:stop])
                 sig = signatures(*weighted(*shingles_of(words, owners, WORDS)), stop - at)
-                cuts = np.searchsorted(owners, np.arange(stop - at + 1))
-                view = memoryview(words).cast("B")
-                copies = [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                copies = _digests(words, owners, stop - at)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (stop - at + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
                 marks = (mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), pa.array(copies, pa.binary()), bands, pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "copy", "bands", "marks"])
-                at = stop
+                columns = [ids.slice(at, stop - at), rows.slice(at, stop - at), pa.array(copies, pa.binary()), bands, pa.array([x.tobytes() for x in marks], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "copy", "bands", "marks"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    return arrow_map(rows, run, "doc_id long, copy binary, bands array<long>, marks binary")
+    return arrow_map(texts, run, "doc_id long, row long, copy binary, bands array<long>, marks binary")
 
 
 #: Estimated similarity below which an edge isn't tried: four standard errors under 0.8.
 LOWEST = 0.72
-#: Of every text in a bucket, so many of the most similar others are tried besides the forest.
-NEAREST = 8
-
+#: Links that one task joins into trees, in memory.
+LINKS = 200_000
 
-def spanning_forest(marks: np.ndarray, lowest: float = LOWEST, sure: float = 0.8) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (positions) to try of the rows of marks, and the rows that stand for the rest elsewhere.
 
-    The edges: a forest of greatest estimated similarity, and each row to its nearest. The rows: of each part joined by
-    estimates of `sure` and more, the one with the most of them.
-    """
-    g, m = marks.shape
+def leaders(marks: np.ndarray, lowest: float = LOWEST, sure: float = 0.8) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs (positions) of rows of marks to try, and the rows that lead."""
+    m, led, pairs = marks.shape[1], [], []
     need, strict = max(1, int(lowest * m)), max(1, int(sure * m))
-    if g == 2:
-        alike = int((marks[0] == marks[1]).sum())
-        return [(0, 1)] if alike >= need else [], [0] if alike >= strict else [0, 1]
-    best, up, left = np.full(g, -1, np.int64), np.zeros(g, np.int64), np.ones(g, bool)
-    part, degree, edges, at = np.arange(g), np.zeros(g, np.int64), [], 0
-    for _ in range(g):
-        left[at] = False
-        alike = (marks == marks[at]).sum(1)
-        degree[at] = (alike >= strict).sum()
-        near = np.argpartition(-alike, NEAREST)[: NEAREST + 1] if g > NEAREST + 1 else np.arange(g)
-        edges += [(at, k) for k in near.tolist() if k != at and alike[k] >= need]
-        closer = left & (alike > best)
-        best[closer], up[closer] = alike[closer], at
-        reach = np.where(left, best, -2)
-        at = int(reach.argmax())
-        if reach[at] == -2:
-            break
-        if reach[at] >= need:
-            edges.append((int(up[at]), at))
-        if reach[at] >= strict:  # rows come in order of nearness, so the one it is nearest to has its part already
-            part[at] = part[up[at]]
-    order = np.lexsort((-degree, part))
-    return edges, order[np.concatenate([[True], part[order][1:] != part[order][:-1]])].tolist()
+    left = np.arange(len(marks))
+    while len(left):
+        at, left = int(left[0]), left[1:]
+        if led:
+            alike = (marks[led] == marks[at]).sum(1)
+            if alike[best := int(alike.argmax())] >= need:
+                pairs.append((led[best], at))
+        led.append(at)
+        if len(left):
+            near = (marks[left] == marks[at]).sum(1) >= strict
+            pairs += [(at, k) for k in left[near].tolist()]
+            left = left[~near]
+    return pairs, led
 
 
 def _groups(batches, by: tuple[str, ...], more: tuple[str, ...]):
@@ -169,16 +175,15 @@ def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
 
 
-def _forests(batches):
-    """Rows (key, salt, node, marks) ordered by key and salt -> (key, a, b) with b null for a tree's row that goes on."""
+def _first_pairs(batches):
+    """Rows (key, salt, node, marks) ordered by key, salt and node -> (key, a, b), with b null for a leader of a block that goes on."""
     out: list[tuple] = []
     for keys, salts, own, marks in _groups(batches, ("key", "salt"), ("node",)):
-        edges, roots = spanning_forest(marks)
-        for x, y in edges:
-            p, q = int(own[x]), int(own[y])
-            out.append((int(keys[0]), min(p, q), max(p, q)))
+        pairs, led = leaders(marks)
+        key, nodes = int(keys[0]), own.tolist()
+        out += [(key, min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in pairs]
         if salts[0] >= 0:  # a block of a larger bucket
-            out += [(int(keys[0]), int(own[r]), None) for r in roots]
+            out += [(key, nodes[r], None) for r in led]
         if len(out) > 10_000:
             yield _longs(out, ["key", "a", "b"])
             out = []
@@ -215,27 +220,28 @@ def _and_end(batches):
 
 
 def candidates(members: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs (a, b) to verify. members: key, node, marks, n (the bucket's size)."""
-    pairs = None
+    """Distinct pairs (a, b) to verify first. members: key, node, marks, n (the bucket's size)."""
+    pairs, before = None, None
     while True:
-        salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "key", "n"), F.ceil(F.col("n") * 1.25 / block)).cast("int")).otherwise(F.lit(-1))
+        salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") * 1.25 / block)).cast("int")).otherwise(F.lit(-1))
         dealt = members.select("key", salt.alias("salt"), "node", "marks").repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-        found = materialize(arrow_map(dealt, _forests, "key long, a long, b long"), "forests")
+        found = materialize(arrow_map(dealt, _first_pairs, "key long, a long, b long"), "first-pairs")
         edges = found.where("b is not null").select("a", "b")
         pairs = edges if pairs is None else pairs.union(edges)
         on = found.where("b is null").select("key", F.col("a").alias("node"))
-        if on.isEmpty():
+        going = on.count()
+        # Leaders that hardly get fewer would go on for ever; what is between blocks is tried across classes later.
+        if going == 0 or (before is not None and going > 0.5 * before):
             return pairs.distinct()
+        before = going
         sizes = on.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        # A level that is no smaller than the one before would go on for ever: its blocks grow instead.
         members = materialize(members.select("key", "node", "marks").join(on, ["key", "node"], "left_semi").join(sizes, "key"), "level")
-        block *= 2
 
 
 def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int, block: int) -> DataFrame:
     """Pairs (a, b) of texts that share a bucket but not a class, up to `most` nearest of each text; b is null for texts with more.
 
-    buckets: key, node. A text of a bucket's largest class needs no pairs of its own: those of the others reach it.
+    buckets: key, node. A node of a bucket's largest class needs no pairs of its own: those of the others reach it.
     The others are cut into rows of blocks, all texts into columns, and every row meets every column.
     """
     now = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -249,20 +255,36 @@ def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int,
     return arrow_map(dealt.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), _across(most), "a long, b long")
 
 
+def pair_texts(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the nodes in pairs: of rows that share the node's key, one with the node's own words."""
+
+    def run(batches):
+        for batch in batches:
+            own, copies = batch.column("text").to_pylist(), batch.column("copy").to_pylist()
+            same: list[bool] = []
+            for at, stop in _together(own):
+                same += [x == y for x, y in zip(_digests(*words_of(own[at:stop]), stop - at), copies[at:stop])]
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(same, pa.bool_())) for n in ("node", "text")], ["node", "text"])
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row", "copy"), "node")
+    rows = arrow_map(texts.select("row", "text").join(asked.hint("merge"), "row").select("node", "copy", "text"), run, "node long, text string")
+    return rows.groupBy("node").agg(F.min("text").alias("text"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least `least`. texts: doc_id, text."""
+    """The pairs (a, b) whose similarity is at least `least`. texts: node, text."""
 
     def run(batches):
         kept: OrderedDict[int, tuple] = OrderedDict()
 
-        def bag(doc_id: int, text: str):
-            if doc_id not in kept:
+        def bag(node: int, text: str):
+            if node not in kept:
                 code, _, weight = weighted(*shingles_of(*words_of([text]), WORDS))
-                kept[doc_id] = (code, weight)
+                kept[node] = (code, weight)
                 if len(kept) > 64:
                     kept.popitem(last=False)
-            kept.move_to_end(doc_id)
-            return kept[doc_id]
+            kept.move_to_end(node)
+            return kept[node]
 
         for batch in batches:
             a, b, ta, tb = (batch.column(n) for n in ("a", "b", "ta", "tb"))
@@ -270,59 +292,114 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(good, pa.bool_())) for x in (a, b)], ["a", "b"])
 
     # The leader, a, may be that of very many pairs: it is joined last, so that Spark can split its pairs.
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return arrow_map(rows.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
+def _trees(round_: int):
+    """Links (a, b) -> (node, root): the trees that up to LINKS of a task's links make at a time. Roots go by hash."""
+    rank = lambda x: mix(x.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (round_ + 1) & 0xFFFFFFFFFFFFFFFF))
+
+    def joined(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        order = np.argsort(rank(names), kind="stable")
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        x, y = place[at[: len(a)]], place[at[len(a) :]]
+        root = np.arange(len(names))
+        while True:  # the larger root of each link takes the smaller, then all jump to the end
+            p, q = root[x], root[y]
+            apart = p != q
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while (root[root] != root).any():
+                root = root[root]
+        return pa.RecordBatch.from_arrays([pa.array(names[order]), pa.array(names[order][root])], ["node", "root"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINKS):
+                held.append(tuple(batch.column(k).slice(at, LINKS).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b")))
+                n += len(held[-1][0])
+                if n >= LINKS:
+                    yield joined(*(np.concatenate(c) for c in zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield joined(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of the class of every node that has a link. Labels spread to neighbours, then jump."""
-    both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    """node, label: one name for all nodes of a class, for every node that has a link.
+
+    Each task replaces its links by the trees they make. A node with several roots takes the first, and links between
+    the roots are what is left for the next round, until none is. Links of a hot class shrink to its trees at once.
+    """
+    steps = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "near").alias("to"), "label")
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        found = materialize(spread.join(jump, "to").select("node", F.least("to", "next").alias("label"), (F.least("to", "next") < F.col("label")).alias("moved")), "labels")
-        labels = found.select("node", "label")
-        if found.where("moved").isEmpty():
-            return labels
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:
-    """A row for each row of docs with a doc_id: doc_id, class_id (least doc_id of its class), n_links (verified, of its node), kept."""
-    sketches = materialize(sketch(docs), "sketches")
-    nodes = materialize(sketches.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "nodes")
+        tasks = -(-links.count() // LINKS)
+        if not tasks:
+            break
+        trees = arrow_map(links.select("a", "b").repartition(tasks), _trees(len(steps)), "node long, root long")
+        if tasks > 1:
+            trees = trees.distinct().withColumn("first", F.min("root").over(W.partitionBy("node")))
+        else:
+            trees = trees.withColumn("first", F.col("root"))
+        trees = materialize(trees, "trees")
+        steps.append(trees.select("node", F.col("first").alias("label")).distinct())
+        if tasks == 1:
+            break
+        links = trees.where("root <> first").select(F.col("root").alias("a"), F.col("first").alias("b")).distinct()
+    if not steps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = steps[-1]
+    for down in reversed(steps[:-1]):
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = down.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(labels, "labels") if len(steps) > 1 else labels
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 8192, key: str | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, class_id (least doc_id of its class), kept (the row with it; the first by key if several).
+
+    key: an integer column that tells rows apart, written with them; it is returned too, exactly one row of a class is kept,
+    and rows without doc_id (last in a class) take part.
+    """
+    texts = _texts(docs, key or "doc_id")
+    sketches = materialize(sketch(texts), "sketches")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row"))
+    nodes = sketches.where("copy is not null").groupBy("copy").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    nodes = materialize(nodes.select("copy", "first", "first.row", "bands", "marks", F.monotonically_increasing_id().alias("node")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.select("key", "node").join(shared, "key")
-    members = members.join(nodes.select("node", "marks"), "node")
+    buckets = materialize(rows.join(shared, "key").select("key", "node", "n"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
-        texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
-        return materialize(verify(pairs, texts, least), "verified")
+        return materialize(verify(pairs, materialize(pair_texts(pairs, nodes, texts), "pair-texts"), least), "verified")
 
-    tried = materialize(candidates(members, block), "pairs")
+    tried = materialize(candidates(buckets.join(nodes.select("node", "marks"), "node"), block), "pairs")
     links = verified(tried)
     labels = components(links)
-    # Of a bucket of up to NEAREST + 1 texts all likely pairs are tried by now. A larger one may have rejected some that hid others.
-    large = materialize(rows.join(shared.where(F.col("n") > min(NEAREST + 1, block)).select("key"), "key"), "large-buckets")
-    most, more = 64, True
+    # The only pair of a bucket of two is tried by now.
+    larger, most, more = buckets.where("n > 2").select("key", "node"), 64, True
     while more:
-        found = materialize(untried(large, nodes, labels, most, block), "untried")
+        found = materialize(untried(larger, nodes, labels, most, block), "untried")
         more = not found.where("b is null").isEmpty()
         pairs = materialize(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried, links = tried.union(pairs), links.union(verified(pairs))
             labels = components(links)
         most *= 8
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    table = nodes.select("copy", "node").join(labels, "node", "left").join(degree, "node", "left")
-    table = table.select("copy", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = nodes.select("copy", "node", "first").join(labels, "node", "left").select("copy", "first", F.coalesce("label", "node").alias("label"))
+    classes = named.groupBy("label").agg(F.min("first").alias("first"))
+    table = named.select("copy", "label").join(classes, "label").select("copy", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # A digest may be that of a third of all documents, so the join carries a salt.
-    every = sketches.select("doc_id", "copy", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    every = sketches.select("doc_id", "row", "copy", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     every = every.join(table, ["copy", "salt"], "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return every.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (class_id == F.col("doc_id")).alias("kept"))
+    class_id = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first.doc_id"), F.lit(NO_ID)))
+    kept = F.col("first").isNull() | (F.col("first.row") == F.col("row"))
+    return every.select("doc_id", class_id.alias("class_id"), kept.alias("kept"), *([F.col("row").alias(key)] if key else []))

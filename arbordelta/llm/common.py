@@ -4,29 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.code import arrow_map, ship
+
+__all__ = ["WORD", "arrow_map", "fresh", "materialize", "new_path", "read_table", "shared_folder", "ship", "text_or_empty"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one if driver and executors are one process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="arbordelta-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/arbordelta-{tag}-{uuid.uuid4().hex}"
+    """A path that no other run has; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/arbordelta-{tag}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as tell it from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,24 +60,3 @@ def text_or_empty(column: str = "text"):
 
 
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, so that workers need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="arbordelta-code-")) / "arbordelta_code.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(archive))
-        _SHIPPED.add(sc.applicationId)
-
-
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)

@@ -5,9 +5,9 @@ best of one-versus-rest machines over families; inside a family of k languages,
 and summed margins break ties. All machines are fitted on the driver from a bounded sample by dual coordinate descent;
 prediction reads the text alone.
 
-Bounds: `per_language` distinct labelled texts of each language and `at_most` in all are drawn by hash for fitting, but
-FEWEST of each language in any case, so every language is learned and the sample grows with languages x FEWEST, not with
-the table; the model has dims x (families + pairs) numbers and is broadcast.
+Bounds: no more than `per_language` distinct labelled texts of each language and `at_most` in all, those of least hash, are
+learned from, but FEWEST of each language in any case, so every language is learned and the sample has at most
+max(at_most, FEWEST x languages) rows; the model has dims x (families + pairs) numbers and is broadcast.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; rows without a language are not learned
 from; with no labelled row everything is `und`; repeated rows are predicted alike; an empty table gives no rows; other
@@ -22,6 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -143,9 +144,11 @@ def fit(labelled: DataFrame, per_language: int = 600, at_most: int = 6000, seed:
     if not counts:
         return None
     each = max(FEWEST, min(per_language, at_most // len(counts)))
-    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    # Half as many again as are wanted pass the hash, so that the least of them can be taken by a window over few rows.
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + 20) / r["count"])) for r in counts], "lang string, share double")
     chance = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    drawn = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("text", "lang").distinct()
+    drawn = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("text", "lang", chance.alias("chance")).distinct()
+    drawn = drawn.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("chance", "text"))).where(F.col("place") <= each)
 
     def run(batches):
         for batch in batches:
@@ -156,7 +159,7 @@ def fit(labelled: DataFrame, per_language: int = 600, at_most: int = 6000, seed:
                 digest = [zlib.crc32(t.encode("utf-8", "replace")) for t, _ in part]
                 yield pa.RecordBatch.from_arrays([pa.array([v for _, v in part], pa.string()), pa.array(digest, pa.int64()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "digest", "x"])
 
-    got = arrow_map(drawn, run, "lang string, digest long, x binary").collect()  # bounded by at_most rows of 8 KB, or FEWEST for each language, give or take chance
+    got = arrow_map(drawn, run, "lang string, digest long, x binary").collect()  # max(at_most, FEWEST x languages) rows of 8 KB at most
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["digest"], r["x"]))

@@ -11,7 +11,7 @@ lengths are the offsets in code points. Only lengths leave the scan, never texts
 
 Defined cases: null text is empty and gives no spans (the sha256 of the empty string); repeated rows are scanned each;
 equal starts are ordered by kind as listed, then end; weak parts inside a strong span are dropped; an empty table gives
-no rows; other columns are not read.
+no rows; other columns are not read. redact() leaves a null text null and reads spans by a number written with the rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fresh, materialize, text_or_empty
 
 # The patterns of the parts. Hex runs are maximal, so asking for 24 in the pattern finds the same ones.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,8 +50,11 @@ def _found(text: Column, kind: int, pattern: str, least: int = 0, group: int | N
     return F.filter(measured, lambda x: x["len"].isNotNull())
 
 
-def parts(docs: DataFrame) -> DataFrame:
-    """doc_id, row, kind, start, end: a row for each part, and one without a kind for a document that has none."""
+def parts(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, row, kind, start, end: a row for each part, and one without a kind for a document that has none.
+
+    row tells rows apart: the column `key`, or a number given here.
+    """
     text = F.col("text")
     none = F.expr("cast(array() as array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>)")
     found = F.flatten(
@@ -64,7 +67,7 @@ def parts(docs: DataFrame) -> DataFrame:
             F.when(text.contains("://"), _found(text, 5, ENDPOINT)).otherwise(none),
         )
     )
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text")).select("doc_id", "row", found.alias("found"))
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if key is None else F.col(key)).alias("row"), text_or_empty().alias("text")).select("doc_id", "row", found.alias("found"))
     rows = scanned.select("doc_id", "row", F.explode_outer("found").alias("p")).select("doc_id", "row", "p.*").repartition("doc_id", "row")
     end = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("doc_id", "row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
     rows = rows.withColumn("end", end).where("ok is null or ok")
@@ -87,9 +90,9 @@ def link(found: DataFrame, scope: int) -> DataFrame:
     return found.withColumn("kept", F.when(F.col("kind") < STRONG, True).otherwise(needs & ~covered))
 
 
-def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
+def scan(docs: DataFrame, scope: int = 256, key: str | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, row, n_assign, n_access, n_hex, n_weak, base_sha256, spans, found (array of start, kind, end)."""
-    linked = link(parts(docs), scope)
+    linked = link(parts(docs, key), scope)
     entry = F.struct("start", "kind", "end")
     rows = linked.groupBy("doc_id", "row").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(STRONG)],
@@ -107,20 +110,25 @@ def report(docs: DataFrame, scope: int = 256) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = 256, mask: str = "[REDACTED]") -> DataFrame:
-    """docs with every reported span of text replaced by mask (overlapping spans by one)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    # scan() numbers the same rows of the same files in the same way.
-    spans = scan(docs, scope).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_r"), "found")
+    """docs with every reported span of text replaced by mask (overlapping spans by one).
+
+    The rows are written once with a number; the spans are found in what was written and meet their text by that number.
+    """
+    row, own, spans = fresh(docs, "_row", "_own", "_spans")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     merged = F.aggregate(
         "found",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
+        none,
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] > x["start"]),
             F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["end"]).alias("b")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))),
     )
-    rows = numbered.join(spans.withColumn("_m", merged).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left")
-    text = F.col("text")
-    head = F.transform("_m", lambda x, i: text.substr((F.when(i > 0, F.try_element_at("_m", i)["b"]).otherwise(0) + 1).cast("int"), (x["a"] - F.when(i > 0, F.try_element_at("_m", i)["b"]).otherwise(0)).cast("int")))
-    tail = text.substr((F.try_element_at("_m", F.lit(-1))["b"] + 1).cast("int"), F.length(text))
-    return rows.withColumn("text", F.when(F.col("_m").isNull(), text).otherwise(F.concat(F.array_join(head, mask), F.lit(mask), tail))).select(*docs.columns)
+    found = scan(numbered, scope, row).where(F.size("found") > 0).select(F.col("row").alias(own), merged.alias(spans))
+    rows = numbered.join(found.hint("merge"), F.col(row) == F.col(own), "left")
+    text, after = F.col("text"), lambda i: F.when(i > 0, F.try_element_at(spans, i)["b"]).otherwise(0)
+    head = F.transform(spans, lambda x, i: text.substr((after(i) + 1).cast("int"), (x["a"] - after(i)).cast("int")))
+    tail = text.substr((F.try_element_at(spans, F.lit(-1))["b"] + 1).cast("int"), F.length(text))
+    masked = F.when(F.col(spans).isNull(), text).otherwise(F.concat(F.array_join(head, mask), F.lit(mask), tail))
+    return rows.withColumn("text", masked).select(*docs.columns)

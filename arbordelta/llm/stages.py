@@ -1,4 +1,11 @@
-"""Stages of the corpus pipeline: each keeps or changes documents and returns their columns (but the last)."""
+"""Stages of the corpus pipeline: each keeps or changes documents and returns their columns (but the last).
+
+Defined cases of every stage: rows are told apart by a number of their own, so repeated rows, rows that share a doc_id and rows
+without one are judged each; extra columns of any name are kept as they are; an empty table gives no rows; very long texts
+are read whole. A null text has no language and leaves in the first stage; given to the others by themselves, it is a
+class of its own, has no secrets and stays null, has size 0 and is not taken by the mix, and packs as the end id alone. An
+empty or blank text is like a null one, but stays as it is. Ties: of equal documents the first by doc_id, then by number, stays.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, language, mixing, packing, secrets
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text or no letter) go; lang becomes the predicted one."""
     model = language.fit(docs.where(~language.held_out()))
-    keep = {c: F.col(c) for c in docs.columns}
-    found = language.predict(docs, model, keep).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # Columns travel by place, so none of theirs clashes with the operator's.
+    found = language.predict(docs, model, {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}).where("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id. Documents without doc_id stay."""
-    gone = bagminhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One document of each class stays: the one with the smallest doc_id (null last), of several rows with it any one."""
+    row, own = fresh(docs, "_row", "_own")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    stays = bagminhash.near_duplicates(numbered, key=row).where("kept").select(F.col(row).alias(own))
+    return numbered.join(stays.hint("merge"), F.col(row) == F.col(own), "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +51,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a number of their own, written with them, so documents without doc_id and repeated rows are mixed like all others.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mixing.mix(numbered, key="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = numbered.join(taken.hint("merge"), "_row")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    text = F.when(words < F.col("_size"), _first_words(F.col("text"), words)).otherwise(F.col("text"))
+    row, own, size, taken, copy = fresh(docs, "_row", "_own", "_size", "_taken", "_copy")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = mixing.mix(numbered, key=row).where("taken > 0").select(F.col(row).alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = numbered.join(plan.hint("merge"), F.col(row) == F.col(own))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
+    text = F.when(words < F.col(size), _first_words(F.col("text"), words)).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
