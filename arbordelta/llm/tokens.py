@@ -1,21 +1,18 @@
 """Exact, cached encoding with the tokenizers library.
 
 Both vocabularies split a text at white space before merging, so the ids of a text are those of its words in a row (a
-byte-level word with the one space or line break before it). The words of many texts are found and hashed at once; each
-distinct one is encoded by the library once and its ids are kept. A text whose white space is not the plain kind
-is given to the library whole. Words are told apart by 64-bit hashes.
+byte-level word with the one space or line break before it), and those of a word are the ids of what stands before its
+closing punctuation and of the punctuation. Each distinct one is encoded by the library once and its ids are kept. A text
+that holds an added token of the vocabulary, or whose white space is not the plain kind, is given to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
-import numpy as np
-
-from .shingles import mix, word_spans
-
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
 #: Words that one Python worker keeps for good and for a while (about 200 bytes each), and the longest word kept.
@@ -24,39 +21,72 @@ MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES = 700_000, 100_000, 64
 TOGETHER, LONGEST = 1_000_000, 8_000_000
 _EDGES = re.compile(r"[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
 _CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
+#: A letter or digit that stays one character in lower case, then punctuation to the end: always two tokens. An apostrophe may belong to letters after it.
+_CLOSED = re.compile(r"(.*[A-Za-z0-9à-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class PieceEncoder:
-    """spaced: a space belongs to the word after it (byte-level BPE); else white space is dropped."""
+    """spaced: a space belongs to the word after it (byte-level BPE); else white space is dropped.
+
+    A word's key is its bytes; with `spaced` that means the word after a space or after the line break it begins with, and
+    a word with nothing before it has a space as the first byte of its key.
+    """
 
     def __init__(self, tokenizer_json: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.spaced, self.kept, self.recent = spaced, {}, {}
-        self.marks = dict(zip(".,", self._library([".", ","])))
+        self.lowers = '"type":"Lowercase"' in json.dumps(json.loads(tokenizer_json).get("normalizer"), separators=(",", ":"))
+        added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added))).encode(), re.I) if added else None
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> list[bytes | None]:
-        """Ids of pieces (a word with what stands before it); None for one whose ids depend on what is around it.
-
-        Letters before one full stop or comma are merged without it, as the tokenizers do.
-        """
-        bases = [p[:-1] if p[-1] in self.marks and p[:-1].lstrip(" \n").lower().isalpha() else p for p in pieces]
-        clean = [not self.spaced or bool(_EDGES.fullmatch(p[p[0] in " \n" :])) for p in pieces]
-        distinct = dict.fromkeys(b for b, ok in zip(bases, clean) if ok)
-        ids = dict(zip(distinct, self._library(list(distinct))))
-        out = [None if not ok else ids[b] if b is p else ids[b] + self.marks[p[-1]] for p, b, ok in zip(pieces, bases, clean)]
-        for key, p, v in zip(keys, pieces, out):
-            if v is not None and len(p) <= MAX_WORD_BYTES:
-                (self.kept if len(self.kept) < MAX_WORDS else self.recent)[key] = v
+    def _keep(self, key: bytes, ids: bytes) -> None:
+        if len(key) <= MAX_WORD_BYTES:
+            (self.kept if len(self.kept) < MAX_WORDS else self.recent)[key] = ids
+
+    def _known(self, key: bytes) -> bytes | None:
+        v = self.kept.get(key)
+        return self.recent.get(key) if v is None else v
+
+    def _parts(self, key: bytes) -> list[bytes]:
+        """Keys of what is encoded apart: a word and its closing punctuation, in small letters if that is no difference."""
+        m = _CLOSED.fullmatch(key.decode())
+        parts = [m[1].encode(), (b" " if self.spaced else b"") + m[2].encode()] if m else [key]
+        return [p.lower() if self.lowers and p.isascii() else p for p in parts]
+
+    def _learn(self, keys: list[bytes]) -> dict[bytes, bytes | None]:
+        """Ids by key; None for a word whose ids depend on what is around it."""
         if len(self.recent) > MAX_RECENT:
             self.recent.clear()
+        parts = {k: self._parts(k) for k in keys}
+        new: dict[bytes, str] = {}
+        found: dict[bytes, bytes | None] = {}
+        for p in {p for own in parts.values() for p in own}:
+            if (v := self._known(p)) is not None:
+                found[p] = v
+                continue
+            text = p.decode()
+            if self.spaced:
+                text = text[1:] if text[0] == " " else text if text[0] == "\n" else f" {text}"
+                if not _EDGES.fullmatch(text[text[0] in " \n" :]):
+                    found[p] = None
+                    continue
+            new[p] = text
+        for p, v in zip(new, self._library(list(new.values()))):
+            found[p] = v
+            self._keep(p, v)
+        out = {}
+        for k, own in parts.items():
+            ids = [found[p] for p in own]
+            out[k] = None if None in ids else b"".join(ids)
+            if out[k] is not None and own != [k]:
+                self._keep(k, out[k])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -78,54 +108,47 @@ class PieceEncoder:
             at = m.start()
         yield text[at:]
 
+    def _words(self, data: bytes) -> list[bytes] | None:
+        """The keys of a text's words; None if it goes to the library whole."""
+        if self.added is not None and self.added.search(data):
+            return None
+        if not self.spaced:
+            return data.split()
+        if not data:
+            return []
+        words = data.replace(b"\n", b" \n").split(b" ")
+        if words[0]:
+            words[0] = b" " + words[0]
+        else:  # the text begins with a space or a line break
+            del words[0]
+        return None if b"" in words else words
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        data = [t.encode() for t in texts]
-        joined = b"\n".join(data)
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        text_ends = np.cumsum(sizes + 1) - 1
-        key, starts, ends = word_spans(joined)
-        owner = np.searchsorted(text_ends, starts, "right")
-        slow = np.zeros(len(texts), bool)
-        lead = np.zeros(len(key), np.int64)  # bytes before the word that are merged with it
-        if self.spaced and len(key):
-            b = np.frombuffer(joined, np.uint8)
-            begins = (text_ends - sizes)[owner]
-            first = np.concatenate([[True], owner[1:] != owner[:-1]])
-            gap = starts - np.where(first, begins, np.concatenate([[0], ends[:-1]]))
-            before = b[np.maximum(starts - 1, 0)]
-            lead = (gap > 0).astype(np.int64)
-            plain = (gap == 0) & first | (gap == 1) & ((before == 32) | (before == 10))
-            slow[owner[~plain]] = True
-            last = np.concatenate([first[1:], [True]])
-            slow[owner[last & (ends < text_ends[owner])]] = True
-            key = mix(key + lead.astype(np.uint64) * before.astype(np.uint64))
-        if self.spaced:
-            slow[(sizes > 0) & (np.bincount(owner, minlength=len(texts)) == 0)] = True
-        distinct, at, of = np.unique(key, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        ids = list(map(self.kept.get, names))
-        if missing := [i for i, v in enumerate(ids) if v is None]:
+        words, cuts, whole = [], [0], []
+        for i, text in enumerate(texts):
+            own = self._words(text.encode())
+            if own is None:
+                whole.append(i)
+            else:
+                words += own
+            cuts.append(len(words))
+        ids = list(map(self.kept.get, words))
+        if None in ids:
+            missing = [i for i, v in enumerate(ids) if v is None]
             recent = self.recent
             for i in missing:
-                ids[i] = recent.get(names[i])
+                ids[i] = recent.get(words[i])
             missing = [i for i in missing if ids[i] is None]
-            a, z = (starts - lead)[at].tolist(), ends[at].tolist()
-            for i, v in zip(missing, self._learn([names[i] for i in missing], [joined[a[i] : z[i]].decode() for i in missing])):
-                ids[i] = v
-            unclear = np.fromiter((v is None for v in ids), bool, len(ids))
-            if unclear.any():
-                slow[owner[unclear[of]]] = True
-                ids = [v or b"" for v in ids]
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = (np.cumsum(size) - size)[of]
-        size = size[of]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        stream = flat[np.repeat(begin - upto[:-1], size) + np.arange(int(upto[-1]))]
-        cuts = upto[np.searchsorted(owner, np.arange(len(texts) + 1))].tolist()
-        view = stream.tobytes()
-        out = [view[4 * a : 4 * z] for a, z in zip(cuts[:-1], cuts[1:])]
-        whole = np.flatnonzero(slow).tolist()
+            learned = self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            for i in missing:
+                ids[i] = learned[words[i]]
+        out = []
+        for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+            own = ids[a:z]
+            if None in own:
+                whole.append(i)
+                own = []
+            out.append(b"".join(own))
         for i, v in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = v
         return out
