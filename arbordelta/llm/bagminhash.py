@@ -13,7 +13,7 @@ Classes: equal word sequences are one node. Nodes that agree in a band meet in a
    blocks, whose leaders meet again. Every node has few pairs, and mostly the same ones in all its buckets.
 2. Pairs are verified exactly on the multisets; links (similarity of at least `least`) join nodes into classes.
 3. All pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds:
-   of each node its nearest 64, then 512, and so on until no node has more; the blocks of a larger bucket meet two by two.
+   of each node its nearest 4, then 64, and so on until no node has more; the blocks of a larger bucket meet two by two.
 
 So no likely pair between classes is left untried. A bucket that is one class costs nothing in step 3; one of g nodes that
 are likely but not similar costs up to g^2 / 2 exact comparisons. Links inside a class are not counted: most are never tried.
@@ -26,7 +26,6 @@ by their own texts; without `key` rows without doc_id are left out; an empty tab
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +90,7 @@ def _digests(words: np.ndarray, owners: np.ndarray, texts: int) -> list[bytes |
     return [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _together(texts: list[str], most: int = 1_500_000):
+def _together(texts: list[str], most: int = 500_000):
     """(from, to) of texts in a row that are `most` characters long, or one longer text."""
     at = 0
     while at < len(texts):
@@ -255,46 +254,47 @@ def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int,
     return arrow_map(dealt.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), _across(most), "a long, b long")
 
 
-def pair_texts(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, text of the nodes in pairs: of rows that share the node's key, one with the node's own words."""
+def bags(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, code, weight (its shingles as ascending hashes, and how often it has them) of the nodes in pairs, each once.
+
+    Of rows that share the node's key, one with the node's own words counts.
+    """
 
     def run(batches):
         for batch in batches:
-            own, copies = batch.column("text").to_pylist(), batch.column("copy").to_pylist()
-            same: list[bool] = []
+            own, copies, ids = (batch.column(n).to_pylist() for n in ("text", "copy", "node"))
             for at, stop in _together(own):
-                same += [x == y for x, y in zip(_digests(*words_of(own[at:stop]), stop - at), copies[at:stop])]
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(same, pa.bool_())) for n in ("node", "text")], ["node", "text"])
+                words, owners = words_of(own[at:stop])
+                same = [x == y for x, y in zip(_digests(words, owners, stop - at), copies[at:stop])]
+                code, text, weight = weighted(*shingles_of(words, owners, WORDS))
+                cuts = np.searchsorted(text, np.arange(stop - at + 1)).tolist()
+                rows = [(ids[at + i], code[cuts[i] : cuts[i + 1]].tobytes(), weight[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes()) for i, ok in enumerate(same) if ok]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["node", "code", "weight"])
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row", "copy"), "node")
-    rows = arrow_map(texts.select("row", "text").join(asked.hint("merge"), "row").select("node", "copy", "text"), run, "node long, text string")
-    return rows.groupBy("node").agg(F.min("text").alias("text"))
+    # Rows that repeat a node's key repeat its text, most often; one of each text is enough.
+    rows = texts.select("row", "text").join(asked.hint("merge"), "row").select("node", "copy", "text")
+    return arrow_map(rows, run, "node long, code binary, weight binary").groupBy("node").agg(F.first("code").alias("code"), F.first("weight").alias("weight"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least `least`. texts: node, text."""
+def verify(pairs: DataFrame, bags_: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least `least`."""
 
     def run(batches):
-        kept: OrderedDict[int, tuple] = OrderedDict()
-
-        def bag(node: int, text: str):
-            if node not in kept:
-                code, _, weight = weighted(*shingles_of(*words_of([text]), WORDS))
-                kept[node] = (code, weight)
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            kept.move_to_end(node)
-            return kept[node]
-
         for batch in batches:
-            a, b, ta, tb = (batch.column(n) for n in ("a", "b", "ta", "tb"))
-            good = [similarity(bag(a[i].as_py(), ta[i].as_py()), bag(b[i].as_py(), tb[i].as_py())) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(good, pa.bool_())) for x in (a, b)], ["a", "b"])
+            a, ca, wa, cb, wb = (batch.column(n).to_pylist() for n in ("a", "ca", "wa", "cb", "wb"))
+            bag = lambda code, weight: (np.frombuffer(code, np.uint64), np.frombuffer(weight, np.uint32))
+            good, now, own = [], None, None
+            for i in range(batch.num_rows):
+                if a[i] != now:
+                    now, own = a[i], bag(ca[i], wa[i])
+                good.append(similarity(own, bag(cb[i], wb[i])) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(good, pa.bool_())) for n in ("a", "b")], ["a", "b"])
 
     # The leader, a, may be that of very many pairs: it is joined last, so that Spark can split its pairs.
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return arrow_map(rows.select("a", "b", "ta", "tb"), run, "a long, b long")
+    rows = pairs.join(bags_.select(F.col("node").alias("b"), F.col("code").alias("cb"), F.col("weight").alias("wb")), "b")
+    rows = rows.join(bags_.select(F.col("node").alias("a"), F.col("code").alias("ca"), F.col("weight").alias("wa")), "a")
+    return arrow_map(rows.select("a", "b", "ca", "wa", "cb", "wb"), run, "a long, b long")
 
 
 def _trees(round_: int):
@@ -379,13 +379,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 8192, key:
     buckets = materialize(rows.join(shared, "key").select("key", "node", "n"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(verify(pairs, materialize(pair_texts(pairs, nodes, texts), "pair-texts"), least), "verified")
+        return materialize(verify(pairs, materialize(bags(pairs, nodes, texts), "bags"), least), "verified")
 
     tried = materialize(candidates(buckets.join(nodes.select("node", "marks"), "node"), block), "pairs")
     links = verified(tried)
     labels = components(links)
     # The only pair of a bucket of two is tried by now.
-    larger, most, more = buckets.where("n > 2").select("key", "node"), 64, True
+    larger, most, more = buckets.where("n > 2").select("key", "node"), 4, True
     while more:
         found = materialize(untried(larger, nodes, labels, most, block), "untried")
         more = not found.where("b is null").isEmpty()
@@ -393,7 +393,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 8192, key:
         if not pairs.isEmpty():
             tried, links = tried.union(pairs), links.union(verified(pairs))
             labels = components(links)
-        most *= 8
+        most *= 16
     named = nodes.select("copy", "node", "first").join(labels, "node", "left").select("copy", "first", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"))
     table = named.select("copy", "label").join(classes, "label").select("copy", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -132,7 +132,10 @@ def weighted(code: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two multisets given as (sorted codes, weights)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    either = int(a[1].sum()) + int(b[1].sum()) - both
-    return both / either if either else 0.0
+    (ca, wa), (cb, wb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not len(ca):
+        return 0.0
+    at = np.minimum(np.searchsorted(cb, ca), len(cb) - 1)
+    same = cb[at] == ca
+    both = int(np.minimum(wa[same], wb[at[same]]).sum())
+    return both / (int(wa.sum()) + int(wb.sum()) - both)
