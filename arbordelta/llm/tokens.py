@@ -8,21 +8,24 @@ that holds an added token of the vocabulary, or whose white space is not the pla
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
+from collections import Counter
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
-#: Words that one Python worker keeps for good and for a while (about 200 bytes each), and the longest word kept.
-MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES = 700_000, 100_000, 64
+#: Words that one Python worker keeps for good and for a while (about 200 bytes each), the longest word kept, and frequent words.
+MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES, HOT = 700_000, 200_000, 64, 8_000
 #: Texts are handled together up to so many characters, and longer ones are cut at single spaces.
 TOGETHER, LONGEST = 1_000_000, 8_000_000
 _EDGES = re.compile(r"[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
 _CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
 #: A letter or digit that stays one character in lower case, then punctuation to the end: always two tokens. An apostrophe may belong to letters after it.
-_CLOSED = re.compile(r"(.*[A-Za-z0-9à-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
+_CLOSED = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
+_PLAIN = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
 
 
 class PieceEncoder:
@@ -38,7 +41,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.spaced, self.kept, self.recent = spaced, {}, {}
+        self.spaced, self.kept, self.recent, self.hot = spaced, {}, {}, {}
         self.lowers = '"type":"Lowercase"' in json.dumps(json.loads(tokenizer_json).get("normalizer"), separators=(",", ":"))
         added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.added = re.compile("|".join(map(re.escape, sorted(added))).encode(), re.I) if added else None
@@ -46,58 +49,70 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, key: bytes, ids: bytes) -> None:
-        if len(key) <= MAX_WORD_BYTES:
-            (self.kept if len(self.kept) < MAX_WORDS else self.recent)[key] = ids
-
-    def _known(self, key: bytes) -> bytes | None:
-        v = self.kept.get(key)
-        return self.recent.get(key) if v is None else v
-
-    def _parts(self, key: bytes) -> list[bytes]:
-        """Keys of what is encoded apart: a word and its closing punctuation, in small letters if that is no difference."""
-        m = _CLOSED.fullmatch(key.decode())
-        parts = [m[1].encode(), (b" " if self.spaced else b"") + m[2].encode()] if m else [key]
-        return [p.lower() if self.lowers and p.isascii() else p for p in parts]
+    def _text(self, key: bytes) -> str | None:
+        """What the library gets for a key; None if its ids depend on what is around it."""
+        text = key.decode()
+        if not self.spaced:
+            return text
+        text = text[1:] if text[0] == " " else text if text[0] == "\n" else f" {text}"
+        return text if _EDGES.fullmatch(text[text[0] in " \n" :]) else None
 
     def _learn(self, keys: list[bytes]) -> dict[bytes, bytes | None]:
-        """Ids by key; None for a word whose ids depend on what is around it."""
+        """Ids by key; None for a word whose ids depend on what is around it. What a word and its closing punctuation are is kept apart."""
         if len(self.recent) > MAX_RECENT:
             self.recent.clear()
-        parts = {k: self._parts(k) for k in keys}
-        new: dict[bytes, str] = {}
-        found: dict[bytes, bytes | None] = {}
-        for p in {p for own in parts.values() for p in own}:
-            if (v := self._known(p)) is not None:
-                found[p] = v
-                continue
-            text = p.decode()
-            if self.spaced:
-                text = text[1:] if text[0] == " " else text if text[0] == "\n" else f" {text}"
-                if not _EDGES.fullmatch(text[text[0] in " \n" :]):
-                    found[p] = None
+        kept, recent, found, closed, new = self.kept, self.recent, {}, {}, {}
+        for k in keys:
+            if k[-1] in _PLAIN or not (m := _CLOSED.fullmatch(k)):
+                parts = (k,)
+            else:
+                closed[k] = parts = (m[1], b" " + m[2] if self.spaced else m[2])
+            for p in parts:
+                if self.lowers:
+                    p = p.lower()
+                if p in found or p in new:
                     continue
-            new[p] = text
+                v = kept.get(p)
+                if v is None:
+                    v = recent.get(p)
+                if v is not None:
+                    found[p] = v
+                elif (text := self._text(p)) is None:
+                    found[p] = None
+                else:
+                    new[p] = text
+        room = MAX_WORDS - len(kept)
         for p, v in zip(new, self._library(list(new.values()))):
             found[p] = v
-            self._keep(p, v)
+            if len(p) <= MAX_WORD_BYTES:
+                if room > 0:
+                    kept[p] = v
+                    room -= 1
+                else:
+                    recent[p] = v
         out = {}
-        for k, own in parts.items():
-            ids = [found[p] for p in own]
-            out[k] = None if None in ids else b"".join(ids)
-            if out[k] is not None and own != [k]:
-                self._keep(k, out[k])
+        for k in keys:
+            if k in closed:
+                x, y = (found[p.lower() if self.lowers else p] for p in closed[k])
+                v = None if x is None or y is None else x + y
+            else:
+                v = found[k.lower() if self.lowers else k]
+            out[k] = v
+            if v is not None and len(k) <= MAX_WORD_BYTES and k not in kept:
+                recent[k] = v
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         at, size = 0, 0
+        gc.disable()  # nothing here is part of a cycle, and there are very many words
         for i, text in enumerate(texts):
             size += len(text)
             if size > TOGETHER or i + 1 == len(texts):
                 out += self._some(texts[at : i + 1]) if size <= LONGEST + TOGETHER else [b"".join(self._some([p])[0] for p in self._cuts(t)) for t in texts[at : i + 1]]
                 at, size = i + 1, 0
+        gc.enable()
         return out
 
     @staticmethod
@@ -132,16 +147,19 @@ class PieceEncoder:
             else:
                 words += own
             cuts.append(len(words))
-        ids = list(map(self.kept.get, words))
-        if None in ids:
+        # Most words are among few: a table of these stays in the cache, the large ones don't.
+        ids = list(map(self.hot.get, words))
+        for table in (self.kept, self.recent):
             missing = [i for i, v in enumerate(ids) if v is None]
-            recent = self.recent
             for i in missing:
-                ids[i] = recent.get(words[i])
-            missing = [i for i in missing if ids[i] is None]
-            learned = self._learn(list(dict.fromkeys(words[i] for i in missing)))
+                ids[i] = table.get(words[i])
+        if missing := [i for i in missing if ids[i] is None]:
+            learned = self._learn(list(dict.fromkeys([words[i] for i in missing])))
             for i in missing:
                 ids[i] = learned[words[i]]
+        if not self.hot and len(words) > 3 * HOT:
+            known = dict(zip(words, ids))
+            self.hot = {w: v for w, _ in Counter(words).most_common(HOT) if (v := known[w]) is not None and len(w) <= MAX_WORD_BYTES}
         out = []
         for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
             own = ids[a:z]
