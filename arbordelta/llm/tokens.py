@@ -2,38 +2,42 @@
 
 Both vocabularies split a text at white space before merging, so the ids of a text are those of its words in a row (a
 byte-level word with the one space or line break before it), and those of a word are the ids of what stands before its
-closing punctuation and of the punctuation. Each distinct one is encoded by the library once and its ids are kept. A text
-that holds an added token of the vocabulary, or whose white space is not the plain kind, is given to the library whole.
+closing punctuation and of the punctuation. The words of many texts are found and hashed at once; each distinct one is
+encoded by the library once and its ids are kept. A text that holds an added token of the vocabulary, or whose white space is not
+the plain kind, is given to the library whole. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 from array import array
-from collections import Counter
+
+import numpy as np
+
+from .shingles import mix, word_hashes, word_spans
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
-#: Words that one Python worker keeps for good and for a while (about 200 bytes each), the longest word kept, and frequent words.
-MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES, HOT = 700_000, 200_000, 64, 8_000
+#: Words that one Python worker keeps for good and for a while (about 200 bytes each), and the longest word kept.
+MAX_WORDS, MAX_RECENT, MAX_WORD_BYTES = 700_000, 100_000, 64
 #: Texts are handled together up to so many characters, and longer ones are cut at single spaces.
 TOGETHER, LONGEST = 1_000_000, 8_000_000
 _EDGES = re.compile(r"[^\s\x1c-\x1f\x85](?:.*[^\s\x1c-\x1f\x85])?", re.S)
 _CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
 #: A letter or digit that stays one character in lower case, then punctuation to the end: always two tokens. An apostrophe may belong to letters after it.
 _CLOSED = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
-_PLAIN = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
+_OPEN = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
 
 
-class PieceEncoder:
-    """spaced: a space belongs to the word after it (byte-level BPE); else white space is dropped.
+def _keys(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys of words with the byte that is merged with them (0: none)."""
+    return mix(hashes + before.astype(np.uint64))
 
-    A word's key is its bytes; with `spaced` that means the word after a space or after the line break it begins with, and
-    a word with nothing before it has a space as the first byte of its key.
-    """
+
+class PieceEncoder:
+    """spaced: a space belongs to the word after it (byte-level BPE); else white space is dropped."""
 
     def __init__(self, tokenizer_json: str, spaced: bool):
         from tokenizers import Tokenizer
@@ -41,7 +45,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.spaced, self.kept, self.recent, self.hot = spaced, {}, {}, {}
+        self.spaced, self.kept, self.recent = spaced, {}, {}
         self.lowers = '"type":"Lowercase"' in json.dumps(json.loads(tokenizer_json).get("normalizer"), separators=(",", ":"))
         added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.added = re.compile("|".join(map(re.escape, sorted(added))).encode(), re.I) if added else None
@@ -49,70 +53,59 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _text(self, key: bytes) -> str | None:
-        """What the library gets for a key; None if its ids depend on what is around it."""
-        text = key.decode()
-        if not self.spaced:
-            return text
-        text = text[1:] if text[0] == " " else text if text[0] == "\n" else f" {text}"
-        return text if _EDGES.fullmatch(text[text[0] in " \n" :]) else None
-
-    def _learn(self, keys: list[bytes]) -> dict[bytes, bytes | None]:
-        """Ids by key; None for a word whose ids depend on what is around it. What a word and its closing punctuation are is kept apart."""
+    def _learn(self, keys: list[int], words: list[bytes], before: list[bytes]) -> list[bytes | None]:
+        """Ids of words with the byte before them; None for one whose ids depend on what is around it.
+
+        What a word and its closing punctuation are is looked up apart, in small letters if that is no difference.
+        """
+        parts: dict[tuple[bytes, bytes], int] = {}
+        own: list[tuple[int, ...]] = []
+        for w, b in zip(words, before):
+            m = None if w[-1] in _OPEN else _CLOSED.fullmatch(w)
+            split = ((m[1], b), (m[2], b"")) if m else ((w, b),)
+            if self.lowers:
+                split = tuple((x.lower(), y) for x, y in split)
+            own.append(tuple([parts.setdefault(x, len(parts)) for x in split]))
+        hashes = word_hashes(b"\n".join(w for w, _ in parts))[0]
+        names = (_keys(hashes, np.fromiter((b[0] if b else 0 for _, b in parts), np.int64, len(parts))) if self.spaced else hashes).tolist()
+        found: list[bytes | None] = []
+        new, texts = [], []
+        for i, (name, (w, b)) in enumerate(zip(names, parts)):
+            v = self.kept.get(name) or self.recent.get(name)
+            found.append(v)
+            if v is None:
+                text = w.decode()
+                if not self.spaced or _EDGES.fullmatch(text):
+                    new.append(i)
+                    texts.append(b.decode() + text)
+        for i, v in zip(new, self._library(texts)):
+            found[i] = v
         if len(self.recent) > MAX_RECENT:
             self.recent.clear()
-        kept, recent, found, closed, new = self.kept, self.recent, {}, {}, {}
-        for k in keys:
-            if k[-1] in _PLAIN or not (m := _CLOSED.fullmatch(k)):
-                parts = (k,)
-            else:
-                closed[k] = parts = (m[1], b" " + m[2] if self.spaced else m[2])
-            for p in parts:
-                if self.lowers:
-                    p = p.lower()
-                if p in found or p in new:
-                    continue
-                v = kept.get(p)
-                if v is None:
-                    v = recent.get(p)
-                if v is not None:
-                    found[p] = v
-                elif (text := self._text(p)) is None:
-                    found[p] = None
-                else:
-                    new[p] = text
-        room = MAX_WORDS - len(kept)
-        for p, v in zip(new, self._library(list(new.values()))):
-            found[p] = v
-            if len(p) <= MAX_WORD_BYTES:
-                if room > 0:
-                    kept[p] = v
-                    room -= 1
-                else:
-                    recent[p] = v
-        out = {}
-        for k in keys:
-            if k in closed:
-                x, y = (found[p.lower() if self.lowers else p] for p in closed[k])
-                v = None if x is None or y is None else x + y
-            else:
-                v = found[k.lower() if self.lowers else k]
-            out[k] = v
-            if v is not None and len(k) <= MAX_WORD_BYTES and k not in kept:
-                recent[k] = v
+        room = MAX_WORDS - len(self.kept)
+        sizes = [len(w) for w, _ in parts]
+        for i in new:
+            if sizes[i] <= MAX_WORD_BYTES:
+                (self.kept if room > 0 else self.recent)[names[i]] = found[i]
+                room -= 1
+        out = []
+        for key, w, p in zip(keys, words, own):
+            ids = [found[i] for i in p]
+            out.append(None if None in ids else ids[0] if len(ids) == 1 else ids[0] + ids[1])
+            if out[-1] is not None and len(w) <= MAX_WORD_BYTES:
+                (self.kept if room > 0 else self.recent)[key] = out[-1]
+                room -= 1
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         at, size = 0, 0
-        gc.disable()  # nothing here is part of a cycle, and there are very many words
         for i, text in enumerate(texts):
             size += len(text)
             if size > TOGETHER or i + 1 == len(texts):
                 out += self._some(texts[at : i + 1]) if size <= LONGEST + TOGETHER else [b"".join(self._some([p])[0] for p in self._cuts(t)) for t in texts[at : i + 1]]
                 at, size = i + 1, 0
-        gc.enable()
         return out
 
     @staticmethod
@@ -123,50 +116,55 @@ class PieceEncoder:
             at = m.start()
         yield text[at:]
 
-    def _words(self, data: bytes) -> list[bytes] | None:
-        """The keys of a text's words; None if it goes to the library whole."""
-        if self.added is not None and self.added.search(data):
-            return None
-        if not self.spaced:
-            return data.split()
-        if not data:
-            return []
-        words = data.replace(b"\n", b" \n").split(b" ")
-        if words[0]:
-            words[0] = b" " + words[0]
-        else:  # the text begins with a space or a line break
-            del words[0]
-        return None if b"" in words else words
-
     def _some(self, texts: list[str]) -> list[bytes]:
-        words, cuts, whole = [], [0], []
-        for i, text in enumerate(texts):
-            own = self._words(text.encode())
-            if own is None:
-                whole.append(i)
-            else:
-                words += own
-            cuts.append(len(words))
-        # Most words are among few: a table of these stays in the cache, the large ones don't.
-        ids = list(map(self.hot.get, words))
-        for table in (self.kept, self.recent):
-            missing = [i for i, v in enumerate(ids) if v is None]
+        data = [t.encode() for t in texts]
+        joined = b"\n".join(data)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        text_ends = np.cumsum(sizes + 1) - 1
+        key, starts, ends = word_spans(joined)
+        owner = np.searchsorted(text_ends, starts, "right")
+        slow = np.fromiter((self.added is not None and self.added.search(x) is not None for x in data), bool, len(data))
+        lead = np.zeros(len(key), np.int64)  # bytes before the word that are merged with it
+        if self.spaced and len(key):
+            b = np.frombuffer(joined, np.uint8)
+            begins = (text_ends - sizes)[owner]
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            gap = starts - np.where(first, begins, np.concatenate([[0], ends[:-1]]))
+            before = b[np.maximum(starts - 1, 0)]
+            lead = (gap > 0).astype(np.int64)
+            plain = (gap == 0) & first | (gap == 1) & ((before == 32) | (before == 10))
+            slow[owner[~plain]] = True
+            last = np.concatenate([first[1:], [True]])
+            slow[owner[last & (ends < text_ends[owner])]] = True
+            key = _keys(key, lead.astype(np.uint64) * before)
+        if self.spaced:
+            slow[(sizes > 0) & (np.bincount(owner, minlength=len(texts)) == 0)] = True
+        distinct, at, of = np.unique(key, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        ids = list(map(self.kept.get, names))
+        if missing := [i for i, v in enumerate(ids) if v is None]:
+            recent = self.recent
             for i in missing:
-                ids[i] = table.get(words[i])
-        if missing := [i for i in missing if ids[i] is None]:
-            learned = self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            for i in missing:
-                ids[i] = learned[words[i]]
-        if not self.hot and len(words) > 3 * HOT:
-            known = dict(zip(words, ids))
-            self.hot = {w: v for w, _ in Counter(words).most_common(HOT) if (v := known[w]) is not None and len(w) <= MAX_WORD_BYTES}
-        out = []
-        for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
-            own = ids[a:z]
-            if None in own:
-                whole.append(i)
-                own = []
-            out.append(b"".join(own))
+                ids[i] = recent.get(names[i])
+            missing = [i for i in missing if ids[i] is None]
+            a, z = starts[at].tolist(), ends[at].tolist()
+            before = (joined[a[i] - 1 : a[i]] if lead[at[i]] else b"" for i in missing)
+            for i, v in zip(missing, self._learn([names[i] for i in missing], [joined[a[i] : z[i]] for i in missing], list(before))):
+                ids[i] = v
+            unclear = np.fromiter((v is None for v in ids), bool, len(ids))
+            if unclear.any():
+                slow[owner[unclear[of]]] = True
+                ids = [v or b"" for v in ids]
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = (np.cumsum(size) - size)[of]
+        size = size[of]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        stream = flat[np.repeat(begin - upto[:-1], size) + np.arange(int(upto[-1]))]
+        cuts = upto[np.searchsorted(owner, np.arange(len(texts) + 1))].tolist()
+        view = stream.tobytes()
+        out = [view[4 * a : 4 * z] for a, z in zip(cuts[:-1], cuts[1:])]
+        whole = np.flatnonzero(slow).tolist()
         for i, v in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = v
         return out
