@@ -75,7 +75,7 @@ def split_domains(x) -> Column:
 
 
 def utc_offset(x) -> Column:
-    found = F.regexp_replace(F.regexp_extract(_c(x), r"UTC\s*[+\-−]?[0-9]+(?::[0-9]+)?", 0), r"\s+", "")
+    found = F.regexp_replace(F.regexp_extract(_c(x), r"UTC\s*[+-]?[0-9]+(?::[0-9]+)?", 0), r"\s+", "")
     return F.coalesce(_none_if_empty(found), strip(x))
 
 
@@ -160,5 +160,5 @@ def path_label(path) -> Column:
 
 
 def xml_name(x) -> Column:
-    body = F.regexp_replace(_c(x), r"[^0-9A-Za-z_.\-]", "_")
+    body = F.regexp_replace(strip(x), r"[^0-9A-Za-z_.\-]+", "_")
     return F.when(body == "", "node").when(body.rlike(r"^[A-Za-z_]"), body).otherwise(F.concat(F.lit("n_"), body))

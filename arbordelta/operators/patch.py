@@ -1,6 +1,7 @@
 """Patches: positional scripts, whole-subtree scripts, and dotted-path patches.
 
-A positional script is replayed natively on the preorder array. Script columns hold the JSON that ted.scripts() gives.
+A positional script is replayed natively on the preorder array. Script columns hold the JSON that ted.scripts() gives. A row
+that can't be worked out has an error and no result.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code import arrow_map
-from ..functions.text import normalize_path, segment_base
-from ..plans.trees import SEQ
-from .diff import IGNORED
+from ..functions.text import normalize_path
+from ..plans.trees import SEQ, per_tree
+from .diff import IGNORED, PAIR, is_ignored
+from .features import at_path, child, steps_of, value_at, values_at
 from .ted import canonical, preorder, sort_children, to_seq, to_tree
 
 _NODE = "struct<label:string,value:string,depth:int>"
@@ -91,54 +93,75 @@ def apply_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawat
 
 
 def summarize_script(scripted: DataFrame) -> DataFrame:
-    """source_id, target_id, inserts, deletes, updates, maps, length (without maps), nodes_moved (of whole-subtree operations)."""
+    """source_id, target_id, inserts, deletes, updates, maps, length (without maps), deleted_nodes, inserted_nodes (of whole-subtree operations)."""
     ops = F.from_json("ops", "array<struct<op:string,count:int>>")
     n = lambda *names: F.size(F.filter("_o", lambda o: o["op"].isin(*names))).cast("long")
     maps = F.when(F.col("ops").rlike(r"^\[\["), F.size(F.from_json("ops", "array<array<int>>"))).otherwise(0).cast("long")
-    rows = scripted.where("error is null").withColumn("_o", F.filter(ops, lambda o: o["op"].isNotNull())).withColumn("maps", maps)
-    moved = F.aggregate(F.filter("_o", lambda o: o["op"].endswith("_tree")), F.lit(0), lambda s, o: s + F.coalesce(o["count"], F.lit(0)))
-    return rows.select("source_id", "target_id", n("insert", "insert_tree").alias("inserts"), n("delete", "delete_tree").alias("deletes"), n("update").alias("updates"), "maps", F.size("_o").cast("long").alias("length"), moved.cast("long").alias("nodes_moved"))
+    rows = scripted.where("error is null").withColumn("_o", F.coalesce(F.filter(ops, lambda o: o["op"].isNotNull()), F.expr("cast(array() as array<struct<op:string,count:int>>)"))).withColumn("maps", maps)
+    moved = lambda name: F.aggregate(F.filter("_o", lambda o: o["op"] == name), F.lit(0), lambda s, o: s + F.coalesce(o["count"], F.lit(0))).cast("long")
+    return rows.select("source_id", "target_id", n("insert", "insert_tree").alias("inserts"), n("delete", "delete_tree").alias("deletes"), n("update").alias("updates"), "maps", F.size("_o").cast("long").alias("length"), moved("delete_tree").alias("deleted_nodes"), moved("insert_tree").alias("inserted_nodes"))
 
 
 def normalize_script(a: list[dict], ops: list[dict]) -> list[dict]:
-    """Operations of a positional script without those on ignored paths; a label change becomes delete and insert."""
+    """Operations of a positional script without those on ignored paths; a label change becomes delete and insert.
+
+    What is left out is not replayed, so later paths are those of the sequence without it. Of a split change both go or stay.
+    """
     seq, out = [dict(x) for x in a], []
 
-    def path(at: int, depth: int) -> list[str]:
-        found, want = [], depth
-        for k in range(min(at, len(seq) - 1), -1, -1):
-            if seq[k]["depth"] < want:
+    def path(at: int) -> list[str]:
+        """Labels from the root to the node at a place; a node's ancestors are the nearest earlier ones of ever smaller depth."""
+        if not 0 <= at < len(seq):
+            return []
+        found = [seq[at]["label"]]
+        depth = seq[at]["depth"]
+        for k in range(at - 1, -1, -1):
+            if seq[k]["depth"] < depth:
                 found.append(seq[k]["label"])
-                want = seq[k]["depth"]
+                depth = seq[k]["depth"]
         return found
 
     for o in ops:
-        at, node = o["position"], o["new"] or o["old"]
-        names = [*path(at - 1 if at else 0, (o["old"] or node)["depth"]), *(x["label"] for x in (o["old"], o["new"]) if x)]
-        if not any(n.split("[", 1)[0] in IGNORED for n in names):
-            if o["op"] == "update" and o["old"]["label"] != o["new"]["label"]:
-                out += [{**o, "op": "delete", "new": None}, {**o, "op": "insert", "old": None}]
-            else:
-                out.append(o)
-        if o["op"] == "insert":
+        at, kind = o["position"], o["op"]
+        if kind == "insert":
             seq.insert(at, o["new"])
-        elif o["op"] == "delete":
+            if is_ignored(path(at)):
+                del seq[at]
+                continue
+        elif is_ignored(path(at)):
+            continue
+        elif kind == "delete":
             del seq[at]
+        elif o["old"]["label"] == o["new"]["label"]:
+            seq[at] = o["new"]
         else:
+            before = seq[at]
             seq[at] = o["new"]
+            if is_ignored(path(at)):
+                seq[at] = before
+                continue
+            out += [{**o, "op": "delete", "new": None}, {**o, "op": "insert", "old": None}]
+            continue
+        out.append(o)
     return out
 
 
-def normalized_scripts(pairs: DataFrame, scripted: DataFrame) -> DataFrame:
-    """source_id, target_id, ops (JSON): positional scripts for display."""
+def normalize_nj_script(ops: list[dict]) -> list[dict]:
+    """Whole-subtree operations without those whose own label is ignored."""
+    labels = {"update": lambda o: {o["old"][0], o["new"][0]}, "delete_tree": lambda o: {o["subtree"][0]["label"]}, "insert_tree": lambda o: {o["subtree"][0]["label"]}}
+    return [o for o in ops if not labels[o["op"]](o) & {*IGNORED}]
 
-    def run(batches):
-        for batch in batches:
-            out = [json.dumps(normalize_script(a, json.loads(ops)), ensure_ascii=False) for a, ops in zip(batch.column("a").to_pylist(), batch.column("ops").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("target_id"), pa.array(out, pa.string())], ["source_id", "target_id", "ops"])
 
-    rows = pairs.join(scripted.where("error is null").select("source_id", "target_id", "ops"), ["source_id", "target_id"]).select("source_id", "target_id", "a", "ops")
-    return arrow_map(rows, run, "source_id string, target_id string, ops string")
+def normalized_scripts(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawathe") -> DataFrame:
+    """source_id, target_id, ops (JSON), error: scripts for display. Mappings stay as they are."""
+    kind = canonical(algorithm)
+    one = {
+        "chawathe": lambda a, ops: normalize_script([{"label": x, "value": v, "depth": d} for x, v, d in zip(*a)], ops),
+        "nj": lambda a, ops: normalize_nj_script(ops),
+        "zhang_shasha": lambda a, ops: ops,
+    }[kind]
+    rows = pairs.join(scripted.where("error is null").select("source_id", "target_id", "ops"), [*PAIR]).select(*PAIR, "a", "ops")
+    return per_tree(rows, lambda a, ops: (json.dumps(one(a, json.loads(ops)), ensure_ascii=False),), {"ops": "string"}, ids=PAIR, given=("a", "ops"), errors=True)
 
 
 # ---- dotted-path patches: map<path, struct<vals array<string>, is_list boolean>> ----
@@ -146,12 +169,6 @@ def normalized_scripts(pairs: DataFrame, scripted: DataFrame) -> DataFrame:
 PATCH = "map<string,struct<vals:array<string>,is_list:boolean>>"
 
 
-def _find(node, name: str):
-    """The child of that label, else the first whose label is the same up to `[`."""
-    base = name.split("[", 1)[0]
-    return next((c for c in node.children if c.label == name), None) or next((c for c in node.children if c.label.split("[", 1)[0] == base), None)
-
-
 def patch_tree(seq: list[dict], patch: list[tuple[str, list | None, bool]]) -> list[dict]:
     """Set leaf values by path, in ascending order of path; missing nodes are made, None clears a value, a list replaces all items."""
     root = to_tree(seq)
@@ -163,90 +180,102 @@ def patch_tree(seq: list[dict], patch: list[tuple[str, list | None, bool]]) -> l
         if is_list and steps[-1].endswith("_item"):
             at = root
             for s in steps[:-1]:
-                at = at and _find(at, s)
+                at = child(at, s)
             if at is not None and len(steps) > 1:
                 base = steps[-1].split("[", 1)[0]
                 at.children = [c for c in at.children if c.label.split("[", 1)[0] != base] + [new(base, v, -1) for v in vals or []]
             continue
         at = root
         for s in steps:
-            child = _find(at, s)
-            if child is None:
-                child = new(s, None, -1)
-                at.children.append(child)
-            at = child
+            below = child(at, s)
+            if below is None:
+                below = new(s, None, -1)
+                at.children.append(below)
+            at = below
         at.value = str(vals) if is_list else (vals[0] if vals else None)
     return to_seq(root)
 
 
 def apply_paths(rows: DataFrame) -> DataFrame:
-    """tree_id, seq of rows with tree_id, seq and patch (PATCH, paths as given)."""
+    """tree_id, seq, error of rows with tree_id, seq and patch (PATCH, paths as given)."""
     clean = rows.select("tree_id", "seq", F.transform(F.map_entries("patch"), lambda e: F.struct(normalize_path(e["key"]).alias("path"), e["value"]["vals"].alias("vals"), e["value"]["is_list"].alias("is_list"))).alias("patch"))
 
-    def run(batches):
-        kind = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("depth", pa.int32())]))
-        for batch in batches:
-            out = [patch_tree(s, [(p["path"], p["vals"], bool(p["is_list"])) for p in patch or []]) for s, patch in zip(batch.column("seq").to_pylist(), batch.column("patch").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(out, kind)], ["tree_id", "seq"])
+    def one(seq, patch):
+        found = patch_tree([{"label": x, "value": v, "depth": d} for x, v, d in zip(*seq)], [(p["path"], p["vals"], bool(p["is_list"])) for p in patch or []])
+        return (tuple([x[k] for x in found] for k in ("label", "value", "depth")),)
 
-    return arrow_map(clean, run, f"tree_id string, seq {SEQ}")
+    return per_tree(clean, one, {"seq": SEQ}, given=("seq", "patch"), errors=True)
 
 
 NAME_PATHS = ("meta.country_name", "fields.country_name")
 
 
-def patch_from_features(pairs: DataFrame, wanted: list[str], excluded: list[str] = ()) -> DataFrame:
-    """source_id, target_id, patch (PATCH): the target's values at the wanted paths that are not excluded; None where only the source has the path."""
-    full = lambda p: p if p.startswith(("fields.", "meta.")) else f"fields.{p}"
-    drop = [full(p) for p in excluded]
-    paths = sorted({full(p) for p in wanted if p.strip()} - {p for p in map(full, wanted) for d in drop if p == d or p.startswith(d + ".")})
-    steps = [[s for s in p.split(".") if s] for p in paths]
+def _full(path: str) -> str:
+    """The path from the root: without `fields.` or `meta.` it is one of the fields."""
+    path = path.strip()
+    return path if not path or path.startswith(("fields.", "meta.")) else f"fields.{path}"
 
-    def values(root, way):
-        at = root
-        for s in way[:-1]:
-            at = at and _find(at, s)
-        base = way[-1].split("[", 1)[0]
-        return [c.value for c in at.children if c.label.split("[", 1)[0] == base and c.value not in (None, "")] if at is not None else []
 
-    def there(root, way):
-        for s in way:
-            root = root and _find(root, s)
-        return root is not None
+def feature_values(source, target, wanted: list[str]) -> list[tuple[str, dict]]:
+    """Path and values of the target's nodes at the wanted paths; a null where only the source has the path.
+
+    A name's path, given in full, stands for both copies of the name.
+    """
+    patch = {}
+    if set(wanted) & {*NAME_PATHS}:
+        name = next((v for p in reversed(NAME_PATHS) if (v := value_at(target, steps_of(p))) is not None), None)
+        for p in NAME_PATHS:
+            if name is not None or at_path(source, steps_of(p)) is not None:
+                patch[p] = {"vals": None if name is None else [name], "is_list": False}
+    for path in sorted(set(wanted) - {*NAME_PATHS}):
+        steps = steps_of(_full(path))
+        if not steps:
+            continue
+        if found := [v for v in values_at(target, steps) if v != ""]:
+            patch[_full(path)] = {"vals": found, "is_list": len(found) > 1}
+        elif at_path(source, steps) is not None:
+            patch[_full(path)] = {"vals": None, "is_list": False}
+    return list(patch.items())
+
+
+def without_excluded(paths: list[str], excluded: list[str]) -> list[str]:
+    gone = {_full(p) for p in excluded}
+    return [p for p in paths if not any(_full(p) == g or _full(p).startswith(g + ".") for g in gone)]
+
+
+def patch_from_features(pairs: DataFrame, wanted: list[str] | None, excluded: list[str] = ()) -> DataFrame:
+    """source_id, target_id, patch (PATCH): the target's values at the wanted paths that are not excluded; None where only the source has the path.
+
+    Without `wanted` it is all leaf paths of both trees.
+    """
+    chosen = None if wanted is None else without_excluded([p for p in wanted if p.strip()], list(excluded))
+
+    def paths_of(root) -> set[str]:
+        out, todo = set(), [(c, c.label) for c in root.children]
+        while todo:
+            n, p = todo.pop()
+            if not n.children:
+                out.add(p)
+            todo += [(c, f"{p}.{c.label}") for c in n.children]
+        return out
 
     def run(batches):
         kind = pa.map_(pa.string(), pa.struct([("vals", pa.list_(pa.string())), ("is_list", pa.bool_())]))
         for batch in batches:
             out = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                source, target, patch = to_tree(a), to_tree(b), {}
-                name = next((v for p in reversed(NAME_PATHS) for v in values(target, p.split("."))), None)
-                for p, way in zip(paths, steps):
-                    if p in NAME_PATHS:
-                        for q in NAME_PATHS:
-                            if name is not None:
-                                patch[q] = {"vals": [name], "is_list": False}
-                            elif there(source, q.split(".")):
-                                patch[q] = {"vals": None, "is_list": False}
-                        continue
-                    found = values(target, way)
-                    if found:
-                        patch[p] = {"vals": found, "is_list": len(found) > 1}
-                    elif there(source, way):
-                        patch[p] = {"vals": None, "is_list": False}
-                out.append(list(patch.items()))
+                source, target = to_tree(a), to_tree(b)
+                own = chosen if chosen is not None else without_excluded(sorted(paths_of(source) | paths_of(target)), list(excluded))
+                out.append(feature_values(source, target, own))
             yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("target_id"), pa.array(out, kind)], ["source_id", "target_id", "patch"])
 
     return arrow_map(pairs.select("source_id", "target_id", "a", "b"), run, f"source_id string, target_id string, patch {PATCH}")
 
 
 def diff_to_patch(ops: DataFrame) -> DataFrame:
-    """source_id, target_id, patch: a semantic diff as a path patch (update: new value, insert: value, delete: clears)."""
-    value = F.when(F.col("op") == "update", F.col("new_value")).when(F.col("op") == "insert", F.col("value"))
+    """source_id, target_id, patch: a semantic diff as a path patch (update: new value, insert: value, delete: clears); of equal paths the last in order counts."""
+    plain = lambda c: F.when(F.col(c) == "null", F.lit(None)).when(F.col(c).startswith('"'), F.from_json(F.concat(F.lit("["), F.col(c), F.lit("]")), "array<string>")[0]).otherwise(F.col(c))
+    value = F.when(F.col("op") == "update", plain("new_value")).when(F.col("op") == "insert", plain("value"))
     cell = F.struct(F.when(value.isNotNull(), F.array(value)).alias("vals"), F.lit(False).alias("is_list"))
-    paths = F.array_join(F.transform("path", lambda s: s), ".")
-    entries = F.sort_array(F.collect_list(F.struct(paths.alias("k"), cell.alias("v"))))
-    return ops.groupBy("source_id", "target_id").agg(F.map_from_entries(F.array_distinct(F.transform(entries, lambda e: F.struct(e["k"], e["v"])))).alias("patch"))
-
-
-__all__ = ["apply_paths", "apply_positional", "apply_script", "diff_to_patch", "normalize_script", "normalized_scripts", "patch_from_features", "patch_tree", "renormalize", "segment_base", "summarize_script"]
+    named = ops.withColumn("k", F.array_join("path", ".")).where("k <> ''").groupBy("source_id", "target_id", "k").agg(F.max_by(cell, F.struct(F.col("op"), F.coalesce(value, F.lit("")))).alias("v"))
+    return named.groupBy("source_id", "target_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("patch"))

@@ -1,103 +1,171 @@
-"""Trees as text: infobox text, indented and drawn lines (native), JSON and XML (Arrow batches)."""
+"""Trees as text: infobox text, indented and drawn lines, JSON and XML. Each tree is one pass over its array."""
 
 from __future__ import annotations
 
 import json
+import re
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import arrow_map
-from ..plans.trees import nodes
-from .ted import Node, to_tree
+from ..plans.trees import parents, per_tree, sizes
+from .ted import Node, tree_of
 
+# Marks in drawn and reported text.
+LAST, BRANCH, GAP, BAR, CUT = "└── ", "├── ", "    ", "│   ", "..."
 
-def infobox_text(trees: DataFrame) -> DataFrame:
-    """tree_id, text: a heading, a line for each leaf with text, and an end."""
-    rows = nodes(trees)
-    dotted = F.array_join(F.slice("path", F.lit(2), F.size("path")), ".")
-    leaf = (F.col("size") == 1) & (F.col("depth") > 0) & F.coalesce(F.col("value").rlike(r"\S"), F.lit(False))
-    line = F.concat(F.lit("| "), F.regexp_replace(dotted, r"^fields\.", ""), F.lit(" = "), F.col("value"))
-    first = lambda p: F.min_by(F.when(dotted == p, F.col("value")), F.when((dotted == p) & F.col("value").rlike(r"\S"), F.col("pre")))
-    out = rows.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.when(leaf, F.struct("pre", line.alias("line"))))).alias("lines"), F.coalesce(first("meta.country_name"), first("meta.slug"), F.min_by("label", "pre")).alias("title"))
-    return out.select("tree_id", F.concat_ws("\n", F.lit("{{Infobox country"), F.concat(F.lit("| name = "), F.col("title")), F.transform("lines", lambda x: x["line"]), F.lit("}}")).alias("text"))
+
+def _text_of(trees: DataFrame, one) -> DataFrame:
+    return per_tree(trees, lambda seq: (one(*seq),), {"text": "string"})
 
 
-def _lines(rows: DataFrame, line) -> DataFrame:
-    listed = F.sort_array(F.collect_list(F.struct("pre", line.alias("line"))))
-    return rows.groupBy("tree_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+def infobox_lines(labels: list, values: list, depths: list) -> str:
+    """A heading, a line for each leaf of the fields (without fields, of the tree) that has text, and an end."""
+    up = parents(depths)
+    size = sizes(up)
+    dotted: list[str] = []
+    for i, u in enumerate(up):
+        dotted.append(labels[i] if u <= 0 else f"{dotted[u]}.{labels[i]}")
+    first = lambda name: next((i for i, u in enumerate(up) if u == 0 and labels[i] == name), None)
+    leaves = lambda i: [k for k in range(i, i + size[i]) if size[k] == 1]
+    meta, fields = first("meta"), first("fields")
+    facts = {dotted[k]: values[k] or "" for k in leaves(meta)} if meta is not None else {}
+    title = facts.get("meta.country_name") or facts.get("meta.slug") or labels[0]
+    if fields is not None:
+        rows = [(dotted[k].removeprefix("fields."), values[k]) for k in leaves(fields)]
+    else:  # then the root's label is part of each name
+        rows = [(dotted[k] if k == 0 else f"{labels[0]}.{dotted[k]}", values[k]) for k in leaves(0)]
+        rows = [(name.removeprefix("fields."), v) for name, v in rows]
+    return "\n".join(["{{Infobox country", f"| name = {title}", *(f"| {name} = {v}" for name, v in rows if v and v.strip()), "}}"])
+
+
+def infobox_text(trees: DataFrame) -> DataFrame:
+    """tree_id, text."""
+    return _text_of(trees, infobox_lines)
 
 
 def indented(trees: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """tree_id, text: two spaces a level, `label = value`; what is deeper than max_depth is one line of dots under its parent."""
-    rows = nodes(trees)
-    said = F.concat(F.col("label"), F.when(F.col("value").isNotNull(), F.concat(F.lit(" = "), F.col("value"))).otherwise(""))
-    if max_depth is not None:
-        rows = rows.where((F.col("depth") <= max_depth) | ((F.col("depth") == max_depth + 1) & (F.col("ordinal") == 0)))
-        said = F.when(F.col("depth") > max_depth, "...").otherwise(said)
-    return _lines(rows, F.concat(F.repeat(F.lit("  "), F.col("depth")), said))
+    """tree_id, text: two spaces a level, `label = value` of a leaf, `label: value` of a group; what is deeper than max_depth is one line of dots."""
+
+    def one(labels, values, depths):
+        size, out = sizes(parents(depths)), []
+        for label, value, d, n in zip(labels, values, depths, size):
+            if max_depth is None or d <= max_depth:
+                out.append("  " * d + (label if value is None else f"{label} = {value}" if n == 1 else f"{label}: {value}"))
+                if d == max_depth and n > 1:
+                    out.append("  " * (d + 1) + CUT)
+        return "\n".join(out)
+
+    return _text_of(trees, one)
 
 
 def drawn(trees: DataFrame, max_depth: int | None = None, show_root: bool = True) -> DataFrame:
-    """tree_id, text: branches drawn with box characters."""
-    every = nodes(trees)
-    ends = every.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("pre", "parent_pre", "size", "depth"))).alias("all"))
-    rows = every.join(ends, "tree_id").where(F.lit(True) if max_depth is None else F.col("depth") <= max_depth)
-    # A node is the last child if it ends where its parent does.
-    last = lambda k: f"(all[{k}].pre + all[{k}].size = all[all[{k}].parent_pre].pre + all[all[{k}].parent_pre].size)"
-    line = f"if(depth = 0, array(), filter(sequence(1, pre), k -> all[k].pre <= pre and pre < all[k].pre + all[k].size))"
-    rows = rows.withColumn("line", F.expr(line))
-    lead = F.expr(f"array_join(transform(line, (k, i) -> if(i = size(line) - 1, if({last('k')}, '└── ', '├── '), if({last('k')}, '    ', '│   '))), '')")
-    said = F.concat(lead, F.col("label"), F.when(F.col("value").isNotNull(), F.concat(F.lit(": "), F.col("value"))).otherwise(""))
-    return _lines(rows if show_root else rows.where("depth > 0"), said)
+    """tree_id, text: branches drawn with box characters, `label = value`; dots where max_depth cuts children off."""
+
+    def one(labels, values, depths):
+        up = parents(depths)
+        size, out, lead = sizes(up), [], [""] * len(labels)
+        for i, (label, value, d) in enumerate(zip(labels, values, depths)):
+            said = label if value is None else f"{label} = {value}"
+            if i == 0:
+                if show_root:
+                    out.append(said)
+                    if max_depth == 0 and size[0] > 1:
+                        return "\n".join([*out, CUT])
+                continue
+            last = i + size[i] == up[i] + size[up[i]]  # it ends where its parent does
+            lead[i] = lead[up[i]] + (GAP if last else BAR)
+            if max_depth is None or d <= max_depth:
+                out.append(lead[up[i]] + (LAST if last else BRANCH) + said)
+                if d == max_depth and size[i] > 1:
+                    out.append(lead[i] + CUT)
+        return "\n".join(out)
+
+    return _text_of(trees, one)
 
 
 def native_object(n: Node):
-    """Leaves are their text, groups are objects; repeated labels become lists, a group's own value is `_value`."""
+    """Leaves are their text, groups are objects; repeated labels become lists, a group's own value is `_value` at the end."""
     if not n.children:
-        return n.value or ""
-    out: dict = {}
-    if n.value is not None:
-        out["_value"] = n.value
+        return n.value if n.value is not None else ""
+    found: dict[str, list] = {}
     for c in n.children:
-        v = native_object(c)
-        if c.label in out:
-            if not isinstance(out[c.label], _Many):
-                out[c.label] = _Many([out[c.label]])
-            out[c.label].append(v)
-        else:
-            out[c.label] = v
-    return out
+        found.setdefault(c.label, []).append(native_object(c))
+    out = {k: v if len(v) > 1 else v[0] for k, v in found.items()}
+    return out if n.value is None else out | {"_value": n.value}
 
 
-class _Many(list):
-    pass
+def xml_name(label: str) -> str:
+    safe = re.sub(r"[^a-zA-Z0-9_.-]+", "_", label.strip()) or "node"
+    return safe if re.match("[A-Za-z_]", safe) else f"n_{safe}"
 
 
 def _xml(n: Node) -> ElementTree.Element:
-    safe = "".join(ch if ch.isascii() and (ch.isalnum() or ch in "_.-") else "_" for ch in n.label) or "node"
-    e = ElementTree.Element(safe if safe[0].isalpha() or safe[0] == "_" else f"n_{safe}")
-    e.text = n.value or None
+    e = ElementTree.Element(xml_name(n.label))
+    e.text = n.value
     e.extend(map(_xml, n.children))
     return e
 
 
-def documents(trees: DataFrame) -> DataFrame:
-    """tree_id, json, xml."""
+def json_text(seq) -> str:
+    root = tree_of(*seq)
+    return json.dumps({root.label: native_object(root)}, ensure_ascii=False, indent=2)
 
-    def run(batches):
-        for batch in batches:
-            roots = [to_tree(s) for s in batch.column("seq").to_pylist()]
-            js = [json.dumps({r.label: native_object(r)}, ensure_ascii=False, indent=2) for r in roots]
-            xs = [ElementTree.tostring(_xml(r), encoding="unicode") for r in roots]
-            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(js, pa.string()), pa.array(xs, pa.string())], ["tree_id", "json", "xml"])
 
-    return arrow_map(trees.select("tree_id", "seq"), run, "tree_id string, json string, xml string")
+def xml_text(seq) -> str:
+    return ElementTree.tostring(_xml(tree_of(*seq)), encoding="unicode")
 
 
-def report(scored: DataFrame) -> DataFrame:
-    """source_id, target_id, text: a comparison's sizes, distance and similarity."""
-    said = F.format_string("Source: %s (%d nodes)\nTarget: %s (%d nodes)\nDistance: %d\nSimilarity: %.4f", "source_id", "n_source", "target_id", "n_target", "distance", "similarity")
-    return scored.select("source_id", "target_id", said.alias("text"))
+def documents(trees: DataFrame) -> DataFrame:
+    """tree_id, json, xml, error."""
+    return per_tree(trees, lambda seq: (json_text(seq), xml_text(seq)), {"json": "string", "xml": "string"}, errors=True)
+
+
+def plain_xml(rows: DataFrame, column: str, root: str = "root") -> DataFrame:
+    """rows and `xml`: any JSON as elements named by its keys; list entries are `item`. A text that can't be read has an error."""
+
+    def below(e: ElementTree.Element, v) -> None:
+        if isinstance(v, dict):
+            for k, x in v.items():
+                below(ElementTree.SubElement(e, str(k)), x)
+        elif isinstance(v, list):
+            for x in v:
+                below(ElementTree.SubElement(e, "item"), x)
+        else:
+            e.text = "" if v is None else str(v)
+
+    def one(text):
+        top = ElementTree.Element(root)
+        below(top, json.loads(text))
+        return (ElementTree.tostring(top, encoding="unicode"),)
+
+    return per_tree(rows, one, {"xml": "string"}, ids=tuple(rows.columns), given=(column,), errors=True)
+
+
+NOTES = {
+    "nj": "NJ uses insert_tree/delete_tree for whole subtrees; subtree_node_count on each such op is how many nodes that step moves. Chawathe lists one insert/delete/update per preorder node, so operation counts are not comparable across algorithms even when the patched tree matches."
+}
+
+
+def report(compared: DataFrame) -> DataFrame:
+    """source_id, target_id, text: sizes of the script by kind, the operations (nj), and the patched tree's infobox.
+
+    compared: source_id, target_id, algorithm, kind (canonical name), distance, similarity, inserts, deletes, updates, total,
+    deleted_nodes, inserted_nodes, steps (array<string>, nj only), infobox.
+    """
+    nj = F.col("kind") == "nj"
+    line = lambda name, c: F.concat(F.lit(f"- {name}: "), F.col(c).cast("string"))
+    plain = F.array(F.lit("- model: chawathe_ld_pair_sequence"), line("insert", "inserts"), line("delete", "deletes"), line("update", "updates"), line("total_operations", "total"), F.lit("- each_operation_is_one_preorder_node: True"))
+    moved = (F.col("deleted_nodes") + F.col("inserted_nodes")).cast("string")
+    whole = F.array(
+        F.lit("- model: nierman_jagadish_subtree"), line("update", "updates"), line("insert_tree", "inserts"), line("delete_tree", "deletes"), line("total_operations", "total"),
+        line("nodes_in_deleted_subtrees", "deleted_nodes"), line("nodes_in_inserted_subtrees", "inserted_nodes"), F.concat(F.lit("- subtree_node_volume: "), moved), F.lit(""), F.lit(NOTES["nj"]),
+    )
+    head = F.array(
+        F.format_string("Comparison: %s -> %s", "source_id", "target_id"), F.concat(F.lit("Algorithm: "), F.col("algorithm")), F.concat(F.lit("Distance: "), F.col("distance").cast("string")),
+        F.format_string("Similarity: %.4f", "similarity"), F.lit(""), F.lit("Edit script summary:"),
+    )
+    steps = F.when(nj, F.concat(F.array(F.lit(""), F.lit("Operations:")), F.transform("steps", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)))).otherwise(F.expr("cast(array() as array<string>)"))
+    said = F.concat(head, F.when(nj, whole).otherwise(plain), F.array(line("total", "total")), steps, F.array(F.lit(""), F.lit("Patched infobox:"), F.col("infobox")))
+    return compared.select("source_id", "target_id", F.array_join(said, "\n").alias("text"))

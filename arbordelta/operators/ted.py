@@ -1,8 +1,9 @@
 """Tree edit distances of pairs of trees.
 
 A pair row has source_id, target_id, a, b (the two preorder arrays). Three algorithms: `chawathe` (alignment of the preorder
-arrays, a native expression), `nj` (whole-subtree operations) and `zhang_shasha` (keyroots); scripts, and the latter two
-distances, run over Arrow batches in Python. A distance never computes a script.
+arrays), `nj` (whole-subtree operations) and `zhang_shasha` (keyroots). Distances and scripts run over Arrow batches; a batch
+numbers its labels, values and subtree shapes, so that what many of its pairs have in common is worked out once. A distance
+never computes a script. `chawathe_native` is the same distance as a column expression.
 """
 
 from __future__ import annotations
@@ -10,14 +11,19 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code import arrow_map
+from ..plans.trees import unpacked
 
 ALGORITHMS = {"chawathe": "chawathe_ld_pair_ted", "nj": "Nierman & Jagadish (2002)", "zhang_shasha": "zhang_shasha"}
 
+# What whole-subtree operations say of themselves; s and t number the nodes of source and target.
+UPDATED, DELETED, INSERTED = "Upd(R(s{}), t{})", "DelTree(s{})", "InsTree(t{}, s{}, {})"
+
 #: Row by row dynamic programme over the two arrays. A cell looks left, up and up-left.
 _CHAWATHE = """
 element_at(aggregate(sequence(1, size(a)), sequence(0, size(b)),
@@ -55,20 +61,26 @@ class Node:
         self.label, self.value, self.pre, self.size, self.children = label, value, pre, 1, []
 
 
-def to_tree(seq: list[dict]) -> Node:
-    stack: list[tuple[int, Node]] = []
-    for i, x in enumerate(seq):
-        n = Node(x["label"], x["value"], i)
-        while stack and stack[-1][0] >= x["depth"]:
-            stack.pop()
-        for _, up in stack:
+def tree_of(labels: list, values: list, depths: list) -> Node:
+    line: list[Node] = []
+    for i, (label, value, d) in enumerate(zip(labels, values, depths)):
+        n = Node(label, value, i)
+        while line and depths[line[-1].pre] >= d:
+            line.pop()
+        for up in line:
             up.size += 1
-        if stack:
-            stack[-1][1].children.append(n)
+        if line:
+            line[-1].children.append(n)
         elif i:
             raise ValueError("more than one root")
-        stack.append((x["depth"], n))
-    return stack[0][1]
+        line.append(n)
+    if not labels:
+        raise ValueError("empty tree")
+    return line[0]
+
+
+def to_tree(seq: list[dict]) -> Node:
+    return tree_of(*([x[k] for x in seq] for k in ("label", "value", "depth")))
 
 
 def preorder(n: Node) -> list[Node]:
@@ -80,13 +92,19 @@ def preorder(n: Node) -> list[Node]:
     return out
 
 
-def to_seq(n: Node) -> list[dict]:
-    out, todo = [], [(n, 0)]
+def arrays_of(n: Node) -> tuple[list, list, list]:
+    labels, values, depths, todo = [], [], [], [(n, 0)]
     while todo:
         x, d = todo.pop()
-        out.append({"label": x.label, "value": x.value, "depth": d})
+        labels.append(x.label)
+        values.append(x.value)
+        depths.append(d)
         todo.extend((c, d + 1) for c in reversed(x.children))
-    return out
+    return labels, values, depths
+
+
+def to_seq(n: Node) -> list[dict]:
+    return [{"label": x, "value": v, "depth": d} for x, v, d in zip(*arrays_of(n))]
 
 
 def chawathe_script(a: list[dict], b: list[dict]) -> list[dict]:
@@ -194,7 +212,7 @@ def nj(a: list[dict], b: list[dict]) -> tuple[int, list[dict]]:
             return
         _, d, start = known[id(p), id(q)]
         if start:
-            ops.append({"op": "update", "ref": f"s{p.pre}", "position": None, "old": [p.label, p.value], "new": [q.label, q.value], "subtree": None, "count": 1})
+            ops.append({"op": "update", "ref": f"s{p.pre}", "position": None, "old": [p.label, p.value], "new": [q.label, q.value], "subtree": None, "count": 1, "note": UPDATED.format(p.pre, q.pre)})
         i, j, steps = len(p.children), len(q.children), []
         while i or j:
             if i and j and d[i][j] == d[i - 1][j - 1] + known[id(p.children[i - 1]), id(q.children[j - 1])][0]:
@@ -210,9 +228,9 @@ def nj(a: list[dict], b: list[dict]) -> tuple[int, list[dict]]:
             if kind == "match":
                 explain(p.children[i], q.children[j])
             elif kind == "delete_tree":
-                ops.append({"op": kind, "ref": f"s{p.children[i].pre}", "position": i + 1, "old": None, "new": None, "subtree": to_seq(p.children[i]), "count": p.children[i].size})
+                ops.append({"op": kind, "ref": f"s{p.children[i].pre}", "position": i + 1, "old": None, "new": None, "subtree": to_seq(p.children[i]), "count": p.children[i].size, "note": DELETED.format(p.children[i].pre)})
             else:
-                ops.append({"op": kind, "ref": f"s{p.pre}", "position": j + 1, "old": None, "new": None, "subtree": to_seq(q.children[j]), "count": q.children[j].size})
+                ops.append({"op": kind, "ref": f"s{p.pre}", "position": j + 1, "old": None, "new": None, "subtree": to_seq(q.children[j]), "count": q.children[j].size, "note": INSERTED.format(q.children[j].pre, p.pre, j + 1)})
 
     explain(ta, tb)
     return total, ops
@@ -318,17 +336,216 @@ def scripts(pairs: DataFrame, algorithm: str = "chawathe") -> DataFrame:
     return _scripted(pairs, {"chawathe": _with_script, "nj": nj, "zhang_shasha": zhang_shasha}[canonical(algorithm)])
 
 
+class Names:
+    """Numbers for what is compared, kept for a batch."""
+
+    def __init__(self):
+        self.of: dict = {}
+
+    def __call__(self, key) -> int:
+        return self.of.setdefault(key, len(self.of))
+
+
+def chawathe_distances(names: Names):
+    """Distance of two trees given as (labels, values, depths): a row of the table at a time, each in one numpy pass.
+
+    A row's steps to the right cost 1 where they are allowed, so a row is the running minimum of what comes from above,
+    less the place, between places where no step is allowed.
+    """
+    inf = 1 << 40
+
+    def one(a, b) -> int:
+        m, n = len(a[0]), len(b[0])
+        ka, kb = (np.fromiter(map(names, zip(*x)), np.int64, len(x[0])) for x in (a, b))
+        da, db = np.array(a[2], np.int64), np.array(b[2], np.int64)
+        place = np.arange(n + 1)
+        row = place.copy()
+        for i in range(1, m + 1):
+            d = da[i - 1]
+            down = row[1:] + 1
+            shut = d < db
+            shut[n - 1 :] = False
+            down[shut] = inf
+            side = row[:-1] + (ka[i - 1] != kb)
+            side[db != d] = inf
+            best = np.concatenate([[i], np.minimum(down, side)])
+            if i == m:  # every step to the right is allowed
+                row = np.minimum.accumulate(best - place) + place
+                continue
+            # Stretches of allowed steps: each begins anew, so its values are lowered by a step of their own.
+            stretch = np.concatenate([[0], np.cumsum(db < d)])
+            keyed = best - place - stretch * (2 * inf)
+            row = np.minimum.accumulate(keyed) + place + stretch * (2 * inf)
+        return int(row[n])
+
+    return one
+
+
+def nj_distances(names: Names):
+    """Whole-subtree distance without a script. Pairs of subtree shapes that a batch has met are looked up."""
+    known: dict[tuple[int, int], int] = {}
+    # shape -> label and value, the shapes of the children, nodes
+    shapes: dict[int, tuple] = {}
+    fits: dict[tuple[int, int], bool] = {}
+
+    def shape_of(root: Node) -> tuple[int, set[int]]:
+        own: dict[int, int] = {}
+        for n in reversed(preorder(root)):
+            key = (names((n.label, n.value or "")), tuple(own[id(c)] for c in n.children))
+            own[id(n)] = k = names(key)
+            shapes.setdefault(k, (*key, n.size))
+        return own[id(root)], set(own.values())
+
+    def inside(x: int, y: int) -> bool:
+        """Whether shape x fits into shape y from their roots: matched children are a subsequence, at every level."""
+        if x == y:
+            return True
+        if (x, y) not in fits:
+            (name, kids, size), (other, rest, most) = shapes[x], shapes[y]
+            ok = name == other and size <= most
+            if ok and kids:
+                left = iter(rest)
+                ok = all(any(inside(k, r) for r in left) for k in kids)
+            fits[x, y] = ok
+        return fits[x, y]
+
+    def one(a, b) -> int:
+        (ra, in_a), (rb, in_b) = shape_of(tree_of(*a)), shape_of(tree_of(*b))
+        by_name: list[dict[int, list[int]]] = [{}, {}]
+        for own, found in zip((in_a, in_b), by_name):
+            for k in own:
+                found.setdefault(shapes[k][0], []).append(k)
+        cost = [{k: 1 if any(inside(k, y) for y in other.get(shapes[k][0], ())) else shapes[k][2] for k in own} for own, other in ((in_a, by_name[1]), (in_b, by_name[0]))]
+        gone, come = cost
+        solved: dict[tuple[int, int], int] = {}
+
+        def solve(x: int, y: int) -> int:
+            if x == y:
+                return 0
+            if (x, y) in solved:
+                return solved[x, y]
+            (p, left, _), (q, right, _) = shapes[x], shapes[y]
+            row = [int(p != q)]
+            for e in right:
+                row.append(row[-1] + come[e])
+            for c in left:
+                diagonal, row[0] = row[0], row[0] + gone[c]
+                for j, e in enumerate(right, 1):
+                    diagonal, row[j] = row[j], min(diagonal + solve(c, e), row[j] + gone[c], row[j - 1] + come[e])
+            solved[x, y] = row[-1]
+            return row[-1]
+
+        if (ra, rb) not in known:
+            known[ra, rb] = solve(ra, rb)
+        return known[ra, rb]
+
+    return one
+
+
+def zhang_shasha_distances(names: Names):
+    """Unit-cost distance of the label-sorted trees without a mapping. Pairs of subtree shapes that a batch has met are looked up."""
+    # shape -> names in postorder, leftmost leaves, keyroots, shape of each node, for each keyroot the nodes with its leftmost leaf
+    shapes: dict[int, tuple] = {}
+    known: dict[tuple[int, int], list[int]] = {}
+
+    def shape_of(root: Node) -> int:
+        own: dict[int, int] = {}
+        for n in reversed(preorder(sort_children(root))):
+            own[id(n)] = names((names((n.label, n.value)), tuple(own[id(c)] for c in n.children)))
+        k = own[id(root)]
+        if k not in shapes:
+            order, low, whole = [], [], []
+
+            def walk(n: Node) -> int:
+                first = None
+                for c in n.children:
+                    at = walk(c)
+                    first = at if first is None else first
+                first = len(order) if first is None else first
+                order.append(names((n.label, n.value)))
+                low.append(first)
+                whole.append(own[id(n)])
+                return first
+
+            walk(root)
+            left: dict[int, list[int]] = {}
+            for i, v in enumerate(low):
+                left.setdefault(v, []).append(i)
+            shapes[k] = (order, low, sorted(v[-1] for v in left.values()), whole, left)
+        return k
+
+    def one(a, b) -> int:
+        x, y = shape_of(tree_of(*a)), shape_of(tree_of(*b))
+        if x == y:
+            return 0
+        (xa, la, ka, wa, fa), (xb, lb, kb, wb, fb) = shapes[x], shapes[y]
+        trees: dict[tuple[int, int], int] = {}
+        for i in ka:
+            for j in kb:
+                p, q = la[i], lb[j]
+                own = [(u, v) for u in fa[p] for v in fb[q]]
+                if (wa[i], wb[j]) in known:
+                    trees.update(zip(own, known[wa[i], wb[j]]))
+                    continue
+                width = j - q + 2
+                rows = [list(range(width))]
+                for s in range(1, i - p + 2):
+                    u = p + s - 1
+                    name, lu, up = xa[u], la[u], rows[s - 1]
+                    row, left = [s], s
+                    for t in range(1, width):
+                        v = q + t - 1
+                        best = up[t] if up[t] < left else left
+                        best += 1
+                        if lu == p and lb[v] == q:
+                            way = up[t - 1] + (name != xb[v])
+                            if way < best:
+                                best = way
+                            trees[u, v] = best
+                        else:
+                            way = rows[lu - p][lb[v] - q] + trees[u, v]
+                            if way < best:
+                                best = way
+                        row.append(best)
+                        left = best
+                    rows.append(row)
+                known[wa[i], wb[j]] = [trees[o] for o in own]
+        return trees[len(xa) - 1, len(xb) - 1]
+
+    return one
+
+
+SCORE = "source_id string, target_id string, n_source int, n_target int, distance int, similarity double"
+_DISTANCES = {"chawathe": chawathe_distances, "nj": nj_distances, "zhang_shasha": zhang_shasha_distances}
+
+
 def distances(pairs: DataFrame, algorithm: str = "chawathe", root_label: str | None = None) -> DataFrame:
-    """source_id, target_id, n_source, n_target, distance, similarity."""
-    rows = pairs.select("source_id", "target_id", coerce_root("a", root_label).alias("a"), coerce_root("b", root_label).alias("b"))
-    sizes = (F.size("a").alias("n_source"), F.size("b").alias("n_target"))
-    if canonical(algorithm) == "chawathe":
-        rows = rows.select("source_id", "target_id", *sizes, F.expr(_CHAWATHE).alias("distance"))
-    else:
-        counts = rows.select("source_id", "target_id", *sizes)
-        rows = scripts(rows, algorithm).select("source_id", "target_id", "distance").join(counts, ["source_id", "target_id"])
-    total = F.col("n_source") + F.col("n_target")
-    return rows.withColumn("similarity", F.when(total == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("distance") / total)))
+    """source_id, target_id, n_source, n_target, distance, similarity. A pair that can't be compared has no distance."""
+    make = _DISTANCES[canonical(algorithm)]
+
+    def run(batches):
+        for batch in batches:
+            one, sizes, found = make(Names()), ([], []), []
+            for a, b in zip(unpacked(batch.column("a")), unpacked(batch.column("b"))):
+                sizes[0].append(len(a[0]))
+                sizes[1].append(len(b[0]))
+                if root_label is not None:
+                    a, b = (([root_label, *x[0][1:]], x[1], x[2]) for x in (a, b))
+                try:
+                    found.append(one(a, b) if a[0] and b[0] else None)
+                except (ValueError, IndexError, TypeError, RecursionError):
+                    found.append(None)
+            like = [None if d is None else max(0.0, 1.0 - d / (m + n)) for d, m, n in zip(found, *sizes)]
+            columns = [batch.column("source_id"), batch.column("target_id"), *(pa.array(x, pa.int32()) for x in (*sizes, found)), pa.array(like, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORE.split(", ")])
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return arrow_map(pairs.select(text("source_id"), text("target_id"), "a", "b"), run, SCORE)
+
+
+def chawathe_native(pairs: DataFrame) -> DataFrame:
+    """source_id, target_id, distance as a column expression, for short arrays in a plan that must stay in the JVM."""
+    return pairs.select("source_id", "target_id", F.expr(_CHAWATHE).alias("distance"))
 
 
 def lower_bound(keep_depth: bool = True) -> Column:

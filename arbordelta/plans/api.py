@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, features, normalize, patch, render, ted
 from ..sources import html
+from .trees import per_tree
+
+KEY = ["source_id", "target_id"]
 
 
 def pair_up(trees: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -16,42 +19,120 @@ def pair_up(trees: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(a, "source_id").join(b, "target_id").select("source_id", "target_id", "a", "b")
 
 
+def missing(trees: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source_id, target_id, error: the wanted pairs of which a tree is absent."""
+    ids = trees.select("tree_id").distinct()
+    out = wanted
+    for side in KEY:
+        out = out.join(ids.select(F.col("tree_id").alias(side), F.lit(True).alias(f"has_{side}")), side, "left")
+    absent = F.when(F.col("has_source_id").isNull(), F.col("source_id")).when(F.col("has_target_id").isNull(), F.col("target_id"))
+    return out.select(*KEY, absent.alias("_absent")).where("_absent is not null").select(*KEY, F.format_string("no tree for '%s'", "_absent").alias("error"))
+
+
+def _coerced(pairs: DataFrame, root_label: str | None) -> DataFrame:
+    return pairs.select(*KEY, ted.coerce_root("a", root_label).alias("a"), ted.coerce_root("b", root_label).alias("b"))
+
+
 def compare(trees: DataFrame, wanted: DataFrame, chosen: list[str] = (), exclude: bool = False, algorithm: str = "chawathe", root_label: str | None = None) -> DataFrame:
     """Distance, similarity, script, semantic diff counts and text of each wanted pair, after pruning to (or without) the chosen features."""
     pruned = (features.prune_exclude if exclude else features.prune_include)(trees, list(chosen))
     pairs = pair_up(pruned, wanted)
-    key = ["source_id", "target_id"]
-    coerced = pairs.select(*key, ted.coerce_root("a", root_label).alias("a"), ted.coerce_root("b", root_label).alias("b"))
-    scripts = ted.scripts(coerced, algorithm).select(*key, "ops", "error")
-    ops = diff.semantic_diff(pairs)
-    return ted.distances(pairs, algorithm, root_label).join(scripts, key).join(diff.summarize(ops), key, "left").join(diff.human_text(ops), key, "left").withColumn("algorithm", F.lit(ted.ALGORITHMS[ted.canonical(algorithm)])).na.fill(0, ["inserts", "deletes", "updates", "total"])
+    scripts = ted.scripts(_coerced(pairs, root_label), algorithm).select(*KEY, "ops", "error")
+    texts = diff.diff_texts(pairs).select(*KEY, "inserts", "deletes", "updates", F.col("n_ops").alias("total"), F.col("human").alias("text"), F.col("structured"), F.col("ops").alias("clean_ops"))
+    return ted.distances(pairs, algorithm, root_label).join(scripts, KEY).join(texts, KEY, "left").withColumn("algorithm", F.lit(ted.ALGORITHMS[ted.canonical(algorithm)])).na.fill(0, ["inserts", "deletes", "updates", "total"])
 
 
-def patch_features(trees: DataFrame, wanted: DataFrame, chosen: list[str], excluded: list[str] = ()) -> DataFrame:
-    """source_id, target_id, seq, json, xml, text, score, differences: sources patched by their targets' chosen features."""
-    pairs = pair_up(trees, wanted)
+def full_diff(pairs: DataFrame, algorithm: str = "chawathe", root_label: str | None = None) -> DataFrame:
+    """source_id, target_id, algorithm, kind, distance, similarity, script counts, matches_target, patched, json, xml, infobox, report, error.
+
+    Each pair's script, the script replayed on its source, whether that gives the target, and the report. A pair that
+    fails has an error. Given trees may come from codec.from_json().
+    """
+    kind, rows = ted.canonical(algorithm), _coerced(pairs, root_label)
+    scripted = ted.scripts(rows, algorithm)
+    done = patch.apply_script(rows, scripted, algorithm)
+    counts = patch.summarize_script(scripted)
+    note = lambda o: F.coalesce(o["note"], o["op"])
+    steps = F.transform(F.from_json("ops", "array<struct<op:string,note:string>>"), note) if kind == "nj" else F.expr("cast(array() as array<string>)")
+    target = rows.select(*KEY, "a", "b")
+
+    def judged(a, b, patched):
+        if kind == "zhang_shasha":
+            b = ted.arrays_of(ted.sort_children(ted.tree_of(*b)))
+        blank = (lambda v: [x or "" for x in v]) if kind == "nj" else list
+        return render.json_text(patched), render.xml_text(patched), render.infobox_lines(*patched), (list(patched[0]), blank(patched[1]), list(patched[2])) == (list(b[0]), blank(b[1]), list(b[2]))
+
+    made = target.join(done.where("patched is not null").select(*KEY, "patched"), KEY)
+    shown = per_tree(made, judged, {"json": "string", "xml": "string", "infobox": "string", "matches_target": "boolean"}, ids=(*KEY, "patched"), given=("a", "b", "patched"))
+    scored = scripted.select(*KEY, "distance", steps.alias("steps"), F.col("error").alias("script_error"))
+    sizes = rows.select(*KEY, F.size("a").alias("n_source"), F.size("b").alias("n_target"))
+    out = sizes.join(scored, KEY).join(done.select(*KEY, F.col("error").alias("patch_error")), KEY, "left").join(shown, KEY, "left").join(counts, KEY, "left")
+    out = out.withColumns({"algorithm": F.lit(ted.ALGORITHMS[kind]), "kind": F.lit(kind), "similarity": F.greatest(F.lit(0.0), 1.0 - F.col("distance") / (F.col("n_source") + F.col("n_target"))), "total": F.col("length")})
+    reports = render.report(out.where("infobox is not null"))
+    if kind == "zhang_shasha":
+        reports = reports.withColumn("text", F.concat("text", F.lit("\n\n(Patched via Zhang–Shasha postorder alignment.)\n")))
+    names = ["algorithm", "kind", "distance", "similarity", "inserts", "deletes", "updates", "maps", "total", "matches_target", "patched", "json", "xml", "infobox"]
+    return out.join(reports.withColumnRenamed("text", "report"), KEY, "left").select(*KEY, *names, "report", F.coalesce("script_error", "patch_error").alias("error"))
+
+
+def judged_patch(pairs: DataFrame, patched: DataFrame) -> DataFrame:
+    """source_id, target_id, seq, json, xml, text, score, differences, error: patched sources beside their targets.
+
+    pairs: source_id, target_id, b (null where there is no target: then there is no score). patched: source_id, target_id, seq, error.
+    """
+
+    def one(seq, b):
+        root = ted.tree_of(*seq)
+        if not b[0]:
+            return render.json_text(seq), render.xml_text(seq), render.infobox_lines(*seq), None
+        left = [o for o in diff.differences(root, ted.tree_of(*b)) if not diff.is_blank_op(o)]
+        return render.json_text(seq), render.xml_text(seq), render.infobox_lines(*seq), len(left)
+
+    key = [*KEY]
+    both = pairs.select(*key, "b").join(patched.select(*key, "seq", F.col("error").alias("_failed")), key)
+    good = both.where("seq is not null")
+    shown = per_tree(good, one, {"json": "string", "xml": "string", "text": "string", "differences": "long"}, ids=(*key, "seq"), given=("seq", "b"), errors=True)
+    scores = diff.tree_similarity(good.where("b is not null").select(*key, F.col("seq").alias("a"), "b")).select(*key, "score")
+    out = shown.join(scores, key, "left")
+    # Nothing left to differ means full similarity.
+    out = out.withColumn("score", F.when(F.col("differences") == 0, 1.0).otherwise(F.col("score")))
+    return out.unionByName(both.where("seq is null").select(*key, F.col("_failed").alias("error")), allowMissingColumns=True)
+
+
+def _renamed(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Sources with their path patches applied: source_id, target_id, seq, error."""
     name = F.concat_ws("\x1f", "source_id", "target_id")
-    made = patch.patch_from_features(pairs, list(chosen), list(excluded)).join(pairs, ["source_id", "target_id"])
-    done = patch.apply_paths(made.select(name.alias("tree_id"), F.col("a").alias("seq"), "patch"))
-    both = done.join(pairs.select(name.alias("tree_id"), "source_id", "target_id", "b"), "tree_id").select("source_id", "target_id", F.col("seq").alias("a"), "b")
-    key = ["source_id", "target_id"]
-    left = diff.without_empty(diff.semantic_diff(both)).groupBy(*key).agg(F.count("*").alias("differences"))
-    shown = render.documents(done).join(render.infobox_text(done), "tree_id").join(done, "tree_id")
+    done = patch.apply_paths(made.join(pairs.select(*KEY, "a"), KEY).select(name.alias("tree_id"), F.col("a").alias("seq"), "patch"))
     ids = F.split("tree_id", "\x1f")
-    out = shown.select(ids[0].alias("source_id"), ids[1].alias("target_id"), "seq", "json", "xml", "text").join(diff.tree_similarity(both).select(*key, "score"), key).join(left, key, "left")
-    # Nothing left to differ means full similarity.
-    return out.withColumn("differences", F.coalesce("differences", F.lit(0))).withColumn("score", F.when(F.col("differences") == 0, 1.0).otherwise(F.col("score")))
+    return done.select(ids[0].alias("source_id"), ids[1].alias("target_id"), "seq", "error")
+
+
+def patch_features(trees: DataFrame, wanted: DataFrame, chosen: list[str] | None, excluded: list[str] = ()) -> DataFrame:
+    """judged_patch of sources patched by their targets' features: the chosen ones (all leaf paths of both if None) but the excluded."""
+    pairs = pair_up(trees, wanted)
+    return judged_patch(pairs, _renamed(pairs, patch.patch_from_features(pairs, chosen, list(excluded))))
+
+
+def patch_clean(pairs: DataFrame) -> DataFrame:
+    """judged_patch of sources patched by the paths of their semantic diffs."""
+    return judged_patch(pairs, _renamed(pairs, patch.diff_to_patch(diff.semantic_diff(pairs))))
+
+
+def patch_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawathe") -> DataFrame:
+    """judged_patch of sources with scripts replayed on them: positional, of whole subtrees, or by mapping."""
+    return judged_patch(pairs, patch.apply_script(pairs, scripted, algorithm).select(*KEY, F.col("patched").alias("seq"), "error"))
 
 
 def postprocess(trees: DataFrame) -> DataFrame:
-    return render.documents(trees).join(render.infobox_text(trees), "tree_id")
+    """tree_id, json, xml, text, error."""
+    return per_tree(trees, lambda seq: (render.json_text(seq), render.xml_text(seq), render.infobox_lines(*seq)), {"json": "string", "xml": "string", "text": "string"}, errors=True)
 
 
-def ingest(pages: DataFrame, retrieved_at: str) -> DataFrame:
+def ingest(pages: DataFrame, retrieved_at: str, source: str = "wikipedia") -> DataFrame:
     """tree_id, seq from pages (slug, name, url, html): parse, normalise, select, build. Pages without an infobox are left out."""
     boxes = html.infoboxes(pages).where("rows is not null")
     rows = boxes.select(F.col("slug").alias("entity"), F.posexplode("rows").alias("pos", "r")).select("entity", "pos", "r.label", "r.value_text")
     values = normalize.comparison(normalize.fields(rows), boxes.select(F.col("slug").alias("entity"), F.col("name").alias("country_name")))
-    facts = {"country_name": F.col("name"), "slug": F.col("slug"), "wikipedia_url": F.col("url"), "retrieved_at": F.lit(retrieved_at), "source": F.lit("wikipedia")}
+    facts = {"country_name": F.col("name"), "slug": F.col("slug"), "wikipedia_url": F.col("url"), "retrieved_at": F.lit(retrieved_at), "source": F.lit(source)}
     meta = boxes.select(F.col("slug").alias("entity"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in facts.items()])).alias("x")).select("entity", "x.*")
     return normalize.trees(values, meta)

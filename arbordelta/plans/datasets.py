@@ -39,6 +39,26 @@ def neighbours(trees: DataFrame) -> DataFrame:
     return a.join(b, "k").drop("k")
 
 
+def supplier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree_id, k, document: a JSON document {meta, normalized} of each supplier."""
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    k, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    slug = F.concat(F.lit("supplier_"), F.lpad(text(k), 9, "0"))
+    meta = F.struct(
+        F.col("s_name").alias("country_name"), F.concat(F.lit("2024-01-0"), text(k % 9 + 1)).alias("retrieved_at"), slug.alias("slug"), F.lit("table").alias("source"), F.concat(F.lit("http://w/"), text(k)).alias("wikipedia_url"),
+    )
+    fields = F.struct(
+        F.struct(F.concat(text(F.col("s_nationkey")), F.lit(".5")).alias("water_percent"), (k * 37 + 1).alias("total_km2")).alias("area"),
+        F.col("n_name").alias("capital"), F.col("s_name").alias("country_name"),
+        F.when(k % 4 != 3, F.struct(F.concat(text(k + 1), F.lit(" 500 billion")).alias("gdp_nominal_total"))).alias("economy"),
+        F.struct(F.when(k % 3 == 0, "republic").otherwise("monarchy").alias("type")).alias("government"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit(".s"), text(F.col("s_nationkey"))))).otherwise(F.array(F.concat(F.lit(".s"), text(F.col("s_nationkey"))), F.lit(".x"))).alias("internet_tld"),
+        F.array(F.concat(F.lit("l"), text(k % 4)), F.lit("en"), F.lit(" ")).alias("languages"),
+    )
+    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # nation has 25 rows at any size
+    return rows.select(slug.alias("tree_id"), k.alias("k"), F.to_json(F.struct(meta.alias("meta"), F.struct(fields.alias("comparison_fields")).alias("normalized"))).alias("document"))
+
+
 #: The same trees in DuckDB.
 PART_SQL = """parts AS (SELECT 'part_' || lpad(p_partkey::VARCHAR, 9, '0') AS tree_id, [
   {'label': 'part', 'value': NULL::VARCHAR, 'depth': 0}, {'label': 'meta', 'value': NULL, 'depth': 1},
@@ -55,3 +75,16 @@ customers AS (SELECT 'customer_' || lpad(c_custkey::VARCHAR, 9, '0') AS tree_id,
   {'label': 'nation', 'value': c_nationkey::VARCHAR, 'depth': 2}],
   CASE WHEN nodes IS NULL THEN [] ELSE list_concat([{'label': 'orders', 'value': NULL::VARCHAR, 'depth': 2}], nodes) END) AS seq
   FROM customer LEFT JOIN items ON c_custkey = o_custkey)"""
+_NAME = "replace(s_name, '#', ' ')"
+SUPPLIER_SQL = f"""suppliers AS (SELECT 'supplier_' || lpad(s_suppkey::VARCHAR, 9, '0') AS tree_id, s_suppkey AS k, s_nationkey AS nk, n_name AS capital, {_NAME} AS name, list_concat([
+  {{'label': 'supplier_' || lpad(s_suppkey::VARCHAR, 9, '0'), 'value': NULL::VARCHAR, 'depth': 0}}, {{'label': 'meta', 'value': NULL, 'depth': 1}}, {{'label': 'country_name', 'value': {_NAME}, 'depth': 2}},
+  {{'label': 'retrieved_at', 'value': '2024-01-0' || (s_suppkey % 9 + 1), 'depth': 2}}, {{'label': 'slug', 'value': 'supplier_' || lpad(s_suppkey::VARCHAR, 9, '0'), 'depth': 2}},
+  {{'label': 'source', 'value': 'table', 'depth': 2}}, {{'label': 'wikipedia_url', 'value': 'http://w/' || s_suppkey, 'depth': 2}}, {{'label': 'fields', 'value': NULL, 'depth': 1}},
+  {{'label': 'area', 'value': NULL, 'depth': 2}}, {{'label': 'total_km2', 'value': (s_suppkey * 37 + 1)::VARCHAR, 'depth': 3}}, {{'label': 'water_percent', 'value': s_nationkey || '.5', 'depth': 3}},
+  {{'label': 'capital', 'value': n_name, 'depth': 2}}, {{'label': 'country_name', 'value': {_NAME}, 'depth': 2}}],
+  CASE WHEN s_suppkey % 4 <> 3 THEN [{{'label': 'economy', 'value': NULL, 'depth': 2}}, {{'label': 'gdp_nominal_total', 'value': (s_suppkey + 1) || '.500 billion', 'depth': 3}}] ELSE [] END,
+  [{{'label': 'government', 'value': NULL, 'depth': 2}}, {{'label': 'type', 'value': CASE WHEN s_suppkey % 3 = 0 THEN 'republic' ELSE 'monarchy' END, 'depth': 3}},
+   {{'label': 'internet_tld', 'value': NULL, 'depth': 2}}, {{'label': 'internet_tld_item', 'value': 's' || s_nationkey, 'depth': 3}}],
+  CASE WHEN s_suppkey % 2 = 1 THEN [{{'label': 'internet_tld_item', 'value': '', 'depth': 3}}] ELSE [] END,
+  [{{'label': 'languages', 'value': NULL, 'depth': 2}}, {{'label': 'languages_item', 'value': 'l' || s_suppkey % 4, 'depth': 3}}, {{'label': 'languages_item', 'value': 'en', 'depth': 3}}]) AS seq
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""

@@ -1,15 +1,20 @@
 """Trees as rows: one row holds a tree as an array of (label, value, depth) in preorder.
 
-Spark has no recursive types. The array keeps everything (a node's parent is the nearest earlier one that is less deep),
-and nodes() turns it into one row for each node where an operator needs joins.
+Spark has no recursive types. The array keeps everything (a node's parent is the nearest earlier one that is less deep).
+What needs a tree's shape is one ordered pass over its array, in Arrow batches, so it is linear in the nodes and needs no shuffle;
+nodes() gives one row for each node where an operator needs joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.code import arrow_map
+
 SEQ = "array<struct<label:string,value:string,depth:int>>"
 MAX_NODES, MAX_DEPTH = 100_000, 256
 
@@ -31,30 +36,125 @@ def fields_tree(df: DataFrame, id_: Column, root: str, meta: dict[str, Column],
     return df.select(id_.cast("string").alias("tree_id"), F.concat(*[s.cast(SEQ) for s in seq]).alias("seq"))
 
 
+KIND = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("depth", pa.int32())]))
+Seq = tuple[list, list, list]
+
+
+def unpacked(column: pa.Array) -> Iterator[Seq]:
+    """The labels, values and depths of each tree of a column of arrays; a null array has none."""
+    flat, at = column.flatten(), 0
+    parts = [flat.field(n).to_pylist() for n in ("label", "value", "depth")]
+    for size in column.value_lengths().fill_null(0).to_pylist():
+        yield tuple(x[at : at + size] for x in parts)
+        at += size
+
+
+def packed(trees: list[Seq | None]) -> pa.Array:
+    """A column of arrays of the trees' labels, values and depths."""
+    offsets, parts = [0], ([], [], [])
+    for t in trees:
+        for x, y in zip(parts, t or ((), (), ())):
+            x.extend(y)
+        offsets.append(len(parts[0]))
+    flat = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(parts, (pa.string(), pa.string(), pa.int32()))], ["label", "value", "depth"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([t is None for t in trees]))
+
+
+def parents(depths: list[int]) -> list[int]:
+    """The place of each node's parent, -1 for the first node; an error where a second root stands."""
+    out, line = [], []
+    for i, d in enumerate(depths):
+        while line and depths[line[-1]] >= d:
+            line.pop()
+        if i and not line:
+            raise ValueError("more than one root")
+        out.append(line[-1] if line else -1)
+        line.append(i)
+    return out
+
+
+def sizes(parent: list[int]) -> list[int]:
+    """The number of nodes of each subtree."""
+    out = [1] * len(parent)
+    for i in range(len(parent) - 1, 0, -1):
+        out[parent[i]] += out[i]
+    return out
+
+
+FAILURES = (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError)
+
+
+def per_tree(df: DataFrame, one: Callable, kinds: dict[str, str], ids: tuple[str, ...] = ("tree_id",), given: tuple[str, ...] = ("seq",), errors: bool = False) -> DataFrame:
+    """Columns of `ids` and those that one(*given) returns as a tuple; given trees come unpacked, trees returned so are packed.
+
+    errors: a row that fails has nulls and a text in `error`; else it fails the job.
+    """
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    names = [*ids, *kinds, *(["error"] if errors else [])]
+    trees = {f.name for f in df.schema if f.dataType.simpleString() == SEQ}
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            failed: list[str | None] = []
+            for args in zip(*(unpacked(batch.column(n)) if n in trees else batch.column(n).to_pylist() for n in given)):
+                try:
+                    found, error = one(*args), None
+                except FAILURES as e:
+                    if not errors:
+                        raise
+                    found, error = (None,) * len(kinds), f"{type(e).__name__}: {e}"
+                for x, y in zip(out, found):
+                    x.append(y)
+                failed.append(error)
+            made = [packed(x) if k == SEQ else pa.array(x, types[k]) for x, k in zip(out, kinds.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ids), *made, *([pa.array(failed, pa.string())] if errors else [])], names)
+
+    schema = [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in ids] + [f"{n} {k}" for n, k in kinds.items()] + (["error string"] if errors else [])
+    return arrow_map(df.select(*dict.fromkeys([*ids, *given])), run, ", ".join(schema))
+
+
+NODES = "n int, pre int, post int, parent_pre int, depth int, ordinal int, size int, lmd int, label string, value string, path array<string>, occ_path array<string>, keyed_path array<string>"
+
+
+def named(labels: list[str], parent: list[int]) -> tuple[list[int], list[str], list[str]]:
+    """Each node's place among its siblings, its name label#k by the k-th sibling of that label, and label or label[k] if there are more."""
+    ordinal, k, count = [], [], {}
+    seen: dict[int, int] = {}
+    for label, up in zip(labels, parent):
+        ordinal.append(seen.setdefault(up, 0))
+        seen[up] += 1
+        k.append(count.get((up, label), 0))
+        count[up, label] = k[-1] + 1
+    return ordinal, [f"{x}#{i}" for x, i in zip(labels, k)], [f"{x}[{i}]" if count[up, x] > 1 else x for x, i, up in zip(labels, k, parent)]
+
+
 def nodes(trees: DataFrame) -> DataFrame:
-    """tree_id, n, pre, post, parent_pre, depth, ordinal, size, lmd, label, value, path, occ_path, keyed_path.
+    """tree_id and NODES, a row for each node.
 
     ordinal: place among the siblings. occ_path names a node by label#k, the k-th sibling of that label; keyed_path by
     label, or label[k] if a sibling has the same. Both leave the root out.
     """
-    # A node's line, itself and its ancestors, is what is less deep in the line of the node before it, and the node.
-    lines = """aggregate(seq, cast(array() as array<array<int>>), (acc, x) -> array_append(acc,
-      array_append(coalesce(filter(try_element_at(acc, -1), k -> seq[k].depth < x.depth), cast(array() as array<int>)), size(acc))))"""
-    rows = trees.selectExpr("tree_id", "seq", f"{lines} as lines").selectExpr("tree_id", "seq", "lines", "cast(size(seq) as int) as n", "posexplode(seq) as (pre, x)").selectExpr(
-        "tree_id", "n", "pre", "x.label as label", "x.value as value", "x.depth as depth",
-        "cast(array_min(filter(sequence(pre + 1, n), k -> k = n or seq[k].depth <= x.depth)) - pre as int) as size", "lines[pre] as line",
-    )
-    rows = rows.selectExpr("*", "if(pre = 0, -1, line[size(line) - 2]) as parent_pre")
-    alike, siblings = W.partitionBy("tree_id", "parent_pre", "label"), W.partitionBy("tree_id", "parent_pre")
-    rows = rows.repartition("tree_id").withColumns({"k": F.row_number().over(alike.orderBy("pre")) - 1, "alike": F.count("*").over(alike), "ordinal": F.row_number().over(siblings.orderBy("pre")) - 1})
-    named = rows.selectExpr("*", "concat(label, '#', k) as occ", "if(alike > 1, concat(label, '[', k, ']'), label) as keyed")
-    whole = named.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("pre", "n", "parent_pre", "depth", "ordinal", "size", "label", "value", "line", "occ", "keyed"))).alias("every"))
-    return whole.select("tree_id", "every", F.explode("every").alias("x")).selectExpr(
-        "tree_id", "x.n", "x.pre", "cast(x.pre - x.depth + x.size - 1 as int) as post", "x.parent_pre", "x.depth", "x.ordinal", "x.size", "cast(x.pre - x.depth as int) as lmd", "x.label", "x.value",
-        "transform(x.line, k -> every[k].label) as path",
-        "transform(slice(x.line, 2, size(x.line)), k -> every[k].occ) as occ_path",
-        "transform(slice(x.line, 2, size(x.line)), k -> every[k].keyed) as keyed_path",
-    )
+
+    def run(batches):
+        kinds = [pa.int32()] * 8 + [pa.string()] * 2 + [pa.list_(pa.string())] * 3
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                ids, out = [], [[] for _ in kinds]
+                for tree_id, (labels, values, depths) in zip(batch.column("tree_id").slice(at, 500).to_pylist(), unpacked(batch.column("seq").slice(at, 500))):
+                    n, up = len(labels), parents(depths)
+                    size = sizes(up)
+                    ordinal, occ, keyed = named(labels, up)
+                    lines: list[tuple] = []
+                    for i, u in enumerate(up):
+                        lines.append((lines[u][0] + [labels[i]], lines[u][1] + [occ[i]], lines[u][2] + [keyed[i]]) if i else ([labels[0]], [], []))
+                    ids += [tree_id] * n
+                    rows = ([n] * n, range(n), [i - d + s - 1 for i, d, s in zip(range(n), depths, size)], up, depths, ordinal, size, [i - d for i, d in enumerate(depths)], labels, values, *([x[k] for x in lines] for k in range(3)))
+                    for x, y in zip(out, rows):
+                        x.extend(y)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array(x, k) for x, k in zip(out, kinds))], ["tree_id", *(x.split()[0] for x in NODES.split(", "))])
+
+    return arrow_map(trees.select(F.col("tree_id").cast("string").alias("tree_id"), "seq"), run, f"tree_id string, {NODES}")
 
 
 def validate(trees: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> DataFrame:

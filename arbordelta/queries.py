@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import diff, features, normalize, patch, ranking, render, ted
 from .plans.datasets import CUSTOMER_SQL, PART_SQL, customer_trees, neighbours, part_trees, read
-from .plans.trees import nodes, validate
+from .plans.trees import nodes
 from .sources import store
 
 QUERY_PART = "part_000000007"
@@ -83,6 +83,14 @@ def rank_both(spark, sf_dir):
     return ranking.rank_both(part_trees(spark, sf_dir), QUERY_PART)
 
 
+#: Trees of parts differ in the values of leaves only: each algorithm's distance is the number of leaves that differ.
+RANK_BOTH_SQL = _sql(
+    PART_SQL,
+    f"scored AS (SELECT y.tree_id, len(list_filter(list_zip(x.seq, y.seq), lambda z: z[1].value IS DISTINCT FROM z[2].value))::INT AS distance FROM parts x, parts y WHERE x.tree_id = '{QUERY_PART}' AND y.tree_id <> x.tree_id)",
+    then="SELECT row_number() OVER (PARTITION BY algorithm ORDER BY 1 - distance / 16.0 DESC, tree_id)::INT AS rank, tree_id, distance, 1.0::DOUBLE - distance::DOUBLE / 16 AS similarity, algorithm FROM scored, (VALUES ('chawathe'), ('nj')) v(algorithm) QUALIFY rank <= 5",
+)
+
+
 def _joined(df):
     """Arrays as text, so that results can be compared by value."""
     return df.select(*[F.array_join(c, "/").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
@@ -106,13 +114,6 @@ def keyroots(spark, sf_dir):
 KEYROOTS_SQL = _sql(*_CUSTOMER_NODES, then="SELECT tree_id, lmd::INT AS lmd, max(post)::INT AS keyroot FROM nodes GROUP BY ALL")
 
 
-def validate_trees(spark, sf_dir):
-    return validate(customer_trees(spark, sf_dir))
-
-
-VALIDATE_SQL = _sql(CUSTOMER_SQL, then="SELECT tree_id, len(seq)::INT AS n, list_max(list_transform(seq, lambda x: x.depth))::INT AS depth, NULL::VARCHAR AS error FROM customers")
-
-
 def leaf_paths(spark, sf_dir):
     return features.leaf_paths(customer_trees(spark, sf_dir))
 
@@ -153,7 +154,7 @@ def path_lookup(spark, sf_dir):
     return features.lookup(customer_trees(spark, sf_dir), "fields.orders.orders_item.status")
 
 
-LOOKUP_SQL = _sql(*_CUSTOMER_NODES, then="SELECT tree_id, arg_min(value, pre) AS value FROM nodes WHERE path[2:] = ['fields', 'orders', 'orders_item', 'status'] GROUP BY tree_id")
+LOOKUP_SQL = _sql(*_CUSTOMER_NODES, "found AS (SELECT tree_id, arg_min(value, pre) AS value FROM nodes WHERE path[2:] = ['fields', 'orders', 'orders_item', 'status'] GROUP BY tree_id)", then="SELECT tree_id, value, found.tree_id IS NOT NULL AS found FROM customers LEFT JOIN found USING (tree_id)")
 
 
 def tree_similarity(spark, sf_dir):
@@ -177,12 +178,12 @@ def semantic_diff(spark, sf_dir):
 
 _DIFF = (
     *_SIDES,
-    "ka AS (SELECT source_id, target_id, keyed_path AS path, size = 1 AS atomic, CASE WHEN size = 1 THEN value WHEN depth = 3 THEN 'item' END AS v, pre FROM sa WHERE depth > 0)",
-    "kb AS (SELECT source_id, target_id, keyed_path AS path, size = 1 AS atomic, CASE WHEN size = 1 THEN value END AS v, pre FROM sb WHERE depth > 0)",
-    "item_a AS (SELECT source_id, target_id, keyed_path[1:depth - 1] AS path, '{' || string_agg(label || '=' || value, '; ' ORDER BY label) || '}' AS v FROM sa WHERE depth = 4 GROUP BY ALL)",
-    "item_b AS (SELECT source_id, target_id, keyed_path[1:depth - 1] AS path, '{' || string_agg(label || '=' || value, '; ' ORDER BY label) || '}' AS v FROM sb WHERE depth = 4 GROUP BY ALL)",
-    "orders_a AS (SELECT source_id, target_id, ['fields', 'orders'] AS path, '{' || string_agg(array_to_string(keyed_path[3:], '.') || '=' || value, '; ' ORDER BY array_to_string(keyed_path[3:], '.') || '=' || value) || '}' AS v FROM sa WHERE depth = 4 GROUP BY ALL)",
-    "orders_b AS (SELECT source_id, target_id, ['fields', 'orders'] AS path, '{' || string_agg(array_to_string(keyed_path[3:], '.') || '=' || value, '; ' ORDER BY array_to_string(keyed_path[3:], '.') || '=' || value) || '}' AS v FROM sb WHERE depth = 4 GROUP BY ALL)",
+    "ka AS (SELECT source_id, target_id, keyed_path AS path, size = 1 AS atomic, CASE WHEN size = 1 AND label = 'nation' THEN value WHEN size = 1 THEN '\"' || value || '\"' END AS v, pre FROM sa WHERE depth > 0)",
+    "kb AS (SELECT source_id, target_id, keyed_path AS path, size = 1 AS atomic, CASE WHEN size = 1 AND label = 'nation' THEN value WHEN size = 1 THEN '\"' || value || '\"' END AS v, pre FROM sb WHERE depth > 0)",
+    "item_a AS (SELECT source_id, target_id, keyed_path[1:depth - 1] AS path, '{' || string_agg('\"' || label || '\": \"' || value || '\"', ', ' ORDER BY pre) || '}' AS v, min(pre) AS pre FROM sa WHERE depth = 4 GROUP BY ALL)",
+    "item_b AS (SELECT source_id, target_id, keyed_path[1:depth - 1] AS path, '{' || string_agg('\"' || label || '\": \"' || value || '\"', ', ' ORDER BY pre) || '}' AS v, min(pre) AS pre FROM sb WHERE depth = 4 GROUP BY ALL)",
+    "orders_a AS (SELECT source_id, target_id, ['fields', 'orders'] AS path, '{\"orders\": [' || string_agg(v, ', ' ORDER BY pre) || ']}' AS v, min(pre) AS pre FROM item_a GROUP BY ALL)",
+    "orders_b AS (SELECT source_id, target_id, ['fields', 'orders'] AS path, '{\"orders\": [' || string_agg(v, ', ' ORDER BY pre) || ']}' AS v, min(pre) AS pre FROM item_b GROUP BY ALL)",
     "text_a AS (FROM item_a UNION ALL FROM orders_a)", "text_b AS (FROM item_b UNION ALL FROM orders_b)",
     "m AS (SELECT coalesce(ka.source_id, kb.source_id) AS source_id, coalesce(ka.target_id, kb.target_id) AS target_id, coalesce(ka.path, kb.path) AS path, ka.path IS NOT NULL AS in_a, kb.path IS NOT NULL AS in_b, ka.atomic AS atomic_a, kb.atomic AS atomic_b, ka.v AS old, kb.v AS new FROM ka FULL OUTER JOIN kb ON ka.source_id = kb.source_id AND ka.target_id = kb.target_id AND ka.path = kb.path)",
     "live AS (SELECT m.* FROM m LEFT JOIN m p ON p.source_id = m.source_id AND p.target_id = m.target_id AND p.path = m.path[1:len(m.path) - 1] WHERE len(m.path) = 1 OR (p.in_a AND p.in_b AND NOT p.atomic_a AND NOT p.atomic_b))",
@@ -198,11 +199,6 @@ def semantic_summary(spark, sf_dir):
 SUMMARY_SQL = _sql(*_DIFF, then="SELECT source_id, target_id, count(*) FILTER (op = 'insert') AS inserts, count(*) FILTER (op = 'delete') AS deletes, count(*) FILTER (op = 'update') AS updates, count(*) AS total FROM ops GROUP BY ALL")
 
 
-def diff_categories(spark, sf_dir):
-    return diff.categorize(diff.semantic_diff(neighbours(customer_trees(spark, sf_dir))))
-
-
-CATEGORIES_SQL = _sql(*_DIFF, then="SELECT 'Others' AS category, count(*) AS n FROM ops")
 
 
 # ---- patches and renderings ----
@@ -252,19 +248,14 @@ def script_summary_chawathe(spark, sf_dir):
     return patch.summarize_script(ted.scripts(neighbours(customer_trees(spark, sf_dir))))
 
 
-def script_normalized(spark, sf_dir):
-    pairs = neighbours(part_trees(spark, sf_dir))
-    return patch.normalized_scripts(pairs, ted.scripts(pairs))
-
-
 def infobox_text(spark, sf_dir):
     return render.infobox_text(customer_trees(spark, sf_dir))
 
 
 INFOBOX_SQL = _sql(
     *_CUSTOMER_NODES,
-    then="""SELECT tree_id, '{{Infobox country' || chr(10) || '| name = ' || tree_id || chr(10) || string_agg('| ' || regexp_replace(array_to_string(path[2:], '.'), '^fields\\.', '') || ' = ' || value, chr(10) ORDER BY pre) || chr(10) || '}}' AS text
-  FROM nodes WHERE size = 1 GROUP BY tree_id""",
+    then="""SELECT tree_id, '{{Infobox country' || chr(10) || '| name = ' || tree_id || chr(10) || string_agg('| ' || array_to_string(path[3:], '.') || ' = ' || value, chr(10) ORDER BY pre) || chr(10) || '}}' AS text
+  FROM nodes WHERE size = 1 AND path[2] = 'fields' GROUP BY tree_id""",
 )
 
 
@@ -279,17 +270,36 @@ def drawn_text(spark, sf_dir):
     return render.drawn(customer_trees(spark, sf_dir))
 
 
+DRAWN_SQL = _sql(
+    *_CUSTOMER_NODES,
+    "spans AS (SELECT n.*, n.pre + n.size = p.pre + p.size AS last FROM nodes n LEFT JOIN nodes p ON p.tree_id = n.tree_id AND p.pre = n.parent_pre)",
+    "lasts AS (SELECT tree_id, list(last ORDER BY pre) AS lasts FROM spans GROUP BY tree_id)",
+    "lines AS (SELECT tree_id, pre, CASE WHEN depth = 0 THEN '' ELSE array_to_string(list_transform(placed.line[2:depth], lambda k: CASE WHEN lasts[k + 1] THEN '    ' ELSE '│   ' END), '') || CASE WHEN lasts[pre + 1] THEN '└── ' ELSE '├── ' END END || label || CASE WHEN value IS NULL THEN '' ELSE ' = ' || value END AS said FROM placed JOIN lasts USING (tree_id))",
+    then="SELECT tree_id, string_agg(said, chr(10) ORDER BY pre) AS text FROM lines GROUP BY tree_id",
+)
+
+
 def json_xml(spark, sf_dir):
     return render.documents(part_trees(spark, sf_dir))
 
 
+_LEAVES_OF_PART = {"brand": "p_brand", "name": "p_name", "size": "p_size", "type": "p_type"}
+JSON_XML_SQL = (
+    """WITH p AS (SELECT *, 'part_' || lpad(p_partkey::VARCHAR, 9, '0') AS tree_id, chr(10) AS e FROM part) SELECT tree_id, '{' || e || '  "part": {' || e || '    "meta": {' || e || '      "slug": "' || tree_id || '"' || e || '    },' || e || '    "fields": {' || e || """
+    + " || ',' || e || ".join(f"""'      "{k}": "' || {v} || '"'""" for k, v in _LEAVES_OF_PART.items())
+    + """ || e || '    }' || e || '  }' || e || '}' AS json, '<part><meta><slug>' || tree_id || '</slug></meta><fields>' || """
+    + " || ".join(f"'<{k}>' || {v} || '</{k}>'" for k, v in _LEAVES_OF_PART.items())
+    + """ || '</fields></part>' AS xml, NULL::VARCHAR AS error FROM p"""
+)
+
+
 def upsert_entities(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("slug"), F.col("c_name").alias("name"), "c_custkey")
     n = read(spark, sf_dir, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("slug"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("c_custkey"))
-    return store.upsert(n, c.where(F.col("c_custkey") % 3 == 0), order="c_custkey")
+    return store.upsert(n, c, order="c_custkey")
 
 
-UPSERT_SQL = """WITH new AS (SELECT 'c' || c_nationkey AS slug, c_name AS name, c_custkey FROM customer WHERE c_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1),
+UPSERT_SQL = """WITH new AS (SELECT 'c' || c_nationkey AS slug, c_name AS name, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1),
 old AS (SELECT 'c' || n_nationkey AS slug, n_name AS name, n_nationkey::BIGINT AS c_custkey FROM nation) SELECT * FROM new UNION ALL SELECT * FROM old WHERE slug NOT IN (SELECT slug FROM new)"""
 
 
@@ -327,6 +337,16 @@ def merge_tokens(spark, sf_dir):
     return p.select("p_partkey", *[text.leaf_value(F.lit(k), v).alias(k) for k, v in labels.items()])
 
 
+def _leaf_sql(label: str, v: str) -> str:
+    tokens = f"list_filter(regexp_split_to_array({v}, '[^0-9A-Za-z_]+'), lambda t: t <> '' AND (len(t) > 1 OR regexp_full_match(t, '[0-9]') OR t IN ('N', 'E')))"
+    digits = "regexp_full_match({}, '[0-9]+')"
+    body = f"CASE WHEN len(t) < 2 OR '{label}' IN ('name') AND false THEN array_to_string(t, ' ') WHEN len(list_filter(t[:-2], lambda x: NOT {digits.format('x')})) = 0 AND regexp_full_match(t[-1], '[A-Za-z]+') THEN array_to_string(t[:-2], '.') || ' ' || t[-1] WHEN len(list_filter(t, lambda x: NOT {digits.format('x')})) = 0 THEN array_to_string(t, '.') ELSE array_to_string(t, ' ') END"
+    return f"(SELECT CASE WHEN regexp_full_match(v, '[0-9]+\\.[0-9]+') OR regexp_matches(v, '[T:-]') THEN v ELSE {body} END FROM (SELECT {v} AS v, {tokens} AS t)) AS {label}"
+
+
+MERGE_SQL = "SELECT p_partkey, " + ", ".join(_leaf_sql(k, v) for k, v in {"name": "p_name", "type": "p_type", "price": "format('{:,.2f}', p_retailprice)", "gdp_nominal_total": "p_size || ' 5 billion'"}.items()) + " FROM part"
+
+
 def json_shred(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), text.display_name(F.lit(None).cast("string"), F.concat(F.lit("event_"), F.col("event_type"))).alias("name"))
@@ -337,16 +357,16 @@ JSON_SQL = "SELECT event_id, (props->>'$.k')::BIGINT AS k, 'Event ' || upper(eve
 QUERIES = {
     f.__name__: f
     for f in (
-        rank_chawathe, rank_both, ted_chawathe_pairs, ted_nj_pairs, ted_zhang_shasha_pairs, ted_scripts_chawathe, tree_nodes, keyroots, validate_trees, leaf_paths, feature_union,
-        prune_include, prune_exclude, path_lookup, tree_similarity, semantic_diff, semantic_summary, diff_categories, text_functions, merge_tokens, json_shred,
-        patch_round_trip_chawathe, patch_round_trip_nj, patch_zhang_shasha, feature_patch, script_summary_nj, script_summary_chawathe, script_normalized, infobox_text, indented_text, drawn_text, json_xml,
+        rank_chawathe, rank_both, ted_chawathe_pairs, ted_nj_pairs, ted_zhang_shasha_pairs, ted_scripts_chawathe, tree_nodes, keyroots, leaf_paths, feature_union,
+        prune_include, prune_exclude, path_lookup, tree_similarity, semantic_diff, semantic_summary, text_functions, merge_tokens, json_shred,
+        patch_round_trip_chawathe, patch_round_trip_nj, patch_zhang_shasha, feature_patch, script_summary_nj, script_summary_chawathe, infobox_text, indented_text, drawn_text, json_xml,
         upsert_entities, fields_last_wins,
     )
 }
 SQL = {
-    "rank_chawathe": RANK_SQL, "ted_chawathe_pairs": TED_SQL, "tree_nodes": NODES_SQL, "keyroots": KEYROOTS_SQL, "validate_trees": VALIDATE_SQL, "leaf_paths": LEAF_PATHS_SQL,
+    "rank_chawathe": RANK_SQL, "rank_both": RANK_BOTH_SQL, "ted_chawathe_pairs": TED_SQL, "tree_nodes": NODES_SQL, "keyroots": KEYROOTS_SQL, "leaf_paths": LEAF_PATHS_SQL,
     "feature_union": FEATURE_UNION_SQL, "prune_include": _prune_sql(""), "prune_exclude": _prune_sql("NOT"), "path_lookup": LOOKUP_SQL, "tree_similarity": SIMILARITY_SQL,
-    "semantic_diff": DIFF_SQL, "semantic_summary": SUMMARY_SQL, "diff_categories": CATEGORIES_SQL, "text_functions": TEXT_SQL, "json_shred": JSON_SQL,
+    "semantic_diff": DIFF_SQL, "semantic_summary": SUMMARY_SQL, "text_functions": TEXT_SQL, "merge_tokens": MERGE_SQL, "json_shred": JSON_SQL,
     "patch_round_trip_chawathe": ROUND_TRIP_SQL, "patch_round_trip_nj": ROUND_TRIP_SQL, "feature_patch": FEATURE_PATCH_SQL, "infobox_text": INFOBOX_SQL, "indented_text": INDENTED_SQL,
-    "upsert_entities": UPSERT_SQL, "fields_last_wins": FIELDS_SQL,
+    "drawn_text": DRAWN_SQL, "json_xml": JSON_XML_SQL, "upsert_entities": UPSERT_SQL, "fields_last_wins": FIELDS_SQL,
 }

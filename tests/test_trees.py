@@ -59,6 +59,7 @@ def chawathe(a, b):
 def test_native_distance_and_script_length(pairs, cases):
     want = {s: chawathe(a, b) for s, _, a, b in cases}
     assert {r.source_id: r.distance for r in ted.distances(pairs).collect()} == want
+    assert {r.source_id: r.distance for r in ted.chawathe_native(pairs).collect()} == want
     assert {r.source_id: r.distance for r in ted.scripts(pairs).collect()} == want
 
 
@@ -124,6 +125,52 @@ def test_nj_distance(a, b):
     assert distance <= sum(cost.get(o["op"], lambda o: o["count"])(o) for o in ops)
 
 
+def brute_nj(a, b):
+    """Whole-subtree distance from its definition, by plain recursion over trees as tuples (label, value, children)."""
+    tup = lambda n: (n.label, n.value or "", tuple(map(tup, n.children)))
+    size = lambda t: 1 + sum(map(size, t[2]))
+    every = lambda t: [t, *(x for c in t[2] for x in every(c))]
+
+    @lru_cache(None)
+    def matches(x, y):
+        """x fits onto y: same node, and x's children fit onto some of y's children in order."""
+        if x[:2] != y[:2]:
+            return False
+        return any(all(map(matches, x[2], some)) for some in combinations(y[2], len(x[2])))
+
+    x, y = tup(ted.to_tree(a)), tup(ted.to_tree(b))
+    gone = lru_cache(None)(lambda t: 1 if any(matches(t, n) for n in every(y)) else size(t))
+    come = lru_cache(None)(lambda t: 1 if any(matches(t, n) for n in every(x)) else size(t))
+
+    @lru_cache(None)
+    def forest(p, q):
+        if not p or not q:
+            return sum(map(gone, p)) + sum(map(come, q))
+        return min(forest(p[:-1], q[:-1]) + tree(p[-1], q[-1]), forest(p[:-1], q) + gone(p[-1]), forest(p, q[:-1]) + come(q[-1]))
+
+    @lru_cache(None)
+    def tree(p, q):
+        return (p[:2] != q[:2]) + forest(p[2], q[2])
+
+    return tree(x, y)
+
+
+@settings(max_examples=150, deadline=None)
+@given(seqs(), seqs())
+def test_nj_is_the_cheapest_by_definition(a, b):
+    assert ted.nj(a, b)[0] == brute_nj(a, b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(seqs(), min_size=2, max_size=6))
+def test_distances_without_scripts_are_those_of_scripts(trees):
+    arrays = [tuple([x[k] for x in t] for k in ("label", "value", "depth")) for t in trees]
+    one = {k: make(ted.Names()) for k, make in ted._DISTANCES.items()}
+    for a, b in zip(trees, trees[1:]):
+        x, y = (arrays[trees.index(t)] for t in (a, b))
+        assert (one["chawathe"](x, y), one["nj"](x, y), one["zhang_shasha"](x, y)) == (chawathe(a, b), ted.nj(a, b)[0], ted.zhang_shasha(a, b)[0])
+
+
 def test_nj_moves_of_contained_subtrees_cost_one():
     leaf = lambda v, d: {"label": "k", "value": v, "depth": d}
     sub = [{"label": "g", "value": None, "depth": 1}, leaf("1", 2), leaf("2", 2)]
@@ -182,7 +229,7 @@ U = [("root", None, 0), ("meta", None, 1), ("country_name", "Switzerland", 2), (
 
 def test_feature_patch_leaves_excluded_paths(spark):
     df = spark.createDataFrame([("s", "t", T, U)], f"source_id string, target_id string, a {SEQ}, b {SEQ}")
-    wanted = ["area.total_km2", "area.water_percent", "meta.country_name", "economy.gdp_nominal_total"]
+    wanted = ["area.total_km2", "area.water_percent", "meta.country_name", "economy.gdp_nominal_total"]  # a name in full stands for both copies
     made = patch.patch_from_features(df, wanted, ["area.total_km2"])
     rows = made.join(df, "source_id").selectExpr("source_id as tree_id", "a as seq", "patch")
     out = patch.apply_paths(rows)
@@ -201,7 +248,7 @@ def test_semantic_diff(spark):
     df = spark.createDataFrame([("s", "t", T, [*U[:7], ("population", "1.0", 2)])], f"source_id string, target_id string, a {SEQ}, b {SEQ}")
     ops = diff.semantic_diff(df)
     got = sorted((r.op, ".".join(r.path), r.old_value, r.new_value, r.value) for r in ops.collect())
-    assert got == [("delete", "fields.economy", "{gdp_nominal_total=18B}", None, None), ("insert", "fields.population", None, None, "1"), ("update", "fields.area.total_km2", "10452", "41285", None), ("update", "fields.area.water_percent", "1.8", "4.2", None)]
+    assert got == [("delete", "fields.economy", '{"gdp_nominal_total": "18B"}', None, None), ("insert", "fields.population", None, None, "1.0"), ("update", "fields.area.total_km2", "10452", "41285", None), ("update", "fields.area.water_percent", "1.8", "4.2", None)]
     assert {r.category: r.n for r in diff.categorize(ops).collect()} == {"Economy": 1, "Geography": 2, "Population": 1}
     r = diff.summarize(ops).first()
     assert (r.inserts, r.deletes, r.updates, r.total) == (1, 1, 2, 4)
@@ -213,12 +260,69 @@ def test_prune_and_render(spark):
     assert [n.label for n in kept] == ["root", "fields", "area", "total_km2", "water_percent"]
     gone = features.prune_exclude(trees, ["fields", "meta"]).first().seq
     assert [(n.label, n.value) for n in gone] == [("root", None)]
-    assert render.infobox_text(trees).first().text.split("\n")[:3] == ["{{Infobox country", "| name = Lebanon", "| meta.country_name = Lebanon"]
+    assert render.infobox_text(trees).first().text.split("\n")[:3] == ["{{Infobox country", "| name = Lebanon", "| area.total_km2 = 10452"]
     r = render.documents(trees).first()
     assert json.loads(r.json)["root"]["fields"]["area"] == {"total_km2": "10452", "water_percent": "1.8"}
     assert r.xml.startswith("<root><meta><country_name>Lebanon</country_name></meta><fields>")
     assert "  fields\n    area\n      total_km2 = 10452" in render.indented(trees).first().text
-    assert render.drawn(trees).first().text.split("\n")[:3] == ["root", "├── meta", "│   └── country_name: Lebanon"]
+    assert render.drawn(trees).first().text.split("\n")[:3] == ["root", "├── meta", "│   └── country_name = Lebanon"]
+
+
+def test_drawing_cuts_at_a_depth(spark):
+    trees = spark.createDataFrame([("s", [("r", "v", 0), ("a", "x", 1), ("b", "1", 2), ("c", None, 1), ("d", None, 2), ("e", "2", 3)])], f"tree_id string, seq {SEQ}")
+    text = lambda df: df.first().text.split("\n")
+    assert text(render.drawn(trees)) == ["r = v", "├── a = x", "│   └── b = 1", "└── c", "    └── d", "        └── e = 2"]
+    assert text(render.drawn(trees, 1)) == ["r = v", "├── a = x", "│   ...", "└── c", "    ..."]
+    assert text(render.drawn(trees, 2, show_root=False)) == ["├── a = x", "│   └── b = 1", "└── c", "    └── d", "        ..."]
+    assert text(render.drawn(trees, 0)) == ["r = v", "..."]
+    assert text(render.indented(trees)) == ["r: v", "  a: x", "    b = 1", "  c", "    d", "      e = 2"]
+    assert text(render.indented(trees, 1)) == ["r: v", "  a: x", "    ...", "  c", "    ..."]
+    r = render.documents(trees).first()
+    assert json.loads(r.json) == {"r": {"a": {"b": "1", "_value": "x"}, "c": {"d": {"e": "2"}}, "_value": "v"}} and list(json.loads(r.json)["r"])[-1] == "_value"
+    assert [render.xml_name(x) for x in (" a b ", "1x", "é-é", "", "a((b")] == ["a_b", "n_1x", "_-_", "node", "a_b"]
+
+
+def test_values_of_tokens_and_list_places(spark):
+    rows = [("r", None, 0), ("fields", None, 1), ("x[0]", None, 2), ("token", "a", 3), ("token", " b", 3), ("x[1]", None, 2), ("value", "9", 3), ("y_item", "1", 2), ("y_item", None, 2), ("y_item", "3", 2)]
+    trees = spark.createDataFrame([("s", rows)], f"tree_id string, seq {SEQ}")
+    value = lambda p: tuple(features.lookup(trees, p).first())[1:]
+    assert [value(p) for p in ("fields.x", "fields.x[1]", "fields.y_item[7]", "fields.z", "fields", "")] == [("a b", True), ("9", True), ("1", True), (None, False), (None, True), (None, False)]
+    assert features.lookup_all(trees, "fields.y_item").first()["values"] == ["1", "3"] and features.lookup_all(trees, "fields.x[5]").first()["values"] == ["a b", "9"]
+
+
+def test_semantic_values_and_operations():
+    tree = lambda *rows: ted.tree_of(*map(list, zip(("r", None, 0), *rows)))
+    a = tree(("fields", None, 1), ("langs", None, 2), ("langs_item", "1.50", 3), ("langs_item", "b", 3), ("words", None, 2), ("token", "x", 3), ("token", "y", 3), ("n", " 07 ", 2), ("gone", " ", 2), ("m", None, 2), ("token", "x", 3), ("value", "1", 3))
+    b = tree(("fields", None, 1), ("n", "7", 2), ("words", None, 2), ("value", "2", 3), ("value", "c", 3), ("m", None, 2), ("token", "z", 3), ("value", "1", 3))
+    got = diff.differences(a, b)
+    assert got == [
+        {"op": "delete", "path": ["fields", "gone"], "old_value": ""}, {"op": "delete", "path": ["fields", "langs"], "old_value": {"langs": [1.5, "b"]}},
+        {"op": "update", "path": ["fields", "m", "token"], "old_value": "x", "new_value": "z"}, {"op": "update", "path": ["fields", "words"], "old_value": "x y", "new_value": [2, "c"]},
+    ]
+    assert [diff.is_blank_op(o) for o in got] == [True, False, False, False]
+    assert diff.human(got).split("\n") == ["- Gone: ∅", "- Langs: Langs: 1.5, b", "- Token: x", "+ Token: z", "- Words: x y", "+ Words: 2, c"]
+    assert diff.structured(got[:1]) == "❌ DELETE — Gone\n   - Value: ∅"
+    ops = [{"op": "update", "path": ["a", "b[1]"], "old_label": "b", "new_label": "c", "old_value": 1, "new_value": 2}, {"op": "update", "path": ["a"], "old_node": {"label": "a"}, "new_node": {"label": "a"}, "old_value": 1, "new_value": 2}]
+    want = [{"op": "delete", "path": ["a", "b[1]"], "old_value": 1}, {"op": "insert", "path": ["a", "c[1]"], "value": 2}, {"op": "update", "path": ["a"], "old_value": 1, "new_value": 2}]
+    assert diff.split_renamed(ops) == want and diff.distinct_ops(want + want) == want
+
+
+def test_normalized_scripts_leave_ignored_paths_unplayed():
+    n = lambda label, value, depth: {"label": label, "value": value, "depth": depth}
+    a = [n("r", None, 0), n("slug", "1", 1), n("x", "2", 1)]
+    ops = [{"op": "insert", "position": 1, "old": None, "new": n("source", "s", 1)}, {"op": "delete", "position": 1, "old": a[1], "new": None}, {"op": "update", "position": 2, "old": a[2], "new": n("y", "2", 1)}]
+    assert [(o["op"], o["position"]) for o in patch.normalize_script(a, ops)] == [("delete", 2), ("insert", 2)]
+    nj = [{"op": "update", "old": ["slug", "1"], "new": ["slug", "2"]}, {"op": "delete_tree", "subtree": a[2:]}, {"op": "insert_tree", "subtree": a[1:2]}]
+    assert patch.normalize_nj_script(nj) == nj[1:2]
+
+
+def test_a_bad_row_has_an_error_and_the_others_stay(spark):
+    two = [("a", None, 0), ("b", None, 0)]
+    trees = spark.createDataFrame([("bad", two), ("good", T)], f"tree_id string, seq {SEQ}")
+    assert {r.tree_id: r.error and r.error.split(":")[0] for r in render.documents(trees).collect()} == {"bad": "ValueError", "good": None}
+    pairs = spark.createDataFrame([("s", "bad", T, two), ("s", "good", T, U)], f"source_id string, target_id string, a {SEQ}, b {SEQ}")
+    for algorithm in ("nj", "zhang_shasha"):
+        assert {r.target_id: r.distance is None for r in ted.distances(pairs, algorithm).collect()} == {"bad": True, "good": False}
 
 
 def test_validate(spark):
