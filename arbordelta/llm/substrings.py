@@ -3,19 +3,20 @@
 Texts are handled in chunks (about `chunk_bytes` of text). Each window of `length` bytes has an anchor: its least-hashed
 gram of `gram` bytes, so equal windows have equal anchors. Consecutive windows with one anchor make a super-window.
 
-1. Chunks send the anchors' hashes (4 bytes) with digests of their documents to buckets; a bucket tells which anchors
+1. Chunks send the anchors' hashes (4 bytes) with digests (8 bytes) of their documents to buckets; a bucket tells which anchors
    occur in two different texts. Whole copies of a text with a smaller doc_id are found in the same way and leave.
 2. Chunks send the super-windows of those anchors to buckets. A bucket joins the distinct ones, sorts their suffixes in
    two stages, computes adjacent common prefixes, and takes from each run of prefixes >= length the least doc_id.
 3. Chunks cut out the bytes of windows for which a smaller doc_id was found.
 
 So every window is judged, and its bytes travel only if its anchor repeats. An anchor costs a chunk two entries at most, and
-one that `hot` chunks or more have is not sent as super-windows but window by window, each to a bucket of its own hash, so
+one that `hot` chunks (4 GB of text) or more have is not sent as super-windows but window by window, each to a bucket of its own hash, so
 that no bucket gathers what the input repeats. The number of buckets follows the bytes of the input.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; equal doc_ids are not smaller than each other;
 null doc_ids are greater than all others; repeated rows are judged each; an empty table gives no rows; other columns are
-not read. Anchors and equal super-windows are compared by hash (64 bits for the latter).
+not read. Anchors are told apart by 32 bits and a bucket, which only sends more than is needed; that an anchor is in two texts,
+and that super-windows are equal, by 64 bits.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ class Chunk:
 
 
 def _chunks(batches, chunk_bytes: int):
-    """Chunks of the rows (doc_id, text) in the order read; the same rows give the same chunks."""
+    """Chunks of the rows (doc_id, text) in the order read."""
     ids, texts, size = [], [], 0
     for batch in batches:
         own = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -169,16 +170,16 @@ def _anchors(chunk: Chunk, length: int, gram: int, buckets: int):
     return distinct, of, h, first, count, text
 
 
-def _send_anchors(length: int, gram: int, buckets: int, chunk_bytes: int):
+def _send_anchors(length: int, gram: int, buckets: int):
     def run(batches):
-        for chunk in _chunks(batches, chunk_bytes):
+        for chunk, _ in _with_replies(batches):
             rows, digest = [], _digests(chunk)
             for bucket, own in _by_bucket((digest[:, 0] % np.uint64(buckets)).astype(np.int64)):
                 rows.append((bucket, chunk.key, 0, _pack(own, digest[own].ravel(), chunk.ids[own])))
             distinct, of, _, _, _, text = _anchors(chunk, length, gram, buckets)
-            short = digest[:, 1].astype(np.uint32)[text]
+            short = digest[:, 1][text]
             # An anchor's least and greatest digest: two entries tell if it is in different texts.
-            low, high = np.full(len(distinct), 0xFFFFFFFF, np.uint32), np.zeros(len(distinct), np.uint32)
+            low, high = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(distinct), np.uint64)
             np.minimum.at(low, of, short)
             np.maximum.at(high, of, short)
             for bucket, own in _by_bucket((distinct >> np.uint64(32)).astype(np.int64)):
@@ -208,7 +209,7 @@ def _judge_anchors(hot: int):
                     if (flags := copy[at : at + len(own)]).any():
                         out.append((key, bucket, 0, _pack(own[flags])))
                     at += len(own)
-            sent = [(key, *_unpack(p, np.uint32, np.uint32, np.uint32, np.uint32)) for key, kind, p in rows if kind == 1]
+            sent = [(key, *_unpack(p, np.uint32, np.uint64, np.uint32, np.uint64)) for key, kind, p in rows if kind == 1]
             if sent:
                 code, low = np.concatenate([s[1] for s in sent]), np.concatenate([s[2] for s in sent])
                 high = np.concatenate([s[2] for s in sent])
@@ -346,7 +347,8 @@ def _with_replies(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             ids, lengths, data = _unpack(pa.decompress(batch.column("body")[i].as_py(), decompressed_size=batch.column("body_size")[i].as_py(), codec="zstd").to_pybytes(), np.int64, np.int64, np.uint8)
-            yield Chunk(ids, lengths, data.tobytes()), [(r["bucket"], r["kind"], r["payload"]) for r in batch.column("replies")[i].as_py() or []]
+            replies = batch.column("replies")[i].as_py() if "replies" in batch.schema.names else None
+            yield Chunk(ids, lengths, data.tobytes()), [(r["bucket"], r["kind"], r["payload"]) for r in replies or []]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -381,7 +383,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = 2 << 20, bucket_bytes: int = 12 << 20, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = 2 << 20, bucket_bytes: int = 12 << 20, hot: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -392,7 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
             body = _pack(chunk.ids, chunk.lengths, chunk.bytes)
             yield pa.RecordBatch.from_arrays([pa.array([chunk.key], pa.binary()), pa.array([len(body)], pa.int64()), pa.array([pa.compress(body, codec="zstd", asbytes=True)], pa.binary())], ["chunk", "body_size", "body"])
 
-    chunks = arrow_map(rows, bodies, "chunk binary, body_size long, body binary")
+    # Written once: what is sent and what is cut are the same chunks, so every reply finds its own.
+    chunks = materialize(arrow_map(rows, bodies, "chunk binary, body_size long, body binary"), "chunks")
 
     def answered(sent: DataFrame, judge, tag: str) -> DataFrame:
         dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
@@ -400,6 +403,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
         grouped = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "payload")).alias("replies"))
         return chunks.join(grouped.hint("merge"), "chunk", "left")
 
-    found = answered(arrow_map(rows, _send_anchors(length, gram, buckets, chunk_bytes), SENT), _judge_anchors(hot), "anchors")
+    found = answered(arrow_map(chunks, _send_anchors(length, gram, buckets), SENT), _judge_anchors(hot), "anchors")
     found = answered(arrow_map(found, _send_super_windows(length, gram, buckets), SENT), _judge_super_windows(length), "windows")
     return arrow_map(found, _cut(length), RESULT)
