@@ -2,8 +2,10 @@
 
 Equal vectors are one node that keeps its k + 1 smallest vec_ids (ties go to smaller vec_ids and a query leaves out only
 its own, so no more can appear). Nodes are dealt by hash into shards of about `shard_rows`. A shard's graph is built by
-insertion: a node's level is geometric, on each of its layers it is joined to a diverse choice of the nearest nodes inserted
-before it, and full neighbour lists are thinned by the same rule. It is stored as flat neighbour arrays, one row for each shard.
+insertion: a node's level is geometric, and those of higher levels come first. A node descends the layers above, searches the
+layer as it stands with a beam, and is joined to a diverse choice of what it finds; full neighbour lists are thinned by the same
+rule. Nodes are inserted a few together (an eighth of what is there) and also see those of their own batch. The graph is
+stored as flat neighbour arrays, one row for each shard.
 Blocks of queries meet shards by an equi-join on the shard number; a block descends the layers greedily and searches
 the lowest with a beam of `beam` nodes, all its queries at once. Scores are cosines of the original vectors in double precision.
 
@@ -43,39 +45,64 @@ def _diverse(sims: np.ndarray, among: np.ndarray, most: int) -> list[int]:
     return chosen
 
 
-def build_layer(v: np.ndarray, width: int, degree: int = DEGREE, pool: int = POOL) -> np.ndarray:
-    """Neighbours (rows of `width`, -1 where none) of the unit vectors v, inserted in order."""
-    n = len(v)
-    sims = v @ v.T
+def insert(v: np.ndarray, width: int, above: tuple[list, list] | None, degree: int = DEGREE, pool: int = POOL) -> np.ndarray:
+    """A layer's neighbours (rows of `width`, -1 where none) of the unit vectors v, inserted in order.
+
+    above: nodes and links of the layers above, from the lowest; their nodes are the first of v.
+    """
+    n, room = len(v), width + width // 2  # while it grows, a list may hold half as much again before it is thinned
     links: list[list[int]] = [[] for _ in range(n)]
+    table = np.full((n, room), -1, np.int32)
 
     def thin(i: int, found: np.ndarray, most: int) -> list[int]:
-        s = sims[i, found]
-        order = np.argsort(-s, kind="stable")
+        near = v[found] @ v[i]
+        order = np.argsort(-near, kind="stable")
         found = found[order]
-        return found[_diverse(s[order], sims[np.ix_(found, found)], most)].tolist()
-
-    for i in range(1, n):
-        near = np.argpartition(-sims[i, :i], pool)[:pool] if i > pool else np.arange(i)
-        links[i] = thin(i, near, degree)
-        for j in links[i]:
-            links[j].append(i)
-            if len(links[j]) > 2 * width:
-                links[j] = thin(j, np.array(links[j]), width)
-    out = np.full((n, width), -1, np.int32)
+        return found[_diverse(near[order], v[found] @ v[found].T, most)].tolist()
+
+    done = 1
+    while done < n:
+        stop = min(n, done + max(1, done // 8))
+        q = v[done:stop]
+        nodes, tables = [np.arange(done)], [table[:done]]
+        if above is not None and done >= len(above[0][0]):  # all nodes of the layers above are in this one
+            nodes, tables = nodes + above[0], tables + above[1]
+        found = search(v[:done], nodes, tables, q, min(pool, done))
+        own = q @ q.T
+        touched = set()
+        for k in range(stop - done):
+            i, near = done + k, found[k][found[k] >= 0]
+            if k:
+                best = np.argsort(-own[k, :k], kind="stable")[:degree]
+                near = np.concatenate([near, done + best])
+            links[i] = thin(i, near, degree)
+            touched.add(i)
+            for j in links[i]:
+                links[j].append(i)
+                touched.add(j)
+                if len(links[j]) > room:
+                    links[j] = thin(j, np.array(links[j]), width)
+        for i in touched:
+            table[i, : len(links[i])] = links[i]
+            table[i, len(links[i]) :] = -1
+        done = stop
     for i, own in enumerate(links):
         if len(own) > width:
             own = thin(i, np.array(own), width)
-        out[i, : len(own)] = own
-    return out
+            table[i, :width] = own
+    return np.ascontiguousarray(table[:, :width])
 
 
 def build(v: np.ndarray, seed: int = 3) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Layers from the lowest: (levels, nodes of each layer, neighbours within it)."""
+    """Layers from the lowest: (levels, nodes of each layer, neighbours within it). levels fall, so a layer's nodes are the first."""
     u = np.random.default_rng(seed).random(len(v))
-    levels = np.minimum(12, (-np.log(1 - u) / math.log(DEGREE)).astype(np.int64))
-    nodes = [np.flatnonzero(levels >= k).astype(np.int32) for k in range(int(levels.max()) + 1)]
-    return levels, nodes, [build_layer(v[own], 2 * DEGREE if k == 0 else DEGREE) for k, own in enumerate(nodes)]
+    levels = np.sort(np.minimum(12, (-np.log(1 - u) / math.log(DEGREE)).astype(np.int64)))[::-1]
+    nodes = [np.arange(int((levels >= k).sum())) for k in range(int(levels.max()) + 1)]
+    links: list[np.ndarray] = []
+    for k in range(len(nodes) - 1, -1, -1):
+        own = v[: len(nodes[k])]
+        links.insert(0, insert(own, 2 * DEGREE if k == 0 else DEGREE, (nodes[k + 1 :], links) if links else None))
+    return levels, nodes, links
 
 
 def search(v: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray], q: np.ndarray, beam: int) -> np.ndarray:
@@ -155,7 +182,7 @@ def build_index(rows: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, in
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(make, INDEX), "ann-index"), shards
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 4096, block: int = 1024, beam: int = 80) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 16384, block: int = 1024, beam: int = 80) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of embeddings that is_query holds for, its k nearest other rows found."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
