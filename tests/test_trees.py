@@ -337,13 +337,14 @@ def test_ranking_breaks_ties_by_id(spark):
 
 
 def test_queries_match_their_sql(spark):
-    from arbordelta import queries
+    from arbordelta import queries, queries_documents
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("customer", "orders", "part", "events", "documents", "nation", "conversations"):
+    for t in ("customer", "orders", "part", "events", "documents", "nation", "conversations", "supplier", "pages"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name, sql in queries.SQL.items():
-        got, want = queries.QUERIES[name](spark, d).toPandas(), con.sql(sql).df()
+    made = queries.QUERIES | queries_documents.QUERIES
+    for name, sql in (queries.SQL | queries_documents.SQL).items():
+        got, want = made[name](spark, d).toPandas(), con.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns), name
         columns = sorted(got.columns)
         rows = lambda x: sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None)))  # noqa: E731, B023
