@@ -13,7 +13,7 @@ Classes: equal word sequences are one node. Nodes that agree in a band meet in a
    blocks, whose leaders meet again. Every node has few pairs, and mostly the same ones in all its buckets.
 2. Pairs are verified exactly on the multisets; links (similarity of at least `least`) join nodes into classes.
 3. All pairs of a bucket that are likely (an estimate of LOWEST) and still lie in different classes are tried, in rounds:
-   of each node its nearest 4, then 64, and so on until no node has more; the blocks of a larger bucket meet two by two.
+   of each node ; the blocks of a larger bucket meet two by two.
 
 So no likely pair between classes is left untried. A bucket that is one class costs nothing in step 3; one of g nodes that
 are likely but not similar costs up to g^2 / 2 exact comparisons. Links inside a class are not counted: most are never tried.
@@ -150,13 +150,20 @@ def leaders(marks: np.ndarray, lowest: float = LOWEST, sure: float = 0.8) -> tup
     return pairs, led
 
 
+def _array(column: pa.Array) -> np.ndarray:
+    """A column as an array: lists of one length as rows, byte strings as objects."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _groups(batches, by: tuple[str, ...], more: tuple[str, ...]):
     """Rows (by, more, marks) ordered by `by` -> a tuple of arrays (by, more, marks) for each group."""
     held = None
     for batch in _and_end(batches):
         if batch is not None:
             marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            now = (*(batch.column(n).to_numpy(zero_copy_only=False) for n in (*by, *more)), marks)
+            now = (*(_array(batch.column(n)) for n in (*by, *more)), marks)
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             last = np.flatnonzero(np.any([x != x[-1] for x in held[: len(by)]], 0))
             ready = int(last[-1]) + 1 if len(last) else 0
@@ -189,25 +196,59 @@ def _first_pairs(batches):
     yield _longs(out, ["key", "a", "b"])
 
 
-def _across(most: int):
-    """Rows (key, row, column, probe, node, label, marks) ordered by the first three -> (a, b): each probe with its likely ones of other labels, the nearest `most`; b is null for a probe that has more."""
+def _likely(probe: np.ndarray, label: np.ndarray, marks: np.ndarray, bands: np.ndarray, key: int):
+    """For each probe (position) the positions of likely nodes of other labels that it shares no earlier bucket with, and their estimates."""
+    need, others = max(1, int(LOWEST * marks.shape[1])), np.flatnonzero(~probe)
+    if not len(others):
+        return
+    column = int(np.flatnonzero(bands[others[0]] == key)[0])
+    for i in np.flatnonzero(probe).tolist():
+        apart = others[label[others] != label[i]]
+        alike = (marks[apart] == marks[i]).sum(1)
+        near = alike >= need
+        apart, alike = apart[near], alike[near]
+        if len(apart) and column:
+            first = ~(bands[apart, :column] == bands[i, :column]).any(1)
+            apart, alike = apart[first], alike[first]
+        if len(apart):
+            yield i, apart, alike
+
+
+_AT = ("key", "row", "column")
+
+
+def _wanted(batches):
+    """Rows of a block (key, row, column, probe, node, label, marks, bands) ordered by the first three -> (key, row, column, probe, node) of those with a pair to try."""
+    for key, row, column, probe, node, label, bands, marks in _groups(batches, _AT, ("probe", "node", "label", "bands")):
+        used = np.zeros(len(node), bool)
+        for i, apart, _ in _likely(probe, label, marks, bands, int(key[0])):
+            used[i] = True
+            used[apart] = True
+        at = np.flatnonzero(used)
+        arrays = [pa.array(key[at]), pa.array(row[at]), pa.array(column[at]), pa.array(probe[at], pa.bool_()), pa.array(node[at])]
+        yield pa.RecordBatch.from_arrays(arrays, [*_AT, "probe", "node"])
+
+
+def _linked(least: float):
+    """Rows of a block, as _wanted's and with code and weight -> (a, b): links that join nodes of different labels."""
 
     def run(batches):
         out: list[tuple] = []
-        for *_, probe, node, label, marks in _groups(batches, ("key", "row", "column"), ("probe", "node", "label")):
-            need, others = max(1, int(LOWEST * marks.shape[1])), np.flatnonzero(~probe)
-            for i in np.flatnonzero(probe).tolist():
-                apart = others[label[others] != label[i]]
-                alike = (marks[apart] == marks[i]).sum(1)
-                near = np.flatnonzero(alike >= need)
-                if len(near) > most:
-                    near = near[np.argpartition(-alike[near], most)[:most]]
-                    out.append((int(node[i]), None))
-                own = int(node[i])
-                out += [(min(own, k), max(own, k)) for k in node[apart[near]].tolist()]
-                if len(out) > 10_000:
-                    yield _longs(out, ["a", "b"])
-                    out = []
+        for key, _, _, probe, node, label, bands, code, weight, marks in _groups(batches, _AT, ("probe", "node", "label", "bands", "code", "weight")):
+            bags_ = [(np.frombuffer(c, np.uint64), np.frombuffer(w, np.uint32)) for c, w in zip(code, weight)]
+            up = {x: x for x in label.tolist()}
+
+            def find(x: int, up=up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            tries = [(-n, i, j) for i, apart, alike in _likely(probe, label, marks, bands, int(key[0])) for j, n in zip(apart.tolist(), alike.tolist())]
+            for _, i, j in sorted(tries):
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y and similarity(bags_[i], bags_[j]) >= least:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(node[i]), int(node[j])))
         yield _longs(out, ["a", "b"])
 
     return run
@@ -237,11 +278,11 @@ def candidates(members: DataFrame, block: int) -> DataFrame:
         members = materialize(members.select("key", "node", "marks").join(on, ["key", "node"], "left_semi").join(sizes, "key"), "level")
 
 
-def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int, block: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket but not a class, up to `most` nearest of each text; b is null for texts with more.
+def across(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between nodes that share a bucket but not a class, enough of them to join all classes that a likely pair joins.
 
     buckets: key, node. A node of a bucket's largest class needs no pairs of its own: those of the others reach it.
-    The others are cut into rows of blocks, all texts into columns, and every row meets every column.
+    The others are cut into rows of blocks, all nodes into columns, and every row meets every column.
     """
     now = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
@@ -250,12 +291,17 @@ def untried(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, most: int,
     others = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(F.lit(False).alias("probe"), r.alias("row"), F.pmod(place, F.col("columns")).alias("column")))
     probes = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.lit(True).alias("probe"), F.pmod(place, F.col("rows")).alias("row"), c.alias("column")))
     sides = F.when(F.col("label") == F.col("top"), others).otherwise(F.concat(others, probes))
-    dealt = now.join(nodes.select("node", "marks"), "node").select("key", F.explode(sides).alias("at"), "node", "label", "marks").select("key", "at.*", "node", "label", "marks")
-    return arrow_map(dealt.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), _across(most), "a long, b long")
+    dealt = now.join(nodes.select("node", "marks", "bands"), "node").select("key", F.explode(sides).alias("at"), "node", "label", "marks", "bands").select("key", "at.*", "node", "label", "marks", "bands")
+    dealt = dealt.repartition(*_AT).sortWithinPartitions(*_AT)
+    wanted = materialize(arrow_map(dealt, _wanted, "key long, row long, column long, probe boolean, node long"), "wanted")
+    held = materialize(bags(wanted.select("node"), nodes, texts), "bags")
+    known = nodes.select("node", "marks", "bands").join(labels, "node", "left").select("node", "marks", "bands", F.coalesce("label", "node").alias("label")).join(held, "node")
+    rows = wanted.join(known, "node").repartition(*_AT).sortWithinPartitions(*_AT)
+    return materialize(arrow_map(rows, _linked(least), "a long, b long"), "links")
 
 
-def bags(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, code, weight (its shingles as ascending hashes, and how often it has them) of the nodes in pairs, each once.
+def bags(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, code, weight (its shingles as ascending hashes, and how often it has them) of the nodes asked for, each once.
 
     Of rows that share the node's key, one with the node's own words counts.
     """
@@ -271,7 +317,7 @@ def bags(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 rows = [(ids[at + i], code[cuts[i] : cuts[i + 1]].tobytes(), weight[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes()) for i, ok in enumerate(same) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["node", "code", "weight"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row", "copy"), "node")
+    asked = asked.distinct().join(nodes.select("node", "row", "copy"), "node")
     # Rows that repeat a node's key repeat its text, most often; one of each text is enough.
     rows = texts.select("row", "text").join(asked.hint("merge"), "row").select("node", "copy", "text")
     return arrow_map(rows, run, "node long, code binary, weight binary").groupBy("node").agg(F.first("code").alias("code"), F.first("weight").alias("weight"))
@@ -378,22 +424,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, block: int = 8192, key:
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialize(rows.join(shared, "key").select("key", "node", "n"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(verify(pairs, materialize(bags(pairs, nodes, texts), "bags"), least), "verified")
-
-    tried = materialize(candidates(buckets.join(nodes.select("node", "marks"), "node"), block), "pairs")
-    links = verified(tried)
+    pairs = materialize(candidates(buckets.join(nodes.select("node", "marks"), "node"), block), "pairs")
+    held = materialize(bags(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, texts), "bags")
+    links = materialize(verify(pairs, held, least), "verified")
     labels = components(links)
-    # The only pair of a bucket of two is tried by now.
-    larger, most, more = buckets.where("n > 2").select("key", "node"), 4, True
-    while more:
-        found = materialize(untried(larger, nodes, labels, most, block), "untried")
-        more = not found.where("b is null").isEmpty()
-        pairs = materialize(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried, links = tried.union(pairs), links.union(verified(pairs))
-            labels = components(links)
-        most *= 16
+    # The only pair of a bucket of two is tried by now. Multisets are larger than marks, so there are fewer to a block.
+    more = across(buckets.where("n > 2").select("key", "node"), nodes, labels, texts, least, max(1, block // 4))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     named = nodes.select("copy", "node", "first").join(labels, "node", "left").select("copy", "first", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"))
     table = named.select("copy", "label").join(classes, "label").select("copy", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
