@@ -228,6 +228,10 @@ def patch_zhang_shasha(spark, sf_dir):
 ROUND_TRIP_SQL = _sql(*_CUSTOMER_PAIRS, then=f"SELECT source_id, target_id, {_AS_TEXT.format(s='b')} AS tree, NULL::VARCHAR AS error FROM pairs")
 
 
+#: The target with its sections in order of label.
+ZHANG_SHASHA_SQL = _sql(*_CUSTOMER_PAIRS, then=f"SELECT source_id, target_id, {_AS_TEXT.format(s='list_concat(b[1:1], b[4:], b[2:3])')} AS tree, NULL::VARCHAR AS error FROM pairs")
+
+
 def feature_patch(spark, sf_dir):
     pairs = neighbours(part_trees(spark, sf_dir))
     made = patch.patch_from_features(pairs, ["name", "fields.size", "brand"], ["brand"]).join(pairs, ["source_id", "target_id"])
@@ -367,6 +371,6 @@ SQL = {
     "rank_chawathe": RANK_SQL, "rank_both": RANK_BOTH_SQL, "ted_chawathe_pairs": TED_SQL, "tree_nodes": NODES_SQL, "keyroots": KEYROOTS_SQL, "leaf_paths": LEAF_PATHS_SQL,
     "feature_union": FEATURE_UNION_SQL, "prune_include": _prune_sql(""), "prune_exclude": _prune_sql("NOT"), "path_lookup": LOOKUP_SQL, "tree_similarity": SIMILARITY_SQL,
     "semantic_diff": DIFF_SQL, "semantic_summary": SUMMARY_SQL, "text_functions": TEXT_SQL, "merge_tokens": MERGE_SQL, "json_shred": JSON_SQL,
-    "patch_round_trip_chawathe": ROUND_TRIP_SQL, "patch_round_trip_nj": ROUND_TRIP_SQL, "feature_patch": FEATURE_PATCH_SQL, "infobox_text": INFOBOX_SQL, "indented_text": INDENTED_SQL,
+    "patch_round_trip_chawathe": ROUND_TRIP_SQL, "patch_round_trip_nj": ROUND_TRIP_SQL, "patch_zhang_shasha": ZHANG_SHASHA_SQL, "feature_patch": FEATURE_PATCH_SQL, "infobox_text": INFOBOX_SQL, "indented_text": INDENTED_SQL,
     "drawn_text": DRAWN_SQL, "json_xml": JSON_XML_SQL, "upsert_entities": UPSERT_SQL, "fields_last_wins": FIELDS_SQL,
 }
