@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.code import arrow_map, ship
 
-__all__ = ["WORD", "arrow_map", "fresh", "materialize", "new_path", "read_table", "shared_folder", "ship", "text_or_empty"]
+__all__ = ["WORD", "arrow_map", "fresh", "materialize", "new_path", "read_table", "shared_folder", "ship", "staged", "text_or_empty"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,42 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path that no other run has; what is written there goes when the application ends."""
     path = f"{shared_folder(spark)}/arbordelta-{tag}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    system, at = _on_disk(spark, path)
+    system.deleteOnExit(at)
+    if _RECORDED is not None:
+        _RECORDED.append(path)
     return path
 
 
+def _on_disk(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: Paths made since recording began, and those that the last stage of an application made.
+_RECORDED: list[str] | None = None
+_OF_STAGE: dict[str, list[str]] = {}
+
+
+def staged(stage):
+    """A pipeline stage: what the stage before wrote for itself goes when this one begins, as its result is written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _RECORDED
+        application = spark.sparkContext.applicationId
+        for path in _OF_STAGE.pop(application, []):
+            system, at = _on_disk(spark, path)
+            system.delete(at, True)
+        _RECORDED = _OF_STAGE[application] = []
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _RECORDED = None
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores after it as tell it from the columns of df."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline: each keeps or changes documents and returns their columns (but the last).
 
+A stage's result is to be written before the next stage is called: then the files the stage made for itself are deleted.
 Defined cases of every stage: rows are told apart by a number of their own, so repeated rows, rows that share a doc_id and rows
 without one are judged each; extra columns of any name are kept as they are; an empty table gives no rows; very long texts
 are read whole. A null text has no language and leaves in the first stage; given to the others by themselves, it is a
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, language, mixing, packing, secrets
-from .common import WORD, fresh, materialize
+from .common import WORD, fresh, materialize, staged
 
 
+@staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text or no letter) go; lang becomes the predicted one."""
     model = language.fit(docs.where(~language.held_out()))
@@ -25,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.select(*[F.col("lang_pred" if c == "lang" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+@staged
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id (null last), of several rows with it any one."""
     row, own = fresh(docs, "_row", "_own")
@@ -33,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return numbered.join(stays.hint("merge"), F.col(row) == F.col(own), "left_semi").select(*docs.columns)
 
 
+@staged
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span becomes a mark; n_chars follows the text."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -46,6 +50,7 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.transform(both, lambda x: F.concat(x["0"], x["1"])), "")
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a part of a copy is the document's first words. Documents not taken go.
 
@@ -61,5 +66,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@staged
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
