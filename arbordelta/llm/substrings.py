@@ -5,8 +5,9 @@ gram of `gram` bytes, so equal windows have equal anchors. Consecutive windows w
 
 1. Chunks send the anchors' hashes (4 bytes) with digests (8 bytes) of their documents to buckets; a bucket tells which anchors
    occur in two different texts. Whole copies of a text with a smaller doc_id are found in the same way and leave.
-2. Chunks send the super-windows of those anchors to buckets. A bucket joins the distinct ones, sorts their suffixes in
-   two stages, computes adjacent common prefixes, and takes from each run of prefixes >= length the least doc_id.
+2. Chunks send the super-windows of those anchors to buckets. A bucket handles them in parts by their anchors, of about
+   `part_bytes`: it joins the distinct ones, sorts their suffixes in two stages, computes adjacent common prefixes, and takes
+   from each run of prefixes >= length the least doc_id. Its replies are runs of windows.
 3. Chunks cut out the bytes of windows for which a smaller doc_id was found.
 
 So every window is judged, and its bytes travel only if its anchor repeats. An anchor costs a chunk two entries at most, and
@@ -68,8 +69,8 @@ def super_windows(b: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tu
         least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
     at = np.arange(n)
     anchor = at + ((least[:n].astype(np.int64) & 0xFFFF) - at) % 65536
-    text = np.searchsorted(ends, at, "right")
-    inside = at + length <= ends[np.minimum(text, len(ends) - 1)]
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
+    inside = at + length <= ends[text]
     at, anchor, text = at[inside], anchor[inside], text[inside]
     if not len(at):
         return np.zeros(0, np.uint64), at, at, at
@@ -147,13 +148,13 @@ def _buckets(batches):
     """Rows of SENT that are ordered by bucket, gathered by bucket."""
     now, rows = None, []
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("bucket", "chunk", "kind", "payload")]
-        for row in zip(*columns):
-            if row[0] != now and rows:
+        payloads = batch.column("payload")
+        for i, (bucket, *row) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bucket", "chunk", "kind")))):
+            if bucket != now and rows:
                 yield now, rows
                 rows = []
-            now = row[0]
-            rows.append(row[1:])
+            now = bucket
+            rows.append((*row, payloads[i].as_buffer()))
     if rows:
         yield now, rows
 
@@ -162,9 +163,20 @@ def _digests(chunk: Chunk) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in chunk.texts()), np.uint64).reshape(-1, 2)
 
 
+def _chunk_windows(chunk: Chunk, length: int, gram: int, together: int = 512 << 10) -> tuple[np.ndarray, ...]:
+    """super_windows of a chunk, worked out for some texts at a time."""
+    cuts = [0, *(np.flatnonzero(np.diff(chunk.ends // together)) + 1).tolist(), len(chunk.ends)]
+    parts = []
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        base = chunk.ends[a] - chunk.lengths[a]
+        h, first, count, text = super_windows(chunk.bytes[base : chunk.ends[z - 1]], chunk.ends[a:z] - base, length, gram)
+        parts.append((h, first + base, count, text + a))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _anchors(chunk: Chunk, length: int, gram: int, buckets: int):
     """Distinct anchors of a chunk as (bucket, 32-bit rest) in a fixed order, the super-windows, and the anchor of each."""
-    h, first, count, text = super_windows(chunk.bytes, chunk.ends, length, gram)
+    h, first, count, text = _chunk_windows(chunk, length, gram)
     code = ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
     distinct, of = np.unique(code, return_inverse=True)
     return distinct, of, h, first, count, text
@@ -278,7 +290,9 @@ def _send_super_windows(length: int, gram: int, buckets: int):
                 single = np.zeros(len(h), bool)
             size, ids = count + length - 1, chunk.ids[text]
             content = _content_hashes(chunk.bytes, first, size)
-            target = ((np.where(single, content, h) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            name = np.where(single, content, h)
+            target = ((name >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            part = (name >> np.uint64(24)).astype(np.uint8)
             # A string that a smaller doc_id in this chunk has too is settled here.
             order = np.lexsort((ids, content))
             new = np.concatenate([[True], content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, bool)
@@ -286,58 +300,84 @@ def _send_super_windows(length: int, gram: int, buckets: int):
             if len(order):
                 settled[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             if settled.any():
-                rows.append((-1, chunk.key, 3, _pack(first[settled], count[settled])))
+                rows.append((-1, chunk.key, 3, _pack(first[settled].astype(np.int32), count[settled].astype(np.int32))))
             go = np.flatnonzero(~settled)
             for bucket, own in _by_bucket(target[go]):
                 own = go[own]
-                rows.append((bucket, chunk.key, 1, _pack(first[own].astype(np.int32), count[own].astype(np.uint8), ids[own], content[own], _gather(chunk.bytes, first[own], size[own]))))
+                own = own[np.argsort(part[own], kind="stable")]
+                rows.append((bucket, chunk.key, 1, _pack(first[own].astype(np.int32), count[own].astype(np.uint8), ids[own], content[own], part[own], _gather(chunk.bytes, first[own], size[own]))))
             # Rows for the chunk itself need no bucket: they are spread over negative numbers.
             yield _sent([(-1 - chunk.key[0] % buckets if b < 0 else b, *r) for b, *r in rows])
 
     return run
 
 
-def _judge_super_windows(length: int):
+def _repeated(count: np.ndarray, ids: np.ndarray, content: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether a smaller doc_id has it too, for each window of super-windows whose bytes are joined in b."""
+    count = count.astype(np.int64)
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    # One copy of each distinct string, with its least doc_id, goes into the suffix array.
+    order = np.lexsort((ids, content))
+    new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    own = order[new]
+    least = ids[own]
+    t = join(_gather(b, start[own], size[own]), size[own])
+    at = np.cumsum(size[own] + 1) - (size[own] + 1)
+    string = np.repeat(np.arange(len(own)), size[own] + 1)
+    sa = suffix_array(t, length)
+    place = sa - at[string[sa]]
+    window = place < count[own][string[sa]]
+    sa, place = sa[window], place[window]
+    doc = least[string[sa]]
+    runs = np.flatnonzero(np.concatenate([[True], common_prefixes(t, sa, length) < length]))
+    smallest = np.repeat(np.minimum.reduceat(doc, runs), np.diff(np.append(runs, len(sa))))
+    # by string and window: the least doc_id that has the window
+    found = np.empty(int(count[own].sum()), np.int64)
+    base = np.cumsum(count[own]) - count[own]
+    found[base[string[sa]] + place] = smallest
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return found[np.repeat(base[which], count) + step] < np.repeat(ids, count)
+
+
+def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places as runs: where each begins and how long it is."""
+    begins = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return places[begins], np.diff(np.append(begins, len(places)))
+
+
+def _judge_super_windows(length: int, part_bytes: int):
     def run(batches):
         for bucket, rows in _buckets(batches):
             if bucket < 0:
-                yield _back([(key, 0, kind, payload) for key, kind, payload in rows])
+                yield _back([(key, 0, kind, payload.to_pybytes()) for key, kind, payload in rows])
                 continue
-            sent = [(key, *_unpack(p, np.int32, np.uint8, np.int64, np.uint64, np.uint8)) for key, _, p in rows]
-            count, ids, content = (np.concatenate([s[k] for s in sent]) for k in (2, 3, 4))
-            size = count.astype(np.int64) + length - 1
-            start = np.cumsum(size) - size
-            b = np.concatenate([s[5] for s in sent])
-            # One copy of each distinct string, with its least doc_id, goes into the suffix array.
-            order = np.lexsort((ids, content))
-            new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
-            which = np.empty(len(order), np.int64)
-            which[order] = np.cumsum(new) - 1
-            own = order[new]
-            least = ids[own]
-            t = join(_gather(b, start[own], size[own]), size[own])
-            at = np.cumsum(size[own] + 1) - (size[own] + 1)
-            string = np.repeat(np.arange(len(own)), size[own] + 1)
-            sa = suffix_array(t, length)
-            place = sa - at[string[sa]]
-            window = place < count[own][string[sa]]
-            sa, place = sa[window], place[window]
-            doc = least[string[sa]]
-            runs = np.flatnonzero(np.concatenate([[True], common_prefixes(t, sa, length) < length]))
-            smallest = np.repeat(np.minimum.reduceat(doc, runs), np.diff(np.append(runs, len(sa))))
-            # by string and window: the least doc_id that has the window
-            found = np.empty(int(count[own].sum()), np.int64)
-            base = np.cumsum(count[own].astype(np.int64)) - count[own]
-            found[base[string[sa]] + place] = smallest
-            out, k = [], 0
-            for key, first, c, doc_ids, _, _ in sent:
-                w = which[k : k + len(c)]
-                k += len(c)
-                c = c.astype(np.int64)
-                step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                hit = found[np.repeat(base[w], c) + step] < np.repeat(doc_ids, c)
-                if hit.any():
-                    out.append((key, bucket, 4, _pack((np.repeat(first.astype(np.int64), c) + step)[hit])))
+            sent = [(key, *_unpack(p, np.int32, np.uint8, np.int64, np.uint64, np.uint8, np.uint8)) for key, _, p in rows]
+            # Equal windows have one anchor and so one part; a chunk's super-windows are in the order of their parts.
+            parts = min(256, -(-sum(len(s[6]) for s in sent) // part_bytes))
+            ends = [np.concatenate([[0], np.cumsum(s[2].astype(np.int64) + length - 1)]) for s in sent]
+            cuts = [np.searchsorted(s[5], -(-np.arange(parts + 1) * 256 // parts)) for s in sent]
+            hits: list[list[np.ndarray]] = [[] for _ in sent]
+            for k in range(parts):
+                own = [(j, s, int(c[k]), int(c[k + 1])) for j, (s, c) in enumerate(zip(sent, cuts)) if c[k] < c[k + 1]]
+                if not own:
+                    continue
+                count, ids, content = (np.concatenate([s[i][a:z] for _, s, a, z in own]) for i in (2, 3, 4))
+                hit = _repeated(count, ids, content, np.concatenate([s[6][ends[j][a] : ends[j][z]] for j, s, a, z in own]), length)
+                at = 0
+                for j, s, a, z in own:
+                    c = s[2][a:z].astype(np.int64)
+                    n = int(c.sum())
+                    step = np.arange(n) - np.repeat(np.cumsum(c) - c, c)
+                    hits[j].append((np.repeat(s[1][a:z].astype(np.int64), c) + step)[hit[at : at + n]])
+                    at += n
+            out = []
+            for s, found in zip(sent, hits):
+                places = np.sort(np.concatenate(found))
+                if len(places):
+                    out.append((s[0], bucket, 4, _pack(*(x.astype(np.int32) for x in _runs(places)))))
             yield _back(out)
 
     return run
@@ -366,7 +406,7 @@ def _cut(length: int):
                     np.add.at(edge, chunk.ends[own] - chunk.lengths[own], 1)
                     np.add.at(edge, chunk.ends[own], -1)
                 else:
-                    first, count = _unpack(payload, np.int64, np.int64) if kind == 3 else (_unpack(payload, np.int64)[0], 1)
+                    first, count = _unpack(payload, np.int32, np.int32)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + count + length - 1, -1)
             gone = np.cumsum(edge)[:n] > 0
@@ -383,7 +423,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = 2 << 20, bucket_bytes: int = 12 << 20, hot: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = 2 << 20, bucket_bytes: int = 12 << 20, part_bytes: int = 2 << 20, hot: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -404,5 +444,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
         return chunks.join(grouped.hint("merge"), "chunk", "left")
 
     found = answered(arrow_map(chunks, _send_anchors(length, gram, buckets), SENT), _judge_anchors(hot), "anchors")
-    found = answered(arrow_map(found, _send_super_windows(length, gram, buckets), SENT), _judge_super_windows(length), "windows")
+    found = answered(arrow_map(found, _send_super_windows(length, gram, buckets), SENT), _judge_super_windows(length, part_bytes), "windows")
     return arrow_map(found, _cut(length), RESULT)

@@ -1,9 +1,41 @@
 """What operators hold in memory and leave on disk."""
 
 import time
+import tracemalloc
 from pathlib import Path
 
-from arbordelta.llm import common
+import numpy as np
+import pyarrow as pa
+
+from arbordelta.llm import common, substrings
+
+
+def _sent_super_windows(texts: list[bytes]) -> list[pa.RecordBatch]:
+    """What chunks of one text each send to the only bucket, if every anchor is in two texts."""
+    batches = []
+    for i, x in enumerate(texts):
+        chunk = substrings.Chunk(np.array([i]), np.array([len(x)]), x)
+        distinct = substrings._anchors(chunk, 50, 20, 1)[0]
+        ones, none = np.packbits(np.ones(len(distinct), bool)), np.packbits(np.zeros(len(distinct), bool))
+        body = substrings._pack(chunk.ids, chunk.lengths, chunk.bytes)
+        replies = [{"bucket": 0, "kind": 1, "payload": substrings._pack(ones, none)}]
+        batches.append(pa.RecordBatch.from_pylist([{"chunk": chunk.key, "body_size": len(body), "body": pa.compress(body, codec="zstd", asbytes=True), "replies": replies}]))
+    return list(substrings._send_super_windows(50, 20, 1)(iter(batches)))
+
+
+def test_repeats_bucket_in_parts():
+    """A bucket's arrays are those of a part of it, and its replies are runs, not windows."""
+    text = np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8).tobytes()
+    sent = _sent_super_windows([text + b"a" * 60, text + b"b" * 60])
+    tracemalloc.start()
+    back = list(substrings._judge_super_windows(50, 2 << 20)(iter(sent)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = [r for b in back for r in b.to_pylist()]
+    assert [r["kind"] for r in rows] == [4]
+    first, count = substrings._unpack(rows[0]["payload"], np.int32, np.int32)
+    assert (first.tolist(), count.tolist()) == ([0], [len(text) - 49])
+    assert peak < 160 << 20, peak
 
 
 def test_materialize_leaves_no_shuffle_files(spark):
