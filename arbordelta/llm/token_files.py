@@ -36,7 +36,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaced:
 
     def encode(batches):
         encoder, shard, start = encoder_for(tokenizer.value, spaced), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             rows = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             n = np.fromiter((len(x) // 4 for x in rows), np.int64, len(rows))
             starts = start + np.concatenate([[0], np.cumsum(n)])

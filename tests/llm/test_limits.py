@@ -5,9 +5,11 @@ import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from arbordelta.llm import common, substrings
+from arbordelta.llm import common, substrings, tokens
 
 
 def _sent_super_windows(texts: list[bytes]) -> list[pa.RecordBatch]:
@@ -48,3 +50,28 @@ def test_materialize_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_words_learned_are_few_bytes_and_forgotten_exactly(monkeypatch):
+    """Kept words take arrays, not objects, and ids stay the library's while words are forgotten all the time."""
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(30_000)]
+    texts = [" ".join(words[i] + (".", "", ",\n", "")[i % 4] for i in rng.integers(0, len(words), 400)) for _ in range(400)] + ["x" * 300 + " " + "A" * 300, "", "  two", "One. one ONE!"]
+    for name, spaced in (("word_bpe_49k", False), ("byte_bpe_50k", True)):
+        vocabulary = Path(public_tokenizers.path(f"{name}.json")).read_text()
+        library = Tokenizer.from_str(vocabulary)
+        want = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        encoder = tokens.PieceEncoder(vocabulary, spaced)
+        encoder.encode(["a"])  # tables that do not grow
+        tracemalloc.start()
+        got = encoder.encode(texts)
+        held = tracemalloc.get_traced_memory()[0] - sum(map(len, got))
+        tracemalloc.stop()
+        assert got == want
+        assert held < 4 << 20, held
+        with monkeypatch.context() as small:
+            for limit, n in (("MAX_WORDS", 500), ("MAX_RECENT", 50), ("MAX_IDS", 2000)):
+                small.setattr(tokens, limit, n)
+            encoder = tokens.PieceEncoder(vocabulary, spaced)
+            assert [encoder.encode([t])[0] for t in texts] == want
+            assert len(encoder.words.kept[0]) <= 1000
