@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, sp
             nonlocal number
             offset = 0
             for doc_id, start, length, n, ids in window:
-                rows.append((doc_id, start, length, zlib.crc32(ids), n, base + number, offset, ids))
+                rows.append((doc_id, start, length, zlib.crc32(ids), n, base + number, offset, *([ids] if with_ids else [])))
                 offset += length
             number += 1
 
@@ -144,11 +144,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, sp
 
         packer = Packer(size, emit)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, x in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256])):
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                for doc_id, x in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                     packer.add(doc_id, x + end)
-            yield flush()
+                if len(rows) > 4096:
+                    yield flush()
+        yield flush()
         packer.drain()
         yield flush()
 

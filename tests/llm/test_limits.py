@@ -3,13 +3,14 @@
 import time
 import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from arbordelta.llm import common, substrings, tokens
+from arbordelta.llm import common, packing, substrings, tokens
 
 
 def _sent_super_windows(texts: list[bytes]) -> list[pa.RecordBatch]:
@@ -75,3 +76,14 @@ def test_words_learned_are_few_bytes_and_forgotten_exactly(monkeypatch):
             encoder = tokens.PieceEncoder(vocabulary, spaced)
             assert [encoder.encode([t])[0] for t in texts] == want
             assert len(encoder.words.kept[0]) <= 1000
+
+
+def test_packing_gives_pieces_out_within_a_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(packing, "arrow_map", lambda rows, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, size=16)
+    n = 30_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": ["one two three four five six seven"[: 5 + i % 28] for i in range(n)]})
+    sizes = [b.num_rows for b in run(iter([batch]))]
+    assert sum(sizes) >= n and len(sizes) >= 4 and max(sizes[:-1]) < n // 2, sizes
