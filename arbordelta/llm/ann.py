@@ -6,8 +6,9 @@ insertion: a node's level is geometric, and those of higher levels come first. A
 layer as it stands with a beam, and is joined to a diverse choice of what it finds; full neighbour lists are thinned by the same
 rule. Nodes are inserted a few together (an eighth of what is there) and also see those of their own batch. The graph is
 stored as flat neighbour arrays, one row for each shard.
-Blocks of queries meet shards by an equi-join on the shard number; a block descends the layers greedily and searches
-the lowest with a beam of `beam` nodes, all its queries at once. Scores are cosines of the original vectors in double precision.
+Blocks of queries are written once. Each of at most `tasks` groups of shards reads the blocks from there (a Cartesian product,
+which copies neither side to shuffle files or the driver) and keeps only the best of the whole group for each query, so what is
+written follows the input. A block descends the layers greedily and searches the lowest with a beam of `beam` nodes, all its queries at once. Scores are cosines of the original vectors in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without vec_id, take no part;
 vectors of different lengths never meet; repeated rows count once, and a vec_id with several vectors has its best score;
@@ -182,7 +183,7 @@ def build_index(rows: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, in
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(make, INDEX), "ann-index"), shards
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 16384, block: int = 1024, beam: int = 80) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 16384, block: int = 1024, beam: int = 80, tasks: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of embeddings that is_query holds for, its k nearest other rows found."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -199,41 +200,48 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, shard_rows: int
 
     asked = asked.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")})
     asked = asked.groupBy("dim", "block").applyInPandas(gather, "dim int, block int, query_ids binary, queries binary")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = materialize(asked, "ann-queries").coalesce(max(1, blocks // 128))
 
     def run(batches):
+        shard, best = None, {}  # best: by block, its queries and for each the nearest of the shards so far
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                row = {n: batch.column(n)[i].as_py() for n in ("dim", "shard", "block", "query_ids", "queries")}
                 d = row["dim"]
-                original, q0 = (np.frombuffer(row[n]).reshape(-1, d) for n in ("vectors", "queries"))
-                ids, query_ids = np.frombuffer(row["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(row["query_ids"], np.int64)
-                levels, flat, links, nodes, at = np.frombuffer(row["levels"], np.int8), np.frombuffer(row["links"], np.int32), [], [], 0
-                for layer in range(int(levels.max()) + 1):
-                    own = np.flatnonzero(levels >= layer)
-                    width = 2 * DEGREE if layer == 0 else DEGREE
-                    nodes.append(own)
-                    links.append(flat[at : at + len(own) * width].reshape(-1, width))
-                    at += len(own) * width
-                v, q = _scaled(original), _scaled(q0)
-                found = search(_unit(v), nodes, links, _unit(q), max(beam, k + 1))
-                near = np.maximum(found, 0)
-                norm_v, norm_q = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", q, q))
+                if (d, row["shard"]) != shard:
+                    shard = d, row["shard"]
+                    own = {n: batch.column(n)[i].as_py() for n in ("vectors", "ids", "levels", "links")}
+                    v, ids = _scaled(np.frombuffer(own["vectors"]).reshape(-1, d)), np.frombuffer(own["ids"], np.int64).reshape(-1, k + 1)
+                    levels, flat, links, nodes, at = np.frombuffer(own["levels"], np.int8), np.frombuffer(own["links"], np.int32), [], [], 0
+                    for layer in range(int(levels.max()) + 1):
+                        nodes.append(np.flatnonzero(levels >= layer))
+                        width = 2 * DEGREE if layer == 0 else DEGREE
+                        links.append(flat[at : at + len(nodes[-1]) * width].reshape(-1, width))
+                        at += len(nodes[-1]) * width
+                    unit, norm_v = _unit(v), np.sqrt(np.einsum("ij,ij->i", v, v))
+                q, query_ids = _scaled(np.frombuffer(row["queries"]).reshape(-1, d)), np.frombuffer(row["query_ids"], np.int64).tolist()
+                found = search(unit, nodes, links, _unit(q), max(beam, k + 1))
+                near, norm_q = np.maximum(found, 0), np.sqrt(np.einsum("ij,ij->i", q, q))
                 score = np.empty(near.shape)
                 for j in range(len(q)):
                     score[j] = (v[near[j]] * q[j]).sum(1) / (norm_v[near[j]] * norm_q[j])
                 score[found < 0] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, : 2 * (k + 1)]
-                out_q, out_v, out_s = [], [], []
-                for j, own in enumerate(query_ids.tolist()):
-                    pairs = [(-score[j, t], x) for t in top[j] if found[j, t] >= 0 for x in {*ids[found[j, t]].tolist()} if x != own]
-                    for s, x in sorted(pairs)[:k]:
-                        out_q.append(own)
-                        out_v.append(x)
-                        out_s.append(-s)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = arrow_map(index.join(asked, ["dim", "shard"]), run, "query_id long, vec_id long, score double")
+                kept = best.setdefault((d, row["block"]), (query_ids, [[] for _ in query_ids]))[1]
+                for j, own_id in enumerate(query_ids):
+                    pairs = kept[j] + [(-score[j, t], x) for t in top[j] if found[j, t] >= 0 for x in {*ids[found[j, t]].tolist()} if x != own_id]
+                    nearest_of: dict[int, float] = {}  # a vec_id with several vectors counts once
+                    for s, x in sorted(pairs):
+                        nearest_of.setdefault(x, s)
+                        if len(nearest_of) == k:
+                            break
+                    kept[j] = [(s, x) for x, s in nearest_of.items()]
+        for query_ids, kept in best.values():
+            rows = [(own_id, x, -s) for own_id, pairs in zip(query_ids, kept) for s, x in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    pairs = index.coalesce(tasks).join(asked.hint("shuffle_replicate_nl"), "dim")
+    met = arrow_map(pairs, run, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

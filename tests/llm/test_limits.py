@@ -8,9 +8,10 @@ from types import SimpleNamespace
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arbordelta.llm import common, packing, substrings, tokens
+from arbordelta.llm import ann, common, packing, substrings, tokens
 
 
 def _sent_super_windows(texts: list[bytes]) -> list[pa.RecordBatch]:
@@ -87,3 +88,20 @@ def test_packing_gives_pieces_out_within_a_batch(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": ["one two three four five six seven"[: 5 + i % 28] for i in range(n)]})
     sizes = [b.num_rows for b in run(iter([batch]))]
     assert sum(sizes) >= n and len(sizes) >= 4 and max(sizes[:-1]) < n // 2, sizes
+
+
+def test_neighbours_copy_no_queries_to_shards(spark):
+    """With many shards and blocks of queries, no shuffle or broadcast holds vectors, and a group of shards gives k rows a query."""
+    v = np.random.default_rng(2).normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = ann.nearest(rows, F.col("vec_id") % 10 == 0, k=5, shard_rows=40, block=8, tasks=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+    assert all("queries" not in x and "vectors" not in x for x in plan.split("\n") if "Exchange" in x)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    assert len(got) == 60 * 5
+    want = {(q, j + 1): x for q in range(0, 600, 10) for j, x in enumerate(np.argsort(-near[q], kind="stable")[:5].tolist())}
+    assert sum(got[key] == x for key, x in want.items()) >= 0.97 * len(want)
