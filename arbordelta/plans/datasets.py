@@ -2,41 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .trees import SEQ, fields_tree, node
+from .trees import SEQ, fields_seq, node
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """df over more tasks than there are cores, by the keys if there are any: a small file is read by few tasks, and makes many trees.
+
+    A count given so is kept by adaptive execution, which would join the partitions again by their bytes.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def _slug(name: str, key: str) -> Column:
+    return F.concat(F.lit(f"{name}_"), F.lpad(F.col(key).cast("string"), 9, "0"))
+
+
+def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(_slug("part", "p_partkey").alias("tree_id"), "p_brand", "p_name", "p_size", "p_type")
+
+
+def _part_seq(slug: Column, row) -> Column:
+    return fields_seq("part", {"slug": slug}, {"brand": row("p_brand"), "name": row("p_name"), "size": row("p_size"), "type": row("p_type")})
+
+
 def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    slug = F.concat(F.lit("part_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
-    fields = {"brand": F.col("p_brand"), "name": F.col("p_name"), "size": F.col("p_size"), "type": F.col("p_type")}
-    return fields_tree(p, slug, "part", {"slug": slug}, fields)
+    return spread(_part_rows(spark, sf_dir)).select("tree_id", _part_seq(F.col("tree_id"), F.col).alias("seq"))
 
 
-def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with their orders as repeated items. Orders are grouped before the join, so a customer is one row."""
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_part_rows(spark, sf_dir), _part_seq)
+
+
+def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders in a list. Orders are grouped before the join, so a customer is one row."""
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    item = F.array(node("orders_item", None, 3), node("priority", F.col("o_orderpriority"), 4), node("status", F.col("o_orderstatus"), 4))
-    items = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", item.cast(SEQ).alias("nodes")))).alias("orders"))
-    rows = c.join(items, c.c_custkey == items.o_custkey, "left")
-    slug = F.concat(F.lit("customer_"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
-    below = F.when(F.col("orders").isNull(), F.expr(f"cast(array() as {SEQ})")).otherwise(F.concat(F.array(node("orders", None, 2)).cast(SEQ), F.flatten(F.transform("orders", lambda x: x["nodes"]))))
-    return fields_tree(rows, slug, "customer", {"slug": slug}, {"name": F.col("c_name"), "market_segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey")}, below)
+    order = F.struct("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    items = spread(o.select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(order)).alias("orders"))
+    rows = c.join(items.hint("merge"), c.c_custkey == items.o_custkey, "left")
+    return rows.select(_slug("customer", "c_custkey").alias("tree_id"), "c_name", "c_mktsegment", "c_nationkey", "orders")
+
+
+def _customer_seq(slug: Column, row) -> Column:
+    item = lambda x: F.array(node("orders_item", None, 3), node("priority", x["priority"], 4), node("status", x["status"], 4)).cast(SEQ)
+    orders = row("orders")
+    below = F.when(orders.isNull(), F.expr(f"cast(array() as {SEQ})")).otherwise(F.concat(F.array(node("orders", None, 2)).cast(SEQ), F.flatten(F.transform(orders, item))))
+    return fields_seq("customer", {"slug": slug}, {"name": row("c_name"), "market_segment": row("c_mktsegment"), "nation": row("c_nationkey")}, below)
+
+
+def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders as repeated items."""
+    return _customer_rows(spark, sf_dir).select("tree_id", _customer_seq(F.col("tree_id"), F.col).alias("seq"))
+
+
+def customer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_customer_rows(spark, sf_dir), _customer_seq)
+
 
+def neighbours(rows: DataFrame, seq=lambda slug, row: row("seq")) -> DataFrame:
+    """Pairs of each tree with the next one by id: source_id, target_id, a, b. Ids end in a number, so it is an equi-join.
 
-def neighbours(trees: DataFrame) -> DataFrame:
-    """Pairs of each tree with the next one by id: source_id, target_id, a, b. Ids end in a number, so it is an equi-join."""
+    rows: tree_id and the columns of which seq(tree_id, column by name) makes the tree; these are shuffled, not the trees.
+    The join is never a broadcast: Spark would judge a side by the size of its file, which says little about its trees.
+    """
     number = F.regexp_extract("tree_id", r"([0-9]+)$", 1).cast("long")
-    a = trees.select(F.col("tree_id").alias("source_id"), F.col("seq").alias("a"), (number + 1).alias("k"))
-    b = trees.select(F.col("tree_id").alias("target_id"), F.col("seq").alias("b"), number.alias("k"))
-    return a.join(b, "k").drop("k")
+    row = F.struct(*[c for c in rows.columns if c != "tree_id"])
+    a = spread(rows.select(F.col("tree_id").alias("source_id"), row.alias("_a"), (number + 1).alias("k")), "k")
+    b = spread(rows.select(F.col("tree_id").alias("target_id"), row.alias("_b"), number.alias("k")), "k")
+    made = [seq(F.col(i), lambda c, x=x: F.col(x)[c]).alias(n) for n, i, x in (("a", "source_id", "_a"), ("b", "target_id", "_b"))]
+    return a.join(b.hint("merge"), "k").select("source_id", "target_id", *made)
 
 
 def supplier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

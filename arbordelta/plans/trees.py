@@ -25,7 +25,7 @@ def node(label, value, depth: int) -> Column:
     return F.struct(label.cast("string").alias("label"), value.alias("value"), F.lit(depth).alias("depth"))
 
 
-def fields_tree(df: DataFrame, id_: Column, root: str, meta: dict[str, Column], fields: dict[str, Column], items: Column | None = None) -> DataFrame:
+def fields_seq(root: str, meta: dict[str, Column], fields: dict[str, Column], items: Column | None = None) -> Column:
     """root -> meta{...}, fields{...}: names in ascending order, then `items`, an array of nodes at depth 2 and below."""
     seq = [F.array(node(root, None, 0))]
     if meta:
@@ -33,7 +33,7 @@ def fields_tree(df: DataFrame, id_: Column, root: str, meta: dict[str, Column],
     seq.append(F.array(node("fields", None, 1), *[node(k, fields[k], 2) for k in sorted(fields)]))
     if items is not None:
         seq.append(items)
-    return df.select(id_.cast("string").alias("tree_id"), F.concat(*[s.cast(SEQ) for s in seq]).alias("seq"))
+    return F.concat(*[s.cast(SEQ) for s in seq])
 
 
 KIND = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("depth", pa.int32())]))

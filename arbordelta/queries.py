@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import diff, features, normalize, patch, ranking, render, ted
-from .plans.datasets import CUSTOMER_SQL, PART_SQL, customer_trees, neighbours, part_trees, read
+from .plans.datasets import CUSTOMER_SQL, PART_SQL, customer_pairs, customer_trees, part_pairs, part_trees, read
 from .plans.trees import nodes
 from .sources import store
 
@@ -58,7 +58,7 @@ RANK_SQL = _sql(
 
 
 def ted_chawathe_pairs(spark, sf_dir):
-    return ted.distances(neighbours(customer_trees(spark, sf_dir)))
+    return ted.distances(customer_pairs(spark, sf_dir))
 
 
 TED_SQL = _sql(
@@ -68,15 +68,15 @@ TED_SQL = _sql(
 
 
 def ted_nj_pairs(spark, sf_dir):
-    return ted.distances(neighbours(customer_trees(spark, sf_dir)), "nj")
+    return ted.distances(customer_pairs(spark, sf_dir), "nj")
 
 
 def ted_zhang_shasha_pairs(spark, sf_dir):
-    return ted.distances(neighbours(customer_trees(spark, sf_dir)), "zhang_shasha")
+    return ted.distances(customer_pairs(spark, sf_dir), "zhang_shasha")
 
 
 def ted_scripts_chawathe(spark, sf_dir):
-    return ted.scripts(neighbours(customer_trees(spark, sf_dir)))
+    return ted.scripts(customer_pairs(spark, sf_dir))
 
 
 def rank_both(spark, sf_dir):
@@ -158,7 +158,7 @@ LOOKUP_SQL = _sql(*_CUSTOMER_NODES, "found AS (SELECT tree_id, arg_min(value, pr
 
 
 def tree_similarity(spark, sf_dir):
-    return diff.tree_similarity(neighbours(customer_trees(spark, sf_dir)))
+    return diff.tree_similarity(customer_pairs(spark, sf_dir))
 
 
 _SIDES = (
@@ -173,7 +173,7 @@ SIMILARITY_SQL = _sql(
 
 
 def semantic_diff(spark, sf_dir):
-    return _joined(diff.semantic_diff(neighbours(customer_trees(spark, sf_dir))))
+    return _joined(diff.semantic_diff(customer_pairs(spark, sf_dir)))
 
 
 _DIFF = (
@@ -193,7 +193,7 @@ DIFF_SQL = _sql(*_DIFF, then="SELECT source_id, target_id, op, array_to_string(p
 
 
 def semantic_summary(spark, sf_dir):
-    return diff.summarize(diff.semantic_diff(neighbours(customer_trees(spark, sf_dir))))
+    return diff.summarize(diff.semantic_diff(customer_pairs(spark, sf_dir)))
 
 
 SUMMARY_SQL = _sql(*_DIFF, then="SELECT source_id, target_id, count(*) FILTER (op = 'insert') AS inserts, count(*) FILTER (op = 'delete') AS deletes, count(*) FILTER (op = 'update') AS updates, count(*) AS total FROM ops GROUP BY ALL")
@@ -207,7 +207,7 @@ _AS_TEXT = "array_to_string(list_transform({s}, lambda x: x.depth || ':' || x.la
 
 def _round_trip(spark, sf_dir, algorithm):
     """Sources patched by their scripts; they must become their targets."""
-    pairs = neighbours(customer_trees(spark, sf_dir))
+    pairs = customer_pairs(spark, sf_dir)
     done = patch.apply_script(pairs, ted.scripts(pairs, algorithm), algorithm)
     seq = F.transform("patched", lambda x: F.concat_ws("=", F.concat(x["depth"].cast("string"), F.lit(":"), x["label"]), F.coalesce(x["value"], F.lit(""))))
     return done.select("source_id", "target_id", F.array_join(seq, "|").alias("tree"), "error")
@@ -233,7 +233,7 @@ ZHANG_SHASHA_SQL = _sql(*_CUSTOMER_PAIRS, then=f"SELECT source_id, target_id, {_
 
 
 def feature_patch(spark, sf_dir):
-    pairs = neighbours(part_trees(spark, sf_dir))
+    pairs = part_pairs(spark, sf_dir)
     made = patch.patch_from_features(pairs, ["name", "fields.size", "brand"], ["brand"]).join(pairs, ["source_id", "target_id"])
     return _as_text(patch.apply_paths(made.select(F.col("source_id").alias("tree_id"), F.col("a").alias("seq"), "patch")))
 
@@ -245,11 +245,11 @@ FEATURE_PATCH_SQL = _sql(
 
 
 def script_summary_nj(spark, sf_dir):
-    return patch.summarize_script(ted.scripts(neighbours(customer_trees(spark, sf_dir)), "nj"))
+    return patch.summarize_script(ted.scripts(customer_pairs(spark, sf_dir), "nj"))
 
 
 def script_summary_chawathe(spark, sf_dir):
-    return patch.summarize_script(ted.scripts(neighbours(customer_trees(spark, sf_dir))))
+    return patch.summarize_script(ted.scripts(customer_pairs(spark, sf_dir)))
 
 
 def infobox_text(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import diff, features, patch, render, ted
 from .plans import api
-from .plans.datasets import CUSTOMER_SQL, PART_SQL, SUPPLIER_SQL, customer_trees, neighbours, part_trees, read, supplier_documents
+from .plans.datasets import CUSTOMER_SQL, PART_SQL, SUPPLIER_SQL, customer_trees, neighbours, part_pairs, part_trees, read, supplier_documents
 from .plans.trees import nodes, validate
 from .queries import _AS_TEXT, _PAIRS, _as_text, _sql
 from .sources import codec, html, store
@@ -87,11 +87,11 @@ VALIDATE_SQL = _sql(
 
 # ---- distances and scripts of parts: trees of one shape, so a distance is the number of leaves that differ ----
 def ted_nj_parts(spark, sf_dir):
-    return ted.distances(neighbours(part_trees(spark, sf_dir)), "nj")
+    return ted.distances(part_pairs(spark, sf_dir), "nj")
 
 
 def ted_zhang_shasha_parts(spark, sf_dir):
-    return ted.distances(neighbours(part_trees(spark, sf_dir)), "zhang_shasha")
+    return ted.distances(part_pairs(spark, sf_dir), "zhang_shasha")
 
 
 PART_TED_SQL = _sql(*_PART_PAIRS, f"d AS (SELECT source_id, target_id, {_DIFFERS}::INT AS distance FROM pairs)", then="SELECT source_id, target_id, 8 AS n_source, 8 AS n_target, distance, 1.0::DOUBLE - distance::DOUBLE / 16 AS similarity FROM d")
@@ -100,7 +100,7 @@ PART_TED_SQL = _sql(*_PART_PAIRS, f"d AS (SELECT source_id, target_id, {_DIFFERS
 def scripts_parts(spark, sf_dir):
     """Each operation of the positional scripts: place, labels and values."""
     ops = F.explode(F.from_json("ops", patch.OPS)).alias("o")
-    rows = ted.scripts(neighbours(part_trees(spark, sf_dir))).select(*KEY, ops)
+    rows = ted.scripts(part_pairs(spark, sf_dir)).select(*KEY, ops)
     return rows.select(*KEY, "o.op", "o.position", F.col("o.old.label").alias("label"), F.col("o.old.value").alias("old_value"), F.col("o.new.value").alias("new_value"))
 
 
@@ -112,7 +112,7 @@ SCRIPTS_SQL = _sql(
 
 def scripts_nj_parts(spark, sf_dir):
     ops = F.explode(F.from_json("ops", "array<struct<op:string,ref:string,old:array<string>,new:array<string>,note:string>>")).alias("o")
-    rows = ted.scripts(neighbours(part_trees(spark, sf_dir)), "nj").select(*KEY, ops)
+    rows = ted.scripts(part_pairs(spark, sf_dir), "nj").select(*KEY, ops)
     return rows.select(*KEY, "o.op", "o.ref", F.col("o.old")[1].alias("old_value"), F.col("o.new")[1].alias("new_value"), "o.note")
 
 
@@ -125,14 +125,14 @@ SCRIPTS_NJ_SQL = _sql(
 def mappings_parts(spark, sf_dir):
     """The number of mapped nodes of each pair, and of those whose postorder numbers are the same."""
     maps = F.from_json("ops", "array<array<int>>")
-    return ted.scripts(neighbours(part_trees(spark, sf_dir)), "zhang_shasha").select(*KEY, F.size(maps).alias("mapped"), F.size(F.filter(maps, lambda p: p[0] == p[1])).alias("same"))
+    return ted.scripts(part_pairs(spark, sf_dir), "zhang_shasha").select(*KEY, F.size(maps).alias("mapped"), F.size(F.filter(maps, lambda p: p[0] == p[1])).alias("same"))
 
 
 MAPPINGS_SQL = _sql(*_PART_PAIRS, then="SELECT source_id, target_id, 8 AS mapped, 8 AS same FROM pairs")
 
 
 def _normalized(spark, sf_dir, algorithm):
-    pairs = neighbours(part_trees(spark, sf_dir))
+    pairs = part_pairs(spark, sf_dir)
     kinds = {"chawathe": patch.OPS, "nj": "array<struct<op:string>>"}
     done = patch.normalized_scripts(pairs, ted.scripts(pairs, algorithm), algorithm)
     return done.select(*KEY, F.size(F.from_json("ops", kinds[algorithm])).cast("long").alias("n"), "error", *([F.array_join(F.transform(F.from_json("ops", patch.OPS), lambda o: F.concat_ws(":", o["op"], o["position"].cast("string"), o["new"]["label"])), ",").alias("steps")] if algorithm == "chawathe" else []))
@@ -151,7 +151,7 @@ NORMALIZED_NJ_SQL = _sql(*_PART_PAIRS, then=f"SELECT source_id, target_id, {_FIE
 
 
 def script_summary_parts(spark, sf_dir):
-    pairs = neighbours(part_trees(spark, sf_dir))
+    pairs = part_pairs(spark, sf_dir)
     made = [patch.summarize_script(ted.scripts(pairs, a)).withColumn("algorithm", F.lit(a)) for a in ("chawathe", "nj", "zhang_shasha")]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
@@ -171,7 +171,7 @@ def _infobox(side: str, title: str) -> str:
 
 
 def full_diff(spark, sf_dir):
-    pairs = neighbours(part_trees(spark, sf_dir))
+    pairs = part_pairs(spark, sf_dir)
     made = [api.full_diff(pairs, a).select(*KEY, "kind", "distance", "similarity", "updates", "matches_target", "report", "error") for a in ("chawathe", "nj", "zhang_shasha")]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
@@ -224,14 +224,14 @@ PATCH_ALL_SQL = _sql(
 
 def patch_clean_diff(spark, sf_dir):
     """Patched by the semantic diff, which never reports the slug."""
-    return api.patch_clean(neighbours(part_trees(spark, sf_dir)).where("a <> b")).select(*KEY, "text", "score", "differences", "error")
+    return api.patch_clean(part_pairs(spark, sf_dir).where("a <> b")).select(*KEY, "text", "score", "differences", "error")
 
 
 PATCH_CLEAN_SQL = _sql(*_PART_PAIRS, then=f"SELECT source_id, target_id, {_infobox('b', 'a[3].value')} AS text, 1.0::DOUBLE AS score, 0::BIGINT AS differences, NULL::VARCHAR AS error FROM pairs WHERE {_FIELD_DIFFERS} > 0")
 
 
 def patch_script(spark, sf_dir):
-    pairs = neighbours(part_trees(spark, sf_dir))
+    pairs = part_pairs(spark, sf_dir)
     made = [api.patch_script(pairs, ted.scripts(pairs, a), a).select(*KEY, F.lit(a).alias("algorithm"), "json", "differences", "error") for a in ("chawathe", "nj", "zhang_shasha")]
     done = made[0].unionByName(made[1]).unionByName(made[2])
     return done.withColumn("json", F.get_json_object("json", "$.part.fields.name"))
