@@ -304,16 +304,20 @@ VALUE_LOOKUP_SQL = _sql(SUPPLIER_SQL, then="SELECT tree_id, 's' || nk AS domain,
 
 
 # ---- pages ----
-def _built_pages(spark, sf_dir):
-    """An infobox page of each supplier."""
+def _built_pages(spark, sf_dir, grouped=False):
+    """An infobox page of each supplier. Its figures are the key's digits put before others, as infobox_rows compares the text;
+    grouped: commas stand between thousands whatever the key, so that they can be read as numbers.
+    """
     s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    thousands = lambda more: F.format_number(F.col("s_suppkey") * 1000 + more, 0)
+    area, people = (thousands(452), thousands(1_000_482)) if grouped else (F.concat(k, F.lit(",452")), F.concat(F.lit("1,"), F.lpad(k, 3, "0"), F.lit(",482")))
     row = lambda label, *value: F.concat(F.lit(f"<tr><th>{label}</th><td>"), *[F.lit(v) if isinstance(v, str) else v for v in value], F.lit("</td></tr>"))
     head = lambda label: F.lit(f'<tr><th class="infobox-header">{label}</th></tr>')
     body = F.concat(
         F.lit('<p>x</p><table class="other"><tr><th>No</th><td>no</td></tr></table><table class="infobox vcard"><tbody><tr><th colspan="2">Top</th></tr>'),
         row("Capital", "City ", k, ' 33°54′N 35°32′E<sup class="reference">[1]</sup>'), row("Official languages", "Arabic, L", k), row("Government", "Unitary &amp; republic"),
-        F.lit('<tr style="display:none"><th>Hidden</th><td>1</td></tr>'), head("Area"), row("• Total", k, ",452 km2 (161st)"), row("• Water (%)", "1.8"),
-        head("Population"), row("• 2023 estimate", "1,", F.lpad(k, 3, "0"), ",482 (118th)"), row("GDP (nominal)", "2022 estimate"), row("• Total", "$ ", k, ".2 billion (104th)"), row("• Per capita", "$ 1,000"),
+        F.lit('<tr style="display:none"><th>Hidden</th><td>1</td></tr>'), head("Area"), row("• Total", area, " km2 (161st)"), row("• Water (%)", "1.8"),
+        head("Population"), row("• 2023 estimate", people, " (118th)"), row("GDP (nominal)", "2022 estimate"), row("• Total", "$ ", k, ".2 billion (104th)"), row("• Per capita", "$ 1,000"),
         row("HDI (2022)", "0.723 high (109th)"), row("Gini (2011)", "31.8"), row("Currency", "Pound ", k, " (LBP)"), row("Calling code", "+96", k), row("Internet TLD", ".lb"), row("Time zone", "UTC +2 (EET)"), row("Empty", ""), F.lit("</tbody></table>"),
     )
     slug = F.concat(F.lit("s"), F.lpad(k, 9, "0"))
@@ -337,7 +341,7 @@ INFOBOX_ROWS_SQL = " UNION ALL ".join(f"SELECT 's' || lpad({_K}::VARCHAR, 9, '0'
 
 def ingest_pages(spark, sf_dir):
     """The leaves of the trees that the pages become."""
-    rows = nodes(api.ingest(_built_pages(spark, sf_dir), "2024-01-01T00:00:00Z")).where("size = 1")
+    rows = nodes(api.ingest(_built_pages(spark, sf_dir, grouped=True), "2024-01-01T00:00:00Z")).where("size = 1")
     return rows.select("tree_id", F.array_join(F.slice("path", F.lit(2), F.size("path")), ".").alias("path"), "value")
 
 

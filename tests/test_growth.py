@@ -15,3 +15,13 @@ def plan_of(df):
 def test_trees_are_never_broadcast(spark, name):
     """A small file makes many trees: Spark would copy them to the driver and every executor."""
     assert "BroadcastExchange" not in plan_of(__spark_entry__.queries()[name](spark, SF))
+
+
+def test_pages_of_suppliers_beyond_a_thousand(spark, tmp_path):
+    """Their figures have commas between all thousands, so they are read whole."""
+    keys = [0, 7, 999, 1000, 1234, 5999, 1234567]
+    supplier = spark.createDataFrame([(k, f"Supplier#{k:09d}", 1, 0.0) for k in keys], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    supplier.write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = __spark_entry__.queries()["ingest_pages"](spark, str(tmp_path)).where("path in ('fields.area.total_km2', 'fields.population.total')").collect()
+    want = {(f"s{k:09d}", p): str(k * 1000 + n) for k in keys for p, n in (("fields.area.total_km2", 452), ("fields.population.total", 1000482))}
+    assert {(r.tree_id, r.path): r.value for r in rows} == want
