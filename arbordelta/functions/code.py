@@ -48,3 +48,10 @@ def _frugal(function):
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(_frugal(function), schema)
+
+
+def sliced(batches, rows: int = 2_000):
+    """The batches in slices, so that what Python makes of one is small whatever Spark puts in a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

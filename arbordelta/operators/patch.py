@@ -1,6 +1,6 @@
 """Patches: positional scripts, whole-subtree scripts, and dotted-path patches.
 
-A positional script is replayed natively on the preorder array. Script columns hold the JSON that ted.scripts() gives. A row
+apply_positional() replays a positional script natively on the preorder array. Script columns hold the JSON that ted.scripts() gives. A row
 that can't be worked out has an error and no result.
 """
 
@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import arrow_map
+from ..functions.code import arrow_map, sliced
 from ..functions.text import normalize_path
-from ..plans.trees import SEQ, per_tree
+from ..plans.trees import SEQ, packed, per_tree, unpacked
+from .batches import say
 from .diff import IGNORED, PAIR, is_ignored
 from .features import at_path, child, steps_of, value_at, values_at
 from .ted import canonical, preorder, sort_children, to_seq, to_tree
@@ -35,9 +36,26 @@ def apply_positional(rows: DataFrame, check: bool = True) -> DataFrame:
     return parsed.withColumn("patched", F.expr(step)).drop("_ops")
 
 
-def renormalize(seq: str = "patched") -> Column:
+def levels(depths: list[int]) -> list[int]:
     """Depths made steps of one again: a node's depth is the number of earlier nodes that are its ancestors."""
-    return F.expr(f"transform({seq}, (x, i) -> struct(x.label as label, x.value as value, cast(size(filter(sequence(0, i), k -> k < i and {seq}[k].depth < array_min(transform(sequence(k + 1, i), j -> {seq}[j].depth)))) as int) as depth))")
+    out, line = [], []
+    for d in depths:
+        while line and line[-1] >= d:
+            line.pop()
+        out.append(len(line))
+        line.append(d)
+    return out
+
+
+def _positional_apply(a: list[dict], ops: list[dict]) -> list[dict]:
+    """As apply_positional(), with depths made steps of one again."""
+    seq = list(a)
+    for o in ops:
+        at, kind = o["position"], o["op"]
+        if kind != "insert" and o["old"] is not None and (at >= len(seq) or seq[at] != o["old"]):
+            raise ValueError(f"node mismatch at {at}")
+        seq[at : at + (kind != "insert")] = [] if kind == "delete" else [o["new"]]
+    return [{**x, "depth": d} for x, d in zip(seq, levels([x["depth"] for x in seq]))]
 
 
 def _nj_apply(a: list[dict], ops: list[dict]) -> list[dict]:
@@ -59,20 +77,23 @@ def _nj_apply(a: list[dict], ops: list[dict]) -> list[dict]:
     return to_seq(root)
 
 
-def _run(rows: DataFrame, one) -> DataFrame:
+def _run(rows: DataFrame, one, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            out = []
-            for s, t, a, b, ops in zip(*(batch.column(n).to_pylist() for n in ("source_id", "target_id", "a", "b", "ops"))):
+        for batch in sliced(batches, 500):
+            out, errors = [], []
+            trees = [([{"label": x, "value": v, "depth": d} for x, v, d in zip(*seq)] for seq in unpacked(batch.column(n))) for n in ("a", "b")]
+            for a, b, ops in zip(*trees, batch.column("ops").to_pylist()):
                 try:
-                    out.append((s, t, one(a, b, json.loads(ops)), None))
+                    out.append(one(a, b, json.loads(ops)))
+                    errors.append(None)
                 except (KeyError, ValueError, IndexError) as e:
-                    out.append((s, t, None, f"{type(e).__name__}: {e}"))
-            seq = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("depth", pa.int32())]))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), seq, pa.string()))], ["source_id", "target_id", "patched", "error"])
+                    out.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            seq = packed([x and tuple([n[k] for n in x] for k in ("label", "value", "depth")) for x in out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*PAIR, *keep)), seq, pa.array(errors, pa.string())], [*PAIR, *keep, "patched", "error"])
 
-    return arrow_map(rows.select("source_id", "target_id", "a", "b", "ops"), run, f"source_id string, target_id string, patched {SEQ}, error string")
+    schema = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in (*PAIR, *keep)] + [f"patched {SEQ}", "error string"])
+    return arrow_map(rows.select(*dict.fromkeys([*PAIR, "a", "b", "ops", *keep])), run, schema)
 
 
 def _zs_apply(a: list[dict], b: list[dict], pairs: list) -> list[dict]:
@@ -83,13 +104,19 @@ def _zs_apply(a: list[dict], b: list[dict], pairs: list) -> list[dict]:
     return to_seq(target)
 
 
-def apply_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawathe") -> DataFrame:
-    """source_id, target_id, patched, error: the scripts of ted.scripts() replayed on their sources."""
-    rows = pairs.join(scripted.where("error is null").select("source_id", "target_id", "ops"), ["source_id", "target_id"])
-    kind = canonical(algorithm)
-    if kind == "chawathe":
-        return apply_positional(rows).select("source_id", "target_id", renormalize().alias("patched"), F.lit(None).cast("string").alias("error"))
-    return _run(rows, (lambda a, b, ops: _nj_apply(a, ops)) if kind == "nj" else _zs_apply)
+def _beside(pairs: DataFrame, scripted: DataFrame, *trees: str) -> DataFrame:
+    """Scripts that did not fail beside their pairs' trees: those that ted.scripts() kept, else found by a join that copies neither side."""
+    good = scripted.where("error is null")
+    return good if {*trees} <= {*scripted.columns} else pairs.select(*PAIR, *trees).join(good.hint("merge"), [*PAIR])
+
+
+def apply_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawathe", keep: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, target_id, patched, error: the scripts of ted.scripts() replayed on their sources; columns to keep stand before `patched`.
+
+    With ted.scripts(keep=("a", "b")) the pairs are not read again.
+    """
+    one = {"chawathe": lambda a, b, ops: _positional_apply(a, ops), "nj": lambda a, b, ops: _nj_apply(a, ops), "zhang_shasha": _zs_apply}[canonical(algorithm)]
+    return _run(_beside(pairs, scripted, "a", "b"), one, keep)
 
 
 def summarize_script(scripted: DataFrame) -> DataFrame:
@@ -160,8 +187,7 @@ def normalized_scripts(pairs: DataFrame, scripted: DataFrame, algorithm: str = "
         "nj": lambda a, ops: normalize_nj_script(ops),
         "zhang_shasha": lambda a, ops: ops,
     }[kind]
-    rows = pairs.join(scripted.where("error is null").select("source_id", "target_id", "ops"), [*PAIR]).select(*PAIR, "a", "ops")
-    return per_tree(rows, lambda a, ops: (json.dumps(one(a, json.loads(ops)), ensure_ascii=False),), {"ops": "string"}, ids=PAIR, given=("a", "ops"), errors=True)
+    return per_tree(_beside(pairs, scripted, "a"), lambda a, ops: (say(one(a, json.loads(ops))),), {"ops": "string"}, ids=PAIR, given=("a", "ops"), errors=True)
 
 
 # ---- dotted-path patches: map<path, struct<vals array<string>, is_list boolean>> ----

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import arrow_map
+from ..functions.code import arrow_map, sliced
 
 SEQ = "array<struct<label:string,value:string,depth:int>>"
 MAX_NODES, MAX_DEPTH = 100_000, 256
@@ -94,7 +94,7 @@ def per_tree(df: DataFrame, one: Callable, kinds: dict[str, str], ids: tuple[str
     trees = {f.name for f in df.schema if f.dataType.simpleString() == SEQ}
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 500):
             out: list[list] = [[] for _ in kinds]
             failed: list[str | None] = []
             for args in zip(*(unpacked(batch.column(n)) if n in trees else batch.column(n).to_pylist() for n in given)):

@@ -208,7 +208,7 @@ _AS_TEXT = "array_to_string(list_transform({s}, lambda x: x.depth || ':' || x.la
 def _round_trip(spark, sf_dir, algorithm):
     """Sources patched by their scripts; they must become their targets."""
     pairs = customer_pairs(spark, sf_dir)
-    done = patch.apply_script(pairs, ted.scripts(pairs, algorithm), algorithm)
+    done = patch.apply_script(pairs, ted.scripts(pairs, algorithm, keep=("a", "b")), algorithm)
     seq = F.transform("patched", lambda x: F.concat_ws("=", F.concat(x["depth"].cast("string"), F.lit(":"), x["label"]), F.coalesce(x["value"], F.lit(""))))
     return done.select("source_id", "target_id", F.array_join(seq, "|").alias("tree"), "error")
 

@@ -134,7 +134,7 @@ MAPPINGS_SQL = _sql(*_PART_PAIRS, then="SELECT source_id, target_id, 8 AS mapped
 def _normalized(spark, sf_dir, algorithm):
     pairs = part_pairs(spark, sf_dir)
     kinds = {"chawathe": patch.OPS, "nj": "array<struct<op:string>>"}
-    done = patch.normalized_scripts(pairs, ted.scripts(pairs, algorithm), algorithm)
+    done = patch.normalized_scripts(pairs, ted.scripts(pairs, algorithm, keep=("a",)), algorithm)
     return done.select(*KEY, F.size(F.from_json("ops", kinds[algorithm])).cast("long").alias("n"), "error", *([F.array_join(F.transform(F.from_json("ops", patch.OPS), lambda o: F.concat_ws(":", o["op"], o["position"].cast("string"), o["new"]["label"])), ",").alias("steps")] if algorithm == "chawathe" else []))
 
 

@@ -1,8 +1,14 @@
 """What the tree queries' plans and passes must keep to so that they grow no faster than their tables."""
 
+import json
+import random
+import time
+
 import pytest
 
 import __spark_entry__
+from arbordelta.operators import patch, ted
+from arbordelta.plans.trees import SEQ
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +31,46 @@ def test_pages_of_suppliers_beyond_a_thousand(spark, tmp_path):
     rows = __spark_entry__.queries()["ingest_pages"](spark, str(tmp_path)).where("path in ('fields.area.total_km2', 'fields.population.total')").collect()
     want = {(f"s{k:09d}", p): str(k * 1000 + n) for k in keys for p, n in (("fields.area.total_km2", 452), ("fields.population.total", 1000482))}
     assert {(r.tree_id, r.path): r.value for r in rows} == want
+
+
+def odd_trees():
+    """Random trees, with depths that leave levels out, and trees that are missing, empty or have no root."""
+    rng = random.Random(11)
+
+    def one(n):
+        out = [{"label": "r", "value": None, "depth": 0}]
+        for _ in range(n - 1):
+            out.append({"label": rng.choice(["a", "b", "é\""]), "value": rng.choice(["x", "y", "", None]), "depth": rng.randint(1, out[-1]["depth"] + rng.choice([1, 1, 2]))})
+        return out
+
+    trees = [one(rng.randint(1, rng.choice([3, 12, 40]))) for _ in range(300)]
+    trees[17], trees[40], trees[60] = [], [{"label": "r", "value": None, "depth": 0}] * 2, [{"label": "r", "value": None, "depth": 0}, {"label": "a", "value": None, "depth": None}]
+    return trees
+
+
+@pytest.mark.parametrize("algorithm", ["chawathe", "nj", "zhang_shasha"])
+def test_scripts_of_many_pairs_are_those_of_one(spark, algorithm):
+    """Distances and scripts of batches equal the plain functions on two lists of nodes, bad pairs among them."""
+    trees = odd_trees()
+    rows = [(f"s{i}", f"t{i}", a, b) for i, (a, b) in enumerate(zip(trees, trees[1:]))] + [("none", "t", None, trees[0])]
+    plain = {"chawathe": ted._with_script, "nj": ted.nj, "zhang_shasha": ted.zhang_shasha}[algorithm]
+    pairs = spark.createDataFrame(rows, f"source_id string, target_id string, a {SEQ}, b {SEQ}")
+    got = {r.source_id: r for r in ted.scripts(pairs, algorithm, keep=("a",)).collect()}
+    scores = {r.source_id: r.distance for r in ted.distances(pairs, algorithm).collect()}
+    for s, _, a, b in rows:
+        try:
+            distance, ops = plain(a, b)
+            assert (got[s].distance, got[s].ops, got[s].error) == (distance, json.dumps(ops, ensure_ascii=False), None)
+            assert scores[s] == (distance if a and b else None)
+        except (ValueError, IndexError, TypeError) as e:
+            assert (got[s].distance, got[s].ops, got[s].error) == (None, None, f"{type(e).__name__}: {e}") and scores[s] is None
+
+
+def test_depths_of_a_long_tree_are_one_pass(spark):
+    """Replaying a script on a tree of 3,000 nodes: depths were once compared with all nodes between, for each pair of nodes."""
+    tree = lambda n: [("r", None, 0)] + [("x", str(k), 1 + k % 2) for k in range(n)]
+    pairs = spark.createDataFrame([("s", "t", tree(2000), tree(1999))], f"source_id string, target_id string, a {SEQ}, b {SEQ}")
+    scripted = spark.createDataFrame([("s", "t", json.dumps([{"op": "delete", "position": 2000, "old": {"label": "x", "value": "1999", "depth": 2}, "new": None}]), None)], "source_id string, target_id string, ops string, error string")
+    began = time.time()
+    (r,) = patch.apply_script(pairs, scripted).collect()
+    assert [tuple(x) for x in r.patched] == tree(1999) and r.error is None and time.time() - began < 30
