@@ -334,3 +334,210 @@ class SubtreeEdits:
 
         explain(0, 0)
         return total, "[" + ", ".join(ops) + "]"
+
+
+class Postorders:
+    """The label-sorted trees of one side in postorder, one after the other, with what keyroots need."""
+
+    def __init__(self, trees, names: dict, shapes: dict):
+        self.size, names_, low, up_to, whole, self.keyroots, self.errors = [], [], [], [], [], [], []
+        for labels, values, depths in trees:
+            try:
+                if not labels:
+                    raise ValueError("empty tree")
+                found = self._one(labels, values, parents(depths), names, shapes)
+                self.errors.append(None)
+            except (ValueError, IndexError, TypeError) as e:
+                found = ([], [], [], [], [])
+                self.errors.append(e)
+            for x, y in zip((names_, low, up_to, whole), found):
+                x += y
+            self.size.append(len(found[0]))
+            self.keyroots.append(found[4])
+        self.size = np.array(self.size, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1].astype(np.int64)
+        self.names, self.low, self.nodes, self.whole = (np.array(x, np.int64) for x in (names_, low, up_to, whole))
+
+    @staticmethod
+    def _one(labels, values, up, names, shapes):
+        n = len(labels)
+        kids: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            kids[up[i]].append(i)
+        order, todo = [], [0]
+        while todo:
+            i = todo.pop()
+            order.append(i)
+            if kids[i]:
+                kids[i].sort(key=labels.__getitem__)
+                todo.extend(kids[i])
+        order.reverse()
+        own, low, height, name, whole, size = [0] * n, [0] * n, [0] * n, [], [], []
+        keyroot: dict[int, int] = {}
+        for k, i in enumerate(order):
+            c = names.setdefault((labels[i], values[i]), len(names))
+            name.append(c)
+            below = kids[i]
+            low[i] = low[below[0]] if below else k
+            height[i] = 1 + max([height[x] for x in below]) if below else 0
+            own[i] = shapes.setdefault((c, *[own[x] for x in below]), len(shapes))
+            whole.append(own[i])
+            size.append(k - low[i] + 1)
+            keyroot[low[i]] = k
+        lows = [low[i] for i in order]
+        return name, lows, size, whole, [(k, height[order[k]]) for k in sorted(keyroot.values()) if size[k] > 1]
+
+    padded = Side.padded
+
+
+class Mappings:
+    """Unit-cost distances of the label-sorted trees, and the mappings that ted.zhang_shasha() gives.
+
+    A tree against a leaf costs its nodes, less one if a node of it is like the leaf. Forests of keyroots are solved for all pairs
+    of a group together, from the lowest keyroots up; pairs of subtrees of the same shapes are solved once.
+    """
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.names, self.shapes = most, {}, {}
+
+    def __call__(self, a, b, scripts: bool = False) -> list[tuple]:
+        """(distance, JSON of the mapped postorder numbers or None), or what failed."""
+        if len(self.shapes) > self.most:
+            self.names, self.shapes = {}, {}
+        x, y = (Postorders(t, self.names, self.shapes) for t in (a, b))
+        out: list = [e or f for e, f in zip(x.errors, y.errors)]
+        good = np.array([k for k, e in enumerate(out) if e is None], np.int64)
+        for g in groups(x.size[good], y.size[good], 1 << 19, 256) if len(good) else ():
+            for k, found in zip(good[g].tolist(), self._group(x, y, good[g], scripts)):
+                out[k] = found
+        return out
+
+    def _group(self, x: Postorders, y: Postorders, g: np.ndarray, scripts: bool) -> list[tuple]:
+        m, n, pairs = x.size[g], y.size[g], len(g)
+        rows, cols = int(m.max()), int(n.max())
+        (na, la, sa, wa), (nb, lb, sb, wb) = ([s.padded(f, g, w).T.copy() for f in (s.names, s.low, s.nodes, s.whole)] for s, w in ((x, rows), (y, cols)))
+        # trees[pair, u, v]: what is known from the start are leaves.
+        like = (na[:, :, None] == nb[:, None, :]).astype(np.int32)
+        each = np.arange(pairs)[:, None]
+        upto = np.zeros((pairs, rows + 1, cols), np.int32)
+        np.cumsum(like, axis=1, out=upto[:, 1:])
+        trees = sa[:, :, None] - (upto[:, 1:] > upto[each, np.minimum(la, rows)])
+        upto = np.zeros((pairs, rows, cols + 1), np.int32)
+        np.cumsum(like, axis=2, out=upto[:, :, 1:])
+        seen = upto[:, :, 1:] > np.take_along_axis(upto, np.broadcast_to(np.minimum(lb, cols)[:, None, :], (pairs, rows, cols)), axis=2)
+        trees = np.where((sa == 1)[:, :, None], sb[:, None, :] - seen, trees).astype(np.int32)
+        del upto, seen, like
+        waves: dict[int, list] = {}
+        for k, p in enumerate(g.tolist()):
+            for i, hi in x.keyroots[p]:
+                for j, hj in y.keyroots[p]:
+                    waves.setdefault(hi + hj, []).append((k, i, j))
+        flat, held = trees.reshape(-1), {}
+        for _, tasks in sorted(waves.items()):
+            pair, i, j = np.array(tasks, np.int64).T
+            kind = wa[pair, i] * (len(self.shapes) + 1) + wb[pair, j]
+            _, first, same = np.unique(kind, return_index=True, return_inverse=True)
+            members = np.argsort(same, kind="stable")
+            count = np.bincount(same)
+            start = np.concatenate([[0], np.cumsum(count)])[:-1]
+            ra, rb = sa[pair[first], i[first]], sb[pair[first], j[first]]
+            for t in groups(ra, rb, 1 << 18, 4096):
+                f = first[t]
+                table, at, value = self._forests(flat, rows, cols, pair[f], i[f] - ra[t] + 1, j[f] - rb[t] + 1, ra[t], rb[t], na, la, nb, lb)
+                s, v, k = at
+                more = count[t][k]
+                own = np.repeat(np.arange(len(k)), more)
+                within = np.arange(len(own)) - np.repeat(np.cumsum(more) - more, more)
+                who = members[start[t][k][own] + within]
+                flat[(pair[who] * rows + i[who] - ra[t][k][own] + 1 + s[own]) * cols + j[who] - rb[t][k][own] + 1 + v[own]] = value[own]
+                if scripts:
+                    for c, (p, u, w) in enumerate(zip(pair[f].tolist(), i[f].tolist(), j[f].tolist())):
+                        held[int(wa[p, u]), int(wb[p, w])] = (table, c)
+        distance = trees[np.arange(pairs), m - 1, n - 1].tolist()
+        if not scripts:
+            return [(d, None) for d in distance]
+        out = []
+        lists: dict[tuple, list] = {}
+        for k, d in enumerate(distance):
+            out.append((d, self._mapping(*(z[k].tolist() for z in (na, la, wa, nb, lb, wb)), trees[k], int(m[k]), int(n[k]), held, lists)))
+        return out
+
+    @staticmethod
+    def _forests(flat, rows, cols, pair, p, q, ra, rb, na, la, nb, lb):
+        """Tables of forest distances (rows, columns, tasks), and where and what the distances of whole trees are."""
+        tasks, height, width = len(pair), int(ra.max()), int(rb.max())
+        f = np.zeros((height + 1, width + 1, tasks), np.int32)
+        place = np.arange(width + 1, dtype=np.int32)[:, None]
+        f[0] = place
+        f[:, 0] = np.arange(height + 1)[:, None]
+        v = np.minimum(q + np.arange(width)[:, None], cols - 1)
+        names = nb[pair, v]
+        low = np.clip(lb[pair, v] - q, 0, width)
+        first = low == 0
+        left = low * tasks + np.arange(tasks)
+        spot = pair * rows * cols + v
+        inside_a, inside_b = np.arange(height)[:, None] < ra, np.arange(width)[:, None] < rb
+        whole_a = np.zeros((height, tasks), bool)
+        forests = f.reshape(-1)
+        for s in range(1, height + 1):
+            u = np.minimum(p + s - 1, rows - 1)
+            up = np.clip(la[pair, u] - p, 0, height)
+            way = forests[left + up * ((width + 1) * tasks)] + flat[spot + u * cols]
+            both = first & (up == 0)
+            whole_a[s - 1] = up == 0
+            if both.any():
+                way = np.where(both, f[s - 1, :-1] + (names != na[pair, u]), way)
+            row = f[s]
+            np.minimum(way, f[s - 1, 1:] + 1, out=row[1:], casting="unsafe")
+            row -= place
+            np.minimum.accumulate(row, axis=0, out=row)
+            row += place
+        at = ((whole_a & inside_a)[:, None] & (first & inside_b)[None]).nonzero()
+        return f, at, f[at[0] + 1, at[1] + 1, at[2]]
+
+    @staticmethod
+    def _mapping(na, la, wa, nb, lb, wb, trees, m, n, held, lists) -> str:
+        pairs, todo = [], [(m - 1, n - 1)]
+        while todo:
+            i, j = todo.pop()
+            p, q = la[i], lb[j]
+            x, y = i - p + 1, j - q + 1
+            shapes = wa[i], wb[j]
+            f = lists.get(shapes)
+            if f is None:
+                if shapes in held:
+                    table, c = held[shapes]
+                    f = table[: x + 1, : y + 1, c].tolist()
+                else:  # a leaf, or a node that is no keyroot: its forest is not among the tables
+                    f = _forest(na, la, nb, lb, trees, i, j)
+                if x * y < 100:
+                    lists[shapes] = f
+            while x and y:
+                u, v = p + x - 1, q + y - 1
+                whole = la[u] == p and lb[v] == q
+                if f[x][y] == (f[x - 1][y - 1] + (na[u] != nb[v]) if whole else f[la[u] - p][lb[v] - q] + trees[u, v]):
+                    if whole:
+                        pairs.append("[%d, %d]" % (u, v))
+                        x, y = x - 1, y - 1
+                    else:
+                        todo.append((u, v))
+                        x, y = la[u] - p, lb[v] - q
+                elif f[x][y] == f[x - 1][y] + 1:
+                    x -= 1
+                else:
+                    y -= 1
+        return "[" + ", ".join(pairs) + "]"
+
+
+def _forest(na, la, nb, lb, trees, i: int, j: int) -> list[list[int]]:
+    """The table of one pair of subtrees, with the distances of the trees in them known."""
+    p, q = la[i], lb[j]
+    f = [list(range(j - q + 2))]
+    for x in range(1, i - p + 2):
+        u, row, up = p + x - 1, [x], f[-1]
+        for y in range(1, j - q + 2):
+            v = q + y - 1
+            way = up[y - 1] + (na[u] != nb[v]) if la[u] == p and lb[v] == q else f[la[u] - p][lb[v] - q] + int(trees[u, v])
+            row.append(min(up[y] + 1, row[y - 1] + 1, way))
+        f.append(row)
+    return f
