@@ -219,7 +219,7 @@ class SubtreeEdits:
     A leaf costs 1 whether it is contained or not, so pairs of shapes without grandchildren are the same in every pair of trees.
     """
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 50_000):
         self.most = most
         self._anew()
 
@@ -250,7 +250,7 @@ class SubtreeEdits:
         return out
 
     def __call__(self, a, b, script: bool = True) -> tuple[int, str | None]:
-        if len(self.shapes) > self.most or len(self.known) + len(self.fits) > 20 * self.most:
+        if len(self.shapes) > self.most or len(self.known) + len(self.fits) > 4 * self.most:
             self._anew()
         if not a[0] or not b[0]:
             raise ValueError("empty tree")
@@ -397,7 +397,7 @@ class Mappings:
     of a group together, from the lowest keyroots up; pairs of subtrees of the same shapes are solved once.
     """
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 50_000):
         self.most, self.names, self.shapes = most, {}, {}
 
     def __call__(self, a, b, scripts: bool = False) -> list[tuple]:

@@ -7,14 +7,16 @@ its repeated children lists.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import arrow_map
+from ..functions.code import arrow_map, sliced
 from ..functions.text import segment_base
-from ..plans.trees import per_tree, unpacked
+from ..plans.trees import parents, per_tree, unpacked
+from .batches import say
 from .features import base
 from .ted import Node, tree_of
 
@@ -27,39 +29,46 @@ MARKS = {"update": "🔄 UPDATE", "insert": "➕ INSERT", "delete": "❌ DELETE"
 PAIR = ("source_id", "target_id")
 
 
+def _loose(n: Node, out: list[int]) -> bool:
+    """Adds what a subtree without a counterpart costs; whether no leaf of it has text."""
+    blank = all([_loose(c, out) for c in n.children]) if n.children else not (n.value or "").strip()
+    out[0] += 0 if blank else 2
+    return blank
+
+
+def similar(a: Node, b: Node) -> tuple[int, int, float]:
+    """Matches, total and score of two trees. Children pair up by label, k-th with k-th; null and empty values are equal."""
+    matches, missed, todo = 0, [0], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        matches += (x.label == y.label) + ((x.value or "") == (y.value or ""))
+        missed[0] += 2
+        waiting: dict[str, list[Node]] = {}
+        for c in reversed(y.children):
+            waiting.setdefault(c.label, []).append(c)
+        for c in x.children:
+            if same := waiting.get(c.label):
+                todo.append((c, same.pop()))
+            else:
+                _loose(c, missed)
+        for left in waiting.values():
+            for c in left:
+                _loose(c, missed)
+    return matches, missed[0], matches / missed[0]
+
+
 def tree_similarity(pairs: DataFrame) -> DataFrame:
-    """source_id, target_id, matches, total, score. Children pair up by label, k-th with k-th; null and empty values are equal."""
+    """source_id, target_id, matches, total, score: see similar()."""
+    return per_tree(pairs, lambda a, b: similar(tree_of(*a), tree_of(*b)), {"matches": "long", "total": "long", "score": "double"}, ids=PAIR, given=("a", "b"))
 
-    def loose(n: Node, out: list[int]) -> bool:
-        """Adds what a subtree without a counterpart costs; whether no leaf of it has text."""
-        blank = all([loose(c, out) for c in n.children]) if n.children else not (n.value or "").strip()
-        out[0] += 0 if blank else 2
-        return blank
 
-    def one(a, b):
-        matches, missed, todo = 0, [0], [(tree_of(*a), tree_of(*b))]
-        while todo:
-            x, y = todo.pop()
-            matches += (x.label == y.label) + ((x.value or "") == (y.value or ""))
-            missed[0] += 2
-            waiting: dict[str, list[Node]] = {}
-            for c in reversed(y.children):
-                waiting.setdefault(c.label, []).append(c)
-            for c in x.children:
-                if same := waiting.get(c.label):
-                    todo.append((c, same.pop()))
-                else:
-                    loose(c, missed)
-            for left in waiting.values():
-                for c in left:
-                    loose(c, missed)
-        return matches, missed[0], matches / missed[0]
-
-    return per_tree(pairs, one, {"matches": "long", "total": "long", "score": "double"}, ids=PAIR, given=("a", "b"))
+@lru_cache(1 << 14)
+def _named_ignored(label: str) -> bool:
+    return base(label) in IGNORED
 
 
 def is_ignored(path: list[str]) -> bool:
-    return any(base(s) in IGNORED for s in path)
+    return any([_named_ignored(s) for s in path])
 
 
 def scalar(value: str | None):
@@ -133,7 +142,7 @@ def differences(a: Node, b: Node) -> list[dict]:
     """
 
     def below(x: Node | None, y: Node | None, path: list[str]):
-        if is_ignored(path):
+        if _named_ignored(path[-1]):  # those above have been looked at
             return
         if x is None or y is None or atomic(x) or atomic(y):
             yield from _changes(*(_NONE if n is None else semantic_value(n) for n in (x, y)), path)
@@ -170,8 +179,17 @@ def split_renamed(ops: list[dict]) -> list[dict]:
     return out
 
 
+_SORTED = json.JSONEncoder(sort_keys=True, default=str).encode
+
+
+def _said(v) -> str:
+    return "null" if v is None else _SORTED(v)
+
+
 def distinct_ops(ops: list[dict]) -> list[dict]:
-    said = lambda o, k: json.dumps(o.get(k), sort_keys=True, default=str)
+    if len(ops) < 2:
+        return list(ops)
+    said = lambda o, k: _said(o.get(k))
     return list({(o["op"], *(o.get("path") or ()), said(o, "old_value"), said(o, "new_value"), said(o, "value")): o for o in reversed(ops)}.values())[::-1]
 
 
@@ -225,27 +243,27 @@ def semantic_diff(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for s, t, a, b in zip(batch.column("source_id").to_pylist(), batch.column("target_id").to_pylist(), unpacked(batch.column("a")), unpacked(batch.column("b"))):
                 for o in differences(tree_of(*a), tree_of(*b)):
-                    rows.append((s, t, o["op"], o["path"], *(json.dumps(o[k], ensure_ascii=False) if k in o else None for k in ("old_value", "new_value", "value"))))
+                    rows.append((s, t, o["op"], o["path"], *(say(o[k]) if k in o else None for k in ("old_value", "new_value", "value"))))
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source_id", "target_id", "op", "path", "old_value", "new_value", "value"])
 
     return arrow_map(pairs.select(*PAIR, "a", "b"), run, f"source_id string, target_id string, {OPS}")
 
 
-def diff_texts(pairs: DataFrame) -> DataFrame:
-    """source_id, target_id, n_ops, inserts, deletes, updates, blank_ops, ops (JSON list), human, structured, error: the semantic diff of each pair."""
+def diff_texts(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, target_id, columns to keep, n_ops, inserts, deletes, updates, blank_ops, ops (JSON list), human, structured, error: the semantic diff of each pair."""
 
     def one(a, b):
         ops = differences(tree_of(*a), tree_of(*b))
         count = [sum(o["op"] == k for o in ops) for k in ("insert", "delete", "update")]
-        return len(ops), *count, sum(map(is_blank_op, ops)), json.dumps(ops, ensure_ascii=False), human(ops), structured(ops)
+        return len(ops), *count, sum(map(is_blank_op, ops)), say(ops), human(ops), structured(ops)
 
     kinds = {"n_ops": "long", "inserts": "long", "deletes": "long", "updates": "long", "blank_ops": "long", "ops": "string", "human": "string", "structured": "string"}
-    return per_tree(pairs, one, kinds, ids=PAIR, given=("a", "b"), errors=True)
+    return per_tree(pairs, one, kinds, ids=(*PAIR, *keep), given=("a", "b"), errors=True)
 
 
 def cleaned_ops(rows: DataFrame, ids: tuple[str, ...], column: str = "ops") -> DataFrame:
@@ -271,20 +289,15 @@ def categorize(ops: DataFrame) -> DataFrame:
     return ops.groupBy(category.alias("category")).agg(F.count("*").cast("long").alias("n"))
 
 
-def trees_equal(pairs: DataFrame, algorithm: str = "nj") -> DataFrame:
-    """source_id, target_id, equal: same labels, values and depths in order. Without the alignment algorithm depths must name the same parents only."""
-
-    def one(a, b):
-        if algorithm.lower() in ("nj", "zhang_shasha"):
-            a, b = ((x[0], x[1], [n.size for n in _in_order(tree_of(*x))]) for x in (a, b))
-        return (tuple(map(list, a)) == tuple(map(list, b)),)
-
-    return per_tree(pairs, one, {"equal": "boolean"}, ids=PAIR, given=("a", "b"))
+def equal(a, b, algorithm: str = "nj") -> bool:
+    """Whether two trees have the same labels, values and depths in order. Without the alignment algorithm depths must name the same parents only."""
+    if algorithm.lower() in ("nj", "zhang_shasha"):
+        if not a[0] or not b[0]:
+            raise ValueError("empty tree")
+        a, b = ((x[0], x[1], parents(x[2])) for x in (a, b))
+    return tuple(map(list, a)) == tuple(map(list, b))
 
 
-def _in_order(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        out.append(todo.pop())
-        todo.extend(reversed(out[-1].children))
-    return out
+def trees_equal(pairs: DataFrame, algorithm: str = "nj") -> DataFrame:
+    """source_id, target_id, equal: see equal()."""
+    return per_tree(pairs, lambda a, b: (equal(a, b, algorithm),), {"equal": "boolean"}, ids=PAIR, given=("a", "b"))

@@ -18,7 +18,7 @@ from ..plans.trees import SEQ, packed, per_tree, unpacked
 from .batches import say
 from .diff import IGNORED, PAIR, is_ignored
 from .features import at_path, child, steps_of, value_at, values_at
-from .ted import canonical, preorder, sort_children, to_seq, to_tree
+from .ted import Node, canonical, preorder, sort_children, to_seq, to_tree, tree_of
 
 _NODE = "struct<label:string,value:string,depth:int>"
 OPS = f"array<struct<op:string,position:int,old:{_NODE},new:{_NODE}>>"
@@ -77,26 +77,27 @@ def _nj_apply(a: list[dict], ops: list[dict]) -> list[dict]:
     return to_seq(root)
 
 
+FAILURES = (KeyError, ValueError, IndexError)
+
+
 def _run(rows: DataFrame, one, keep: tuple[str, ...]) -> DataFrame:
     def run(batches):
         for batch in sliced(batches, 500):
             out, errors = [], []
-            trees = [([{"label": x, "value": v, "depth": d} for x, v, d in zip(*seq)] for seq in unpacked(batch.column(n))) for n in ("a", "b")]
-            for a, b, ops in zip(*trees, batch.column("ops").to_pylist()):
+            for a, b, ops in zip(*(unpacked(batch.column(n)) for n in ("a", "b")), batch.column("ops").to_pylist()):
                 try:
                     out.append(one(a, b, json.loads(ops)))
                     errors.append(None)
-                except (KeyError, ValueError, IndexError) as e:
+                except FAILURES as e:
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            seq = packed([x and tuple([n[k] for n in x] for k in ("label", "value", "depth")) for x in out])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*PAIR, *keep)), seq, pa.array(errors, pa.string())], [*PAIR, *keep, "patched", "error"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*PAIR, *keep)), packed(out), pa.array(errors, pa.string())], [*PAIR, *keep, "patched", "error"])
 
     schema = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in (*PAIR, *keep)] + [f"patched {SEQ}", "error string"])
     return arrow_map(rows.select(*dict.fromkeys([*PAIR, "a", "b", "ops", *keep])), run, schema)
 
 
-def _zs_apply(a: list[dict], b: list[dict], pairs: list) -> list[dict]:
+def _zs_apply(b: list[dict], pairs: list) -> list[dict]:
     """The label-sorted target; its root must be mapped."""
     target = sort_children(to_tree(b))
     if all(v != len(b) - 1 for _, v in pairs):
@@ -104,6 +105,13 @@ def _zs_apply(a: list[dict], b: list[dict], pairs: list) -> list[dict]:
     return to_seq(target)
 
 
+def replayed(kind: str, a, b, ops: list):
+    """The labels, values and depths of a source after its script; FAILURES if it can't be replayed."""
+    listed = lambda seq: [{"label": x, "value": v, "depth": d} for x, v, d in zip(*seq)]
+    out = _positional_apply(listed(a), ops) if kind == "chawathe" else _nj_apply(listed(a), ops) if kind == "nj" else _zs_apply(listed(b), ops)
+    return tuple([x[k] for x in out] for k in ("label", "value", "depth"))
+
+
 def _beside(pairs: DataFrame, scripted: DataFrame, *trees: str) -> DataFrame:
     """Scripts that did not fail beside their pairs' trees: those that ted.scripts() kept, else found by a join that copies neither side."""
     good = scripted.where("error is null")
@@ -115,8 +123,19 @@ def apply_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawat
 
     With ted.scripts(keep=("a", "b")) the pairs are not read again.
     """
-    one = {"chawathe": lambda a, b, ops: _positional_apply(a, ops), "nj": lambda a, b, ops: _nj_apply(a, ops), "zhang_shasha": _zs_apply}[canonical(algorithm)]
-    return _run(_beside(pairs, scripted, "a", "b"), one, keep)
+    kind = canonical(algorithm)
+    return _run(_beside(pairs, scripted, "a", "b"), lambda a, b, ops: replayed(kind, a, b, ops), keep)
+
+
+COUNTS = ("inserts", "deletes", "updates", "maps", "length", "deleted_nodes", "inserted_nodes")
+
+
+def counts_of(ops: list) -> tuple[int, ...]:
+    """COUNTS of a script, as summarize_script() gives them."""
+    own = [o for o in ops if isinstance(o, dict)]
+    n = lambda *names: sum(o["op"] in names for o in own)
+    moved = lambda name: sum(o.get("count") or 0 for o in own if o["op"] == name)
+    return n("insert", "insert_tree"), n("delete", "delete_tree"), n("update"), len(ops) - len(own), len(own), moved("delete_tree"), moved("insert_tree")
 
 
 def summarize_script(scripted: DataFrame) -> DataFrame:
@@ -197,8 +216,12 @@ PATCH = "map<string,struct<vals:array<string>,is_list:boolean>>"
 
 def patch_tree(seq: list[dict], patch: list[tuple[str, list | None, bool]]) -> list[dict]:
     """Set leaf values by path, in ascending order of path; missing nodes are made, None clears a value, a list replaces all items."""
-    root = to_tree(seq)
-    new = type(root)
+    return to_seq(patch_root(to_tree(seq), patch))
+
+
+def patch_root(root: Node, patch: list[tuple[str, list | None, bool]]) -> Node:
+    """As patch_tree(), on a tree's root."""
+    new = Node
     for path, vals, is_list in sorted(patch, key=lambda p: p[0]):
         steps = [s for s in path.split(".") if s]
         if not steps:
@@ -219,7 +242,7 @@ def patch_tree(seq: list[dict], patch: list[tuple[str, list | None, bool]]) -> l
                 at.children.append(below)
             at = below
         at.value = str(vals) if is_list else (vals[0] if vals else None)
-    return to_seq(root)
+    return root
 
 
 def apply_paths(rows: DataFrame) -> DataFrame:
@@ -242,6 +265,16 @@ def _full(path: str) -> str:
     return path if not path or path.startswith(("fields.", "meta.")) else f"fields.{path}"
 
 
+#: What (?U)\\s of functions.text.strip() means.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def full_path(path: str) -> str:
+    """As functions.text.normalize_path()."""
+    path = path.strip(_SPACES)
+    return path if not path or path.startswith(("fields.", "meta.")) else f"fields.{path}"
+
+
 def feature_values(source, target, wanted: list[str]) -> list[tuple[str, dict]]:
     """Path and values of the target's nodes at the wanted paths; a null where only the source has the path.
 
@@ -269,12 +302,9 @@ def without_excluded(paths: list[str], excluded: list[str]) -> list[str]:
     return [p for p in paths if not any(_full(p) == g or _full(p).startswith(g + ".") for g in gone)]
 
 
-def patch_from_features(pairs: DataFrame, wanted: list[str] | None, excluded: list[str] = ()) -> DataFrame:
-    """source_id, target_id, patch (PATCH): the target's values at the wanted paths that are not excluded; None where only the source has the path.
-
-    Without `wanted` it is all leaf paths of both trees.
-    """
-    chosen = None if wanted is None else without_excluded([p for p in wanted if p.strip()], list(excluded))
+def values_of_features(wanted: list[str] | None, excluded: list[str]):
+    """A function of two trees: feature_values of the wanted paths (all leaf paths of both if None) that are not excluded."""
+    chosen = None if wanted is None else without_excluded([p for p in wanted if p.strip()], excluded)
 
     def paths_of(root) -> set[str]:
         out, todo = set(), [(c, c.label) for c in root.children]
@@ -285,17 +315,35 @@ def patch_from_features(pairs: DataFrame, wanted: list[str] | None, excluded: li
             todo += [(c, f"{p}.{c.label}") for c in n.children]
         return out
 
+    return lambda a, b: feature_values(a, b, chosen if chosen is not None else without_excluded(sorted(paths_of(a) | paths_of(b)), excluded))
+
+
+def patch_from_features(pairs: DataFrame, wanted: list[str] | None, excluded: list[str] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, target_id, patch (PATCH): the target's values at the wanted paths that are not excluded; None where only the source has the path.
+
+    Without `wanted` it is all leaf paths of both trees. Columns of the pairs to keep stand before `patch`.
+    """
+    values = values_of_features(wanted, list(excluded))
+
     def run(batches):
         kind = pa.map_(pa.string(), pa.struct([("vals", pa.list_(pa.string())), ("is_list", pa.bool_())]))
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                source, target = to_tree(a), to_tree(b)
-                own = chosen if chosen is not None else without_excluded(sorted(paths_of(source) | paths_of(target)), list(excluded))
-                out.append(feature_values(source, target, own))
-            yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("target_id"), pa.array(out, kind)], ["source_id", "target_id", "patch"])
-
-    return arrow_map(pairs.select("source_id", "target_id", "a", "b"), run, f"source_id string, target_id string, patch {PATCH}")
+        for batch in sliced(batches):
+            out = [values(tree_of(*a), tree_of(*b)) for a, b in zip(unpacked(batch.column("a")), unpacked(batch.column("b")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*PAIR, *keep)), pa.array(out, kind)], [*PAIR, *keep, "patch"])
+
+    schema = ", ".join([f"`{n}` {pairs.schema[n].dataType.simpleString()}" for n in (*PAIR, *keep)] + [f"patch {PATCH}"])
+    return arrow_map(pairs.select(*dict.fromkeys([*PAIR, "a", "b", *keep])), run, schema)
+
+
+def paths_of_diff(ops: list[dict]) -> list[tuple[str, list | None, bool]]:
+    """The patch of a pair's differences, as diff_to_patch() gives it."""
+    found: dict[str, tuple] = {}
+    for o in ops:
+        v = {"update": o.get("new_value"), "insert": o.get("value")}.get(o["op"])
+        v = v if v is None or isinstance(v, str) else say(v)
+        if path := ".".join(o["path"]):
+            found[path] = max(found.get(path, ("", "")), (o["op"], v or "", v is not None), key=lambda x: x[:2])
+    return [(p, [v] if has else None, False) for p, (_, v, has) in sorted(found.items())]
 
 
 def diff_to_patch(ops: DataFrame) -> DataFrame:

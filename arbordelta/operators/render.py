@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.trees import parents, per_tree, sizes
@@ -96,6 +97,7 @@ def native_object(n: Node):
     return out if n.value is None else out | {"_value": n.value}
 
 
+@lru_cache(4096)
 def xml_name(label: str) -> str:
     safe = re.sub(r"[^a-zA-Z0-9_.-]+", "_", label.strip()) or "node"
     return safe if re.match("[A-Za-z_]", safe) else f"n_{safe}"
@@ -108,18 +110,28 @@ def _xml(n: Node) -> ElementTree.Element:
     return e
 
 
+_SHOW = json.JSONEncoder(ensure_ascii=False, indent=2).encode
+
+
+def json_of(root: Node) -> str:
+    return _SHOW({root.label: native_object(root)})
+
+
+def xml_of(root: Node) -> str:
+    return ElementTree.tostring(_xml(root), encoding="unicode")
+
+
 def json_text(seq) -> str:
-    root = tree_of(*seq)
-    return json.dumps({root.label: native_object(root)}, ensure_ascii=False, indent=2)
+    return json_of(tree_of(*seq))
 
 
 def xml_text(seq) -> str:
-    return ElementTree.tostring(_xml(tree_of(*seq)), encoding="unicode")
+    return xml_of(tree_of(*seq))
 
 
 def documents(trees: DataFrame) -> DataFrame:
     """tree_id, json, xml, error."""
-    return per_tree(trees, lambda seq: (json_text(seq), xml_text(seq)), {"json": "string", "xml": "string"}, errors=True)
+    return per_tree(trees, lambda seq: (json_of(root := tree_of(*seq)), xml_of(root)), {"json": "string", "xml": "string"}, errors=True)
 
 
 def plain_xml(rows: DataFrame, column: str, root: str = "root") -> DataFrame:
@@ -149,9 +161,14 @@ NOTES = {
 
 
 def report(compared: DataFrame) -> DataFrame:
-    """source_id, target_id, text: sizes of the script by kind, the operations (nj), and the patched tree's infobox.
+    """source_id, target_id, text: see report_text()."""
+    return compared.select("source_id", "target_id", report_text().alias("text"))
+
+
+def report_text() -> Column:
+    """Sizes of the script by kind, the operations (nj), and the patched tree's infobox, as text.
 
-    compared: source_id, target_id, algorithm, kind (canonical name), distance, similarity, inserts, deletes, updates, total,
+    Of columns source_id, target_id, algorithm, kind (canonical name), distance, similarity, inserts, deletes, updates, total,
     deleted_nodes, inserted_nodes, steps (array<string>, nj only), infobox.
     """
     nj = F.col("kind") == "nj"
@@ -168,4 +185,4 @@ def report(compared: DataFrame) -> DataFrame:
     )
     steps = F.when(nj, F.concat(F.array(F.lit(""), F.lit("Operations:")), F.transform("steps", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)))).otherwise(F.expr("cast(array() as array<string>)"))
     said = F.concat(head, F.when(nj, whole).otherwise(plain), F.array(line("total", "total")), steps, F.array(F.lit(""), F.lit("Patched infobox:"), F.col("infobox")))
-    return compared.select("source_id", "target_id", F.array_join(said, "\n").alias("text"))
+    return F.array_join(said, "\n")

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff, features, normalize, patch, render, ted
 from ..sources import html
-from .trees import per_tree
+from .datasets import spread
+from .trees import SEQ, per_tree
 
 KEY = ["source_id", "target_id"]
 
 
 def pair_up(trees: DataFrame, wanted: DataFrame) -> DataFrame:
-    """source_id, target_id, a, b for the ids in wanted (source_id, target_id). Ids without a tree are left out."""
+    """source_id, target_id, a, b for the ids in wanted (source_id, target_id). Ids without a tree are left out. Trees are never broadcast."""
     a = trees.select(F.col("tree_id").alias("source_id"), F.col("seq").alias("a"))
     b = trees.select(F.col("tree_id").alias("target_id"), F.col("seq").alias("b"))
-    return wanted.join(a, "source_id").join(b, "target_id").select("source_id", "target_id", "a", "b")
+    sources = spread(wanted, "source_id").join(spread(a, "source_id").hint("merge"), "source_id")
+    return spread(sources, "target_id").join(spread(b, "target_id").hint("merge"), "target_id").select("source_id", "target_id", "a", "b")
 
 
 def missing(trees: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -36,91 +40,106 @@ def _coerced(pairs: DataFrame, root_label: str | None) -> DataFrame:
 def compare(trees: DataFrame, wanted: DataFrame, chosen: list[str] = (), exclude: bool = False, algorithm: str = "chawathe", root_label: str | None = None) -> DataFrame:
     """Distance, similarity, script, semantic diff counts and text of each wanted pair, after pruning to (or without) the chosen features."""
     pruned = (features.prune_exclude if exclude else features.prune_include)(trees, list(chosen))
-    pairs = pair_up(pruned, wanted)
-    scripts = ted.scripts(_coerced(pairs, root_label), algorithm).select(*KEY, "ops", "error")
-    texts = diff.diff_texts(pairs).select(*KEY, "inserts", "deletes", "updates", F.col("n_ops").alias("total"), F.col("human").alias("text"), F.col("structured"), F.col("ops").alias("clean_ops"))
-    return ted.distances(pairs, algorithm, root_label).join(scripts, KEY).join(texts, KEY, "left").withColumn("algorithm", F.lit(ted.ALGORITHMS[ted.canonical(algorithm)])).na.fill(0, ["inserts", "deletes", "updates", "total"])
+    pairs = _coerced(pair_up(pruned, wanted), root_label)  # a semantic diff doesn't name the root
+    scored = ted.distances(pairs, algorithm, keep=("a", "b")).withColumnRenamed("distance", "_distance")
+    measured = ["n_source", "n_target", "_distance", "similarity"]
+    scripted = ted.scripts(scored, algorithm, keep=("a", "b", *measured)).withColumnsRenamed({"ops": "script", "error": "script_error"})
+    texts = diff.diff_texts(scripted, keep=(*measured, "script", "script_error"))
+    counts = {n: F.coalesce(n, F.lit(0)) for n in ("inserts", "deletes", "updates")} | {"total": F.coalesce("n_ops", F.lit(0))}
+    return texts.select(
+        *KEY, "n_source", "n_target", F.col("_distance").alias("distance"), "similarity", F.col("script").alias("ops"), F.col("script_error").alias("error"), *(c.alias(n) for n, c in counts.items()),
+        F.col("human").alias("text"), "structured", F.col("ops").alias("clean_ops"), F.lit(ted.ALGORITHMS[ted.canonical(algorithm)]).alias("algorithm"),
+    )
 
 
 def full_diff(pairs: DataFrame, algorithm: str = "chawathe", root_label: str | None = None) -> DataFrame:
     """source_id, target_id, algorithm, kind, distance, similarity, script counts, matches_target, patched, json, xml, infobox, report, error.
 
     Each pair's script, the script replayed on its source, whether that gives the target, and the report. A pair that
-    fails has an error. Given trees may come from codec.from_json().
+    fails has an error. Given trees may come from codec.from_json(). A pair's row goes through both passes whole: nothing is joined.
     """
-    kind, rows = ted.canonical(algorithm), _coerced(pairs, root_label)
-    scripted = ted.scripts(rows, algorithm)
-    done = patch.apply_script(rows, scripted, algorithm)
-    counts = patch.summarize_script(scripted)
-    note = lambda o: F.coalesce(o["note"], o["op"])
-    steps = F.transform(F.from_json("ops", "array<struct<op:string,note:string>>"), note) if kind == "nj" else F.expr("cast(array() as array<string>)")
-    target = rows.select(*KEY, "a", "b")
-
-    def judged(a, b, patched):
+    kind = ted.canonical(algorithm)
+    scripted = ted.scripts(_coerced(pairs, root_label), algorithm, keep=("a", "b")).withColumnRenamed("error", "script_error")
+    blank = (lambda v: [x or "" for x in v]) if kind == "nj" else list
+
+    def judged(a, b, text):
+        sizes = len(a[0]), len(b[0])
+        if text is None:
+            return *sizes, *[None] * 14
+        ops = json.loads(text)
+        steps = [o["op"] if o["note"] is None else o["note"] for o in ops] if kind == "nj" else []
+        said = (*sizes, *patch.counts_of(ops), steps)
+        try:
+            patched = patch.replayed(kind, a, b, ops)
+        except patch.FAILURES as e:
+            return *said, *[None] * 5, f"{type(e).__name__}: {e}"
         if kind == "zhang_shasha":
             b = ted.arrays_of(ted.sort_children(ted.tree_of(*b)))
-        blank = (lambda v: [x or "" for x in v]) if kind == "nj" else list
-        return render.json_text(patched), render.xml_text(patched), render.infobox_lines(*patched), (list(patched[0]), blank(patched[1]), list(patched[2])) == (list(b[0]), blank(b[1]), list(b[2]))
-
-    made = target.join(done.where("patched is not null").select(*KEY, "patched"), KEY)
-    shown = per_tree(made, judged, {"json": "string", "xml": "string", "infobox": "string", "matches_target": "boolean"}, ids=(*KEY, "patched"), given=("a", "b", "patched"))
-    scored = scripted.select(*KEY, "distance", steps.alias("steps"), F.col("error").alias("script_error"))
-    sizes = rows.select(*KEY, F.size("a").alias("n_source"), F.size("b").alias("n_target"))
-    out = sizes.join(scored, KEY).join(done.select(*KEY, F.col("error").alias("patch_error")), KEY, "left").join(shown, KEY, "left").join(counts, KEY, "left")
+        root = ted.tree_of(*patched)
+        matches = (list(patched[0]), blank(patched[1]), list(patched[2])) == (list(b[0]), blank(b[1]), list(b[2]))
+        return *said, patched, render.json_of(root), render.xml_of(root), render.infobox_lines(*patched), matches, None
+
+    kinds = {"n_source": "int", "n_target": "int", **dict.fromkeys(patch.COUNTS, "long"), "steps": "array<string>", "patched": SEQ, "json": "string", "xml": "string", "infobox": "string", "matches_target": "boolean", "patch_error": "string"}
+    out = per_tree(scripted, judged, kinds, ids=(*KEY, "distance", "script_error"), given=("a", "b", "ops"))
     out = out.withColumns({"algorithm": F.lit(ted.ALGORITHMS[kind]), "kind": F.lit(kind), "similarity": F.greatest(F.lit(0.0), 1.0 - F.col("distance") / (F.col("n_source") + F.col("n_target"))), "total": F.col("length")})
-    reports = render.report(out.where("infobox is not null"))
-    if kind == "zhang_shasha":
-        reports = reports.withColumn("text", F.concat("text", F.lit("\n\n(Patched via Zhang–Shasha postorder alignment.)\n")))
+    text = render.report_text()
+    report = F.concat(text, F.lit("\n\n(Patched via Zhang–Shasha postorder alignment.)\n")) if kind == "zhang_shasha" else text
     names = ["algorithm", "kind", "distance", "similarity", "inserts", "deletes", "updates", "maps", "total", "matches_target", "patched", "json", "xml", "infobox"]
-    return out.join(reports.withColumnRenamed("text", "report"), KEY, "left").select(*KEY, *names, "report", F.coalesce("script_error", "patch_error").alias("error"))
+    return out.select(*KEY, *names, F.when(F.col("infobox").isNotNull(), report).alias("report"), F.coalesce("script_error", "patch_error").alias("error"))
+
+
+JUDGED = {"json": "string", "xml": "string", "text": "string", "score": "double", "differences": "long"}
+
+
+def _judge(seq, b) -> tuple:
+    """JUDGED of a patched tree beside its target; without a target there is no score. Nothing left to differ means full similarity."""
+    root = ted.tree_of(*seq)
+    texts = render.json_of(root), render.xml_of(root), render.infobox_lines(*seq)
+    if not b[0]:
+        return *texts, None, None
+    target = ted.tree_of(*b)
+    left = sum(not diff.is_blank_op(o) for o in diff.differences(root, target))
+    return *texts, diff.similar(root, target)[2] if left else 1.0, left
 
 
-def judged_patch(pairs: DataFrame, patched: DataFrame) -> DataFrame:
+def judged_patch(patched: DataFrame) -> DataFrame:
     """source_id, target_id, seq, json, xml, text, score, differences, error: patched sources beside their targets.
 
-    pairs: source_id, target_id, b (null where there is no target: then there is no score). patched: source_id, target_id, seq, error.
+    patched: source_id, target_id, seq, b (null where there is no target: then there is no score), error.
     """
+    rows = patched.withColumnRenamed("error", "_failed")
+    shown = per_tree(rows, lambda seq, b, failed: _judge(seq, b) if failed is None else (None,) * len(JUDGED), JUDGED, ids=(*KEY, "seq", "_failed"), given=("seq", "b", "_failed"), errors=True)
+    return shown.select(*KEY, "seq", *JUDGED, F.coalesce("_failed", "error").alias("error"))
 
-    def one(seq, b):
-        root = ted.tree_of(*seq)
-        if not b[0]:
-            return render.json_text(seq), render.xml_text(seq), render.infobox_lines(*seq), None
-        left = [o for o in diff.differences(root, ted.tree_of(*b)) if not diff.is_blank_op(o)]
-        return render.json_text(seq), render.xml_text(seq), render.infobox_lines(*seq), len(left)
 
-    key = [*KEY]
-    both = pairs.select(*key, "b").join(patched.select(*key, "seq", F.col("error").alias("_failed")), key)
-    good = both.where("seq is not null")
-    shown = per_tree(good, one, {"json": "string", "xml": "string", "text": "string", "differences": "long"}, ids=(*key, "seq"), given=("seq", "b"), errors=True)
-    scores = diff.tree_similarity(good.where("b is not null").select(*key, F.col("seq").alias("a"), "b")).select(*key, "score")
-    out = shown.join(scores, key, "left")
-    # Nothing left to differ means full similarity.
-    out = out.withColumn("score", F.when(F.col("differences") == 0, 1.0).otherwise(F.col("score")))
-    return out.unionByName(both.where("seq is null").select(*key, F.col("_failed").alias("error")), allowMissingColumns=True)
+def _patched(pairs: DataFrame, patch_of) -> DataFrame:
+    """judged_patch of sources patched by the paths that patch_of(source, target) gives: (path, values, is_list); None leaves the pair out."""
 
+    def one(a, b):
+        found = patch_of(ted.tree_of(*a), ted.tree_of(*b))
+        if found is None:
+            return False, *[None] * (1 + len(JUDGED))
+        seq = ted.arrays_of(patch.patch_root(ted.tree_of(*a), [(patch.full_path(p), *x) for p, *x in found]))
+        return True, seq, *_judge(seq, b)
 
-def _renamed(pairs: DataFrame, made: DataFrame) -> DataFrame:
-    """Sources with their path patches applied: source_id, target_id, seq, error."""
-    name = F.concat_ws("\x1f", "source_id", "target_id")
-    done = patch.apply_paths(made.join(pairs.select(*KEY, "a"), KEY).select(name.alias("tree_id"), F.col("a").alias("seq"), "patch"))
-    ids = F.split("tree_id", "\x1f")
-    return done.select(ids[0].alias("source_id"), ids[1].alias("target_id"), "seq", "error")
+    made = per_tree(pairs, one, {"_has": "boolean", "seq": SEQ, **JUDGED}, ids=tuple(KEY), given=("a", "b"), errors=True)
+    return made.where("_has or error is not null").drop("_has")
 
 
 def patch_features(trees: DataFrame, wanted: DataFrame, chosen: list[str] | None, excluded: list[str] = ()) -> DataFrame:
     """judged_patch of sources patched by their targets' features: the chosen ones (all leaf paths of both if None) but the excluded."""
-    pairs = pair_up(trees, wanted)
-    return judged_patch(pairs, _renamed(pairs, patch.patch_from_features(pairs, chosen, list(excluded))))
+    values = patch.values_of_features(chosen, list(excluded))
+    return _patched(pair_up(trees, wanted), lambda a, b: [(p, x["vals"], x["is_list"]) for p, x in values(a, b)])
 
 
 def patch_clean(pairs: DataFrame) -> DataFrame:
-    """judged_patch of sources patched by the paths of their semantic diffs."""
-    return judged_patch(pairs, _renamed(pairs, patch.diff_to_patch(diff.semantic_diff(pairs))))
+    """judged_patch of sources patched by the paths of their semantic diffs. Pairs without one are left out."""
+    return _patched(pairs, lambda a, b: patch.paths_of_diff(diff.differences(a, b)) or None)
 
 
 def patch_script(pairs: DataFrame, scripted: DataFrame, algorithm: str = "chawathe") -> DataFrame:
-    """judged_patch of sources with scripts replayed on them: positional, of whole subtrees, or by mapping."""
-    return judged_patch(pairs, patch.apply_script(pairs, scripted, algorithm).select(*KEY, F.col("patched").alias("seq"), "error"))
+    """judged_patch of sources with scripts replayed on them: positional, of whole subtrees, or by mapping. See patch.apply_script()."""
+    return judged_patch(patch.apply_script(pairs, scripted, algorithm, keep=("b",)).withColumnRenamed("patched", "seq"))
 
 
 def postprocess(trees: DataFrame) -> DataFrame:

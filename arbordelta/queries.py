@@ -234,7 +234,7 @@ ZHANG_SHASHA_SQL = _sql(*_CUSTOMER_PAIRS, then=f"SELECT source_id, target_id, {_
 
 def feature_patch(spark, sf_dir):
     pairs = part_pairs(spark, sf_dir)
-    made = patch.patch_from_features(pairs, ["name", "fields.size", "brand"], ["brand"]).join(pairs, ["source_id", "target_id"])
+    made = patch.patch_from_features(pairs, ["name", "fields.size", "brand"], ["brand"], keep=("a",))
     return _as_text(patch.apply_paths(made.select(F.col("source_id").alias("tree_id"), F.col("a").alias("seq"), "patch")))
 
 

@@ -8,7 +8,7 @@ from .functions import text
 from .operators import diff, features, patch, render, ted
 from .plans import api
 from .plans.datasets import CUSTOMER_SQL, PART_SQL, SUPPLIER_SQL, customer_trees, neighbours, part_pairs, part_trees, read, supplier_documents
-from .plans.trees import nodes, validate
+from .plans.trees import nodes, per_tree, validate
 from .queries import _AS_TEXT, _PAIRS, _as_text, _sql
 from .sources import codec, html, store
 
@@ -232,7 +232,7 @@ PATCH_CLEAN_SQL = _sql(*_PART_PAIRS, then=f"SELECT source_id, target_id, {_infob
 
 def patch_script(spark, sf_dir):
     pairs = part_pairs(spark, sf_dir)
-    made = [api.patch_script(pairs, ted.scripts(pairs, a), a).select(*KEY, F.lit(a).alias("algorithm"), "json", "differences", "error") for a in ("chawathe", "nj", "zhang_shasha")]
+    made = [api.patch_script(pairs, ted.scripts(pairs, a, keep=("a", "b")), a).select(*KEY, F.lit(a).alias("algorithm"), "json", "differences", "error") for a in ("chawathe", "nj", "zhang_shasha")]
     done = made[0].unionByName(made[1]).unionByName(made[2])
     return done.withColumn("json", F.get_json_object("json", "$.part.fields.name"))
 
@@ -243,7 +243,7 @@ PATCH_SCRIPT_SQL = _sql(*_PART_PAIRS, then="SELECT source_id, target_id, algorit
 def equal_trees(spark, sf_dir):
     """Whether neighbouring parts are equal but for their ids."""
     pairs = neighbours(features.prune_exclude(part_trees(spark, sf_dir), ["meta", "fields.name"]))
-    return diff.trees_equal(pairs).join(diff.trees_equal(pairs, "chawathe").withColumnRenamed("equal", "equal_pairs"), KEY)
+    return per_tree(pairs, lambda a, b: (diff.equal(a, b), diff.equal(a, b, "chawathe")), {"equal": "boolean", "equal_pairs": "boolean"}, ids=tuple(KEY), given=("a", "b"))
 
 
 EQUAL_SQL = _sql(*_PART_PAIRS, "d AS (SELECT source_id, target_id, a[5] = b[5] AND a[7] = b[7] AND a[8] = b[8] AS e FROM pairs)", then="SELECT source_id, target_id, e AS equal, e AS equal_pairs FROM d")
