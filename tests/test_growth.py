@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from arbordelta.functions import text
-from arbordelta.operators import patch, ted
+from arbordelta.operators import diff, patch, ted
 from arbordelta.plans.trees import SEQ
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,32 @@ def test_keys_and_tokens_of_all_characters(spark):
         assert r.tokens == re.findall("[0-9A-Za-z]+", r.s)
         assert r.key == ("_".join(re.findall("[0-9a-z]+", r.s.lower())) or "field")
     assert "[^0-9" not in plan_of(df)
+
+
+@pytest.mark.parametrize("name", ["full_diff", "patch_script", "feature_patch", "patch_clean_diff", "script_normalized", "script_normalized_nj", "script_summary_parts", "equal_trees", "patch_round_trip_nj"])
+def test_a_pair_is_joined_once(spark, name):
+    """A pair's row goes through all passes: only the neighbours are joined (once for each algorithm), and no tree is broadcast."""
+    plan = plan_of(__spark_entry__.queries()[name](spark, SF))
+    algorithms = 3 if name in ("full_diff", "patch_script", "script_summary_parts") else 1
+    orders = name == "patch_round_trip_nj"  # each side's customers are joined with their orders
+    assert len(re.findall(r"\w+Join \[", plan)) == algorithms + 2 * orders and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["compare_parts", "patch_all_features", "semantic_diff", "semantic_summary"])
+def test_wanted_pairs_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in plan_of(__spark_entry__.queries()[name](spark, SF))
+
+
+def test_patches_and_counts_of_rows_are_those_of_tables(spark):
+    """What the passes work out of a pair's operations equals what the tables of operations give."""
+    trees = [t for t in odd_trees() if len(t) > 1 and all(n["depth"] is not None for n in t) and t[1]["depth"]]
+    rows = [(f"s{i}", f"t{i}", a, b) for i, (a, b) in enumerate(zip(trees[:80], trees[1:]))]
+    pairs = spark.createDataFrame(rows, f"source_id string, target_id string, a {SEQ}, b {SEQ}")
+    made = {r.source_id: [(k, v.vals, v.is_list) for k, v in sorted(r.patch.items())] for r in patch.diff_to_patch(diff.semantic_diff(pairs)).collect()}
+    for s, _, a, b in rows:
+        assert patch.paths_of_diff(diff.differences(ted.to_tree(a), ted.to_tree(b))) == made.get(s, [])
+    for algorithm in ("chawathe", "nj", "zhang_shasha"):
+        scripted = ted.scripts(pairs, algorithm)
+        ops = {r.source_id: json.loads(r.ops) for r in scripted.collect()}
+        for r in patch.summarize_script(scripted).collect():
+            assert patch.counts_of(ops[r.source_id]) == tuple(r[n] for n in patch.COUNTS)
